@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geotrail.functions import geometry as geo
-from geotrail.operators.sizing import SplitPolicy, hot_keys
+from geotrail.operators.sizing import SplitPolicy, hot_keys, settled
 
 # Bounds on the broadcast index: rows before grouping, and edges held in them.
 MAX_ENTRIES = 1 << 20
@@ -206,6 +206,13 @@ class FenceIndex:
             )
         )
 
+    def pin(self) -> FenceIndex:
+        """Compute the broadcast index once, into the checkpoint folder, for use by many
+        micro-batches: all see the snapshot taken now."""
+        if self._cells is not None:
+            self._cells = settled(self._cells)
+        return self
+
     def inside_sets(self, points: DataFrame) -> DataFrame:
         """Add ``inside``, the ids of the containing fences, to every point. Broadcast plan;
         works on streams as well."""

@@ -44,6 +44,17 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once, into the shared checkpoint folder; unchanged where none is named."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            return df
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def hot_keys(df: DataFrame, keys: list[str], policy: SplitPolicy, *extra) -> DataFrame:
     """Keys with more rows than one task should hold: ``keys, rows, row_limit`` and ``extra``
     aggregates. Counts are combined map-side; at most ``max_chunks`` rows come out."""

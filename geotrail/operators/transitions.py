@@ -34,7 +34,8 @@ def point_sets(
 ) -> tuple[DataFrame, list[str]]:
     """Points with ``inside`` and the columns that say which rows form one sequence.
 
-    ``previous``: last known point per device from earlier input; it takes part as a halo row.
+    ``previous``: last known point per device from earlier input, with the ``inside`` it had
+    then; it takes part as a halo row.
     """
     rows = points.select(*POINT_COLUMNS)
     zero = F.lit(0).cast("bigint")
@@ -47,15 +48,22 @@ def point_sets(
         group = ["device"]
     columns = [*POINT_COLUMNS, ordered.CHUNK, ordered.HALO]
     rows = rows.select(*columns)
+    if index.strategy == "cells":
+        sets = index.inside_sets(rows)
+    else:
+        found = index.grid_matches(rows, True, ["device", "seq", "ts"])
+        sets = collect_inside(found, group, [ordered.HALO, *ORDER], ["x", "y"])
     if previous is not None:
         lent = previous.select(
-            *POINT_COLUMNS, zero.alias(ordered.CHUNK), F.lit(True).alias(ordered.HALO)
+            *POINT_COLUMNS,
+            "inside",
+            zero.alias(ordered.CHUNK),
+            F.lit(True).alias(ordered.HALO),
         )
-        rows = rows.unionByName(lent)
-    if index.strategy == "cells":
-        return index.inside_sets(rows), group
-    found = index.grid_matches(rows, True, ["device", "seq", "ts"])
-    return collect_inside(found, group, [ordered.HALO, *ORDER], ["x", "y"]), group
+        sets = sets.select(*POINT_COLUMNS, "inside", *group[1:], ordered.HALO).unionByName(
+            lent.select(*POINT_COLUMNS, "inside", *group[1:], ordered.HALO)
+        )
+    return sets, group
 
 
 def collision_events(

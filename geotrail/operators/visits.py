@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from geotrail.functions import messages, times
 from geotrail.operators import ordered
-from geotrail.operators.sizing import SplitPolicy
+from geotrail.operators.sizing import SplitPolicy, settled
 
 KEYS = ["device", "polygon"]
 
@@ -76,17 +76,23 @@ def _with_earlier_chunks(rows: DataFrame) -> DataFrame:
     ).drop("_e0", "_x0", "_m0")
 
 
-def visits(events: DataFrame, policy: SplitPolicy | None = None) -> DataFrame:
+def visits(
+    events: DataFrame, policy: SplitPolicy | None = None, stored: bool = False
+) -> DataFrame:
     """``device, polygon, inside, enter_ts, enter_point, exit_ts, exit_point``.
 
     ``events`` as returned by ``collision_events``; open visits have NULL exit columns.
-    Events already hashed by device are not exchanged again. To use the splitting of hot keys
-    on a long computation, store the events first: they are read more than once.
+    Events already hashed by device are not exchanged again. Splitting hot keys reads the
+    events several times, so unless they come straight from a table (``stored``) they are
+    checkpointed first where the cluster names a folder for that.
     """
     policy = policy or SplitPolicy()
+    split = policy.applies_to(events)
+    if split and not stored:
+        events = settled(events)
     rows = events.withColumn("_is_exit", F.col("event_type") != messages.ENTER)
     order = _order(rows)
-    if policy.applies_to(events):
+    if split:
         cut = ordered.split(rows, KEYS, times.epoch_micros(F.col(order[0])), policy)
         rows = _with_earlier_chunks(_running(cut, [*KEYS, ordered.CHUNK], order))
     else:
