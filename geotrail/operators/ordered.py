@@ -30,9 +30,10 @@ def split(df: DataFrame, keys: list[str], position: Column, policy: SplitPolicy)
     """Add CHUNK, START and HOT. ``position`` is a bigint that rises with the order; equal
     positions share a chunk.
 
-    A hot key's range of positions is cut into equal cells, and a cell that alone holds more
-    than a chunk into finer ones; runs of cells up to the row limit form a chunk. The counts
-    read only the keys and the position. All broadcast sides are bounded by the policy.
+    A hot key's range of positions is cut into equal cells, and the occupied range of a cell
+    that alone holds more than a chunk into finer ones; runs of cells up to the row limit form
+    a chunk. The counts read only the keys and the position. All broadcast sides are bounded
+    by the policy.
     """
     per_chunk = F.lit(policy.cells_per_chunk).cast("bigint")
     rows = df.withColumn(POSITION, position)
@@ -53,20 +54,21 @@ def split(df: DataFrame, keys: list[str], position: Column, policy: SplitPolicy)
         )
     )
     offset = F.col(POSITION) - F.col("_lo")
-    in_cell = offset - F.col("_cell") * F.col("_width")
+    in_cell = F.col(POSITION) - F.col("_from")
 
     slim = (
         rows.select(*keys, POSITION)
         .join(hot, keys)
         .withColumn("_cell", _div(offset, F.col("_width")))
     )
-    by_cell = slim.groupBy(*keys, "_cell", "_limit", "_width").agg(F.count(F.lit(1)).alias("_n"))
-    is_busy = (F.col("_n") > F.col("_limit")) & (F.col("_width") > 1)
-    busy = F.broadcast(
-        by_cell.where(is_busy).select(
-            *keys, "_cell", cell_width(F.col("_width"), F.col("_n"), F.col("_limit")).alias("_fine")
-        )
+    by_cell = slim.groupBy(*keys, "_cell", "_limit").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min(POSITION).alias("_from"),
+        (F.max(POSITION) - F.min(POSITION)).alias("_extent"),
     )
+    is_busy = (F.col("_n") > F.col("_limit")) & (F.col("_extent") > 0)
+    fine = cell_width(F.col("_extent"), F.col("_n"), F.col("_limit"))
+    busy = F.broadcast(by_cell.where(is_busy).select(*keys, "_cell", "_from", fine.alias("_fine")))
     by_fine_cell = (
         slim.join(busy, [*keys, "_cell"])
         .withColumn("_sub", _div(in_cell, F.col("_fine")))
