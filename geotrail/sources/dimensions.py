@@ -39,7 +39,7 @@ def read_fences_jdbc(
 
 def read_dump(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Rows of a database dump: tab-separated, ``\\N`` for NULL, ``t``/``f`` for booleans."""
-    text = StructType([type(f)(f.name, "string") for f in schema.fields])
+    text = ", ".join(f"`{name}` string" for name in schema.fieldNames())
     rows = spark.read.csv(path, schema=text, sep="\t", nullValue="\\N", quote="", escape="")
     return rows.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
