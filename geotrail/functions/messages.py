@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from geotrail import schemas
 from geotrail.functions import times
 
 ENTER = "enter"
@@ -49,21 +48,26 @@ def content_key(value: Column) -> Column:
     return F.md5(value.cast("binary"))
 
 
-def parse_event(value: Column) -> Column:
-    """Message text to ``struct<event_type, polygon, device, in, point, event_ts>``.
+def event_fields(doc: str) -> list[Column]:
+    """Columns ``event_type, polygon, device, in, x, y, event_ts`` of a parsed message.
 
     Every type but "enter" counts as an exit.
     """
-    doc = F.from_json(value, schemas.COLLISION_MESSAGE)
-    entered = doc["event_type"] == ENTER
-    millis = F.when(entered, doc["collision_date_in"]).otherwise(doc["collision_date_out"])
-    point = F.when(entered, doc["collision_point_in"]).otherwise(doc["collision_point_out"])
-    return F.struct(
-        F.when(entered, F.lit(ENTER)).when(doc["event_type"].isNotNull(), F.lit(EXIT))
+    entered = F.col(f"{doc}.event_type") == ENTER
+
+    def sided(field: str) -> Column:
+        return F.when(entered, F.col(f"{doc}.{field.format('in')}")).otherwise(
+            F.col(f"{doc}.{field.format('out')}")
+        )
+
+    return [
+        F.when(entered, F.lit(ENTER))
+        .when(F.col(f"{doc}.event_type").isNotNull(), F.lit(EXIT))
         .alias("event_type"),
-        doc["polygon"].try_cast("bigint").alias("polygon"),
-        doc["device"].try_cast("bigint").alias("device"),
-        doc["in"].alias("in"),
-        point.alias("point"),
-        times.from_millis(millis.try_cast("bigint")).alias("event_ts"),
-    )
+        F.col(f"{doc}.polygon").try_cast("bigint").alias("polygon"),
+        F.col(f"{doc}.device").try_cast("bigint").alias("device"),
+        F.col(f"{doc}.in").alias("in"),
+        sided("collision_point_{}.x").alias("x"),
+        sided("collision_point_{}.y").alias("y"),
+        times.from_millis(sided("collision_date_{}").try_cast("bigint")).alias("event_ts"),
+    ]

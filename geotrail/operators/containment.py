@@ -20,12 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geotrail.functions import geometry as geo
-from geotrail.operators.sizing import SplitPolicy, hot_keys, settled
+from geotrail.operators.sizing import SplitPolicy, estimated_bytes, hot_keys, settled
 
 # Bounds on the broadcast index: rows before grouping, and edges held in them.
 MAX_ENTRIES = 1 << 20
 MAX_EDGES = 1 << 22
 CELLS_PER_FENCE = 256
+FINE_CELLS_PER_FENCE = 4096
+LARGE_INPUT = 1 << 30
+# Index rows above which building it is spread over the cluster.
+SPREAD_ENTRIES = 1 << 15
 EXPONENTS = range(-24, 41)
 CELLS_PER_SIDE = 4
 LEVEL_STEP = 3
@@ -69,7 +73,11 @@ def profile(
     cells_per_fence: int = CELLS_PER_FENCE,
 ) -> FenceProfile:
     """One pass over the prepared fences. Checks that ids are unique and outlines readable,
-    and finds the finest grid that keeps the broadcast index within bounds."""
+    and finds the finest grid that keeps the broadcast index within bounds.
+
+    A box of w by h reaches into at most (w/s + 2)(h/s + 2) cells of size s, so sums over the
+    fences bound the index for every s.
+    """
     per_fence = fences.selectExpr(
         "fence", "edges is not null as readable", "size(edges) as edges", "box.*"
     )
@@ -79,51 +87,61 @@ def profile(
         *[F.expr(f"min({c}) as {c}") for c in ("edges", "x0", "y0")],
         *[F.expr(f"max({c}) as {c}") for c in ("x1", "y1")],
     )
-    cells = "(floor(x1 / size) - floor(x0 / size) + 1D) * (floor(y1 / size) - floor(y0 / size) + 1D)"
-    sizes = ", ".join(f"{2.0**k!r}D" for k in EXPONENTS)
-    summary = (
+    found = (
         per_fence.selectExpr(
-            "*", f"{LEVEL.format('greatest(x1 - x0, y1 - y0)')} as level",
-            f"explode(array({sizes})) as size",
+            "*",
+            "x1 - x0 as w",
+            "y1 - y0 as h",
+            f"{LEVEL.format('greatest(x1 - x0, y1 - y0)')} as level",
         )
-        .selectExpr("*", f"{cells} as cells")
-        .groupBy("size")
-        .agg(
-            F.expr("count(1) as fences"),
-            F.expr("max(copies) as copies"),
-            F.expr("sum(unreadable) as unreadable"),
-            *[F.expr(f"min({c}) as {c}") for c in ("x0", "y0")],
-            *[F.expr(f"max({c}) as {c}") for c in ("x1", "y1")],
-            F.expr("sum(cells) as entries"),
-            F.expr("sum(cells * edges) as entry_edges"),
-            F.expr("collect_set(level) as levels"),
+        .selectExpr(
+            "count(1) as fences",
+            "max(copies) as copies",
+            "sum(unreadable) as unreadable",
+            "min(x0) as x0",
+            "min(y0) as y0",
+            "max(x1) as x1",
+            "max(y1) as y1",
+            "array(sum(w * h), 2 * sum(w + h), 4D * count(1)) as entries",
+            "array(sum(edges * w * h), 2 * sum(edges * (w + h)), 4D * sum(edges)) as entry_edges",
+            "collect_set(level) as levels",
         )
-        .collect()
+        .first()
     )
-    if not summary:
+    if not found["fences"]:
         return FenceProfile(0, None, 0, ())
-    first = summary[0]
-    if first["copies"] > 1:
+    if found["copies"] > 1:
         raise ValueError("fence ids must be unique among valid fences")
-    if first["unreadable"]:
+    if found["unreadable"]:
         raise ValueError("some valid fences have an unreadable outline")
-    if first["x0"] is None:
-        return FenceProfile(first["fences"], None, 0, ())
-    wanted = min(max_entries, max(cells_per_fence * first["fences"], 1024))
+    if found["x0"] is None:
+        return FenceProfile(found["fences"], None, 0, ())
+
+    def bound(sums: list[float], exponent: int) -> float:
+        size = 2.0**exponent
+        return sums[0] / size**2 + sums[1] / size + sums[2]
+
+    wanted = min(max_entries, max(cells_per_fence * found["fences"], 1024))
     fitting = [
-        EXPONENTS[i]
-        for i, row in enumerate(sorted(summary, key=lambda r: r["size"]))
-        if row["entries"] <= wanted and row["entry_edges"] <= max_edges
+        k
+        for k in EXPONENTS
+        if bound(found["entries"], k) <= wanted and bound(found["entry_edges"], k) <= max_edges
     ]
     return FenceProfile(
-        first["fences"],
-        (first["x0"], first["y0"], first["x1"], first["y1"]),
-        min(fitting) if fitting else None,
-        tuple(sorted(first["levels"])),
+        found["fences"],
+        (found["x0"], found["y0"], found["x1"], found["y1"]),
+        fitting[0] if fitting else None,
+        tuple(sorted(found["levels"])),
     )
 
 
-def _cover(fences: DataFrame, size: str, *kept: str) -> DataFrame:
+def resolution(points: DataFrame) -> int:
+    """Cells per fence worth building for an input: the finer the grid, the fewer points need
+    a test, at the price of a larger index."""
+    return CELLS_PER_FENCE if estimated_bytes(points) < LARGE_INPUT else FINE_CELLS_PER_FENCE
+
+
+def _cover(fences: DataFrame, size: str, *kept: str, spread: bool = False) -> DataFrame:
     """One row per fence and cell it reaches into: ``fence, cx, cy, whole, edges`` and ``kept``.
 
     ``whole``: every point of the cell is inside, no test needed. Otherwise ``edges`` holds
@@ -134,10 +152,13 @@ def _cover(fences: DataFrame, size: str, *kept: str) -> DataFrame:
     box = ("a", "b", "c", "d")
     outline = f"exists(edges, e -> {geo.touches_box('e', *box)})"
     inside = geo.contains("edges", "(a + size / 2)", "(c + size / 2)")
+    strips = fences.selectExpr("fence", "edges", "box", *kept, f"{size} as size").selectExpr(
+        "*", columns
+    )
+    if spread:
+        strips = strips.repartition("fence", "cx")
     return (
-        fences.selectExpr("fence", "edges", "box", *kept, f"{size} as size")
-        .selectExpr("*", columns)
-        .selectExpr("fence", "edges", *kept, "size", "cx", rows)
+        strips.selectExpr("fence", "edges", *kept, "size", "cx", rows)
         .selectExpr("*", "cx * size as a", "cy * size as c")
         .selectExpr("*", "a + size as b", "c + size as d")
         .selectExpr("*", f"case when {outline} then false when {inside} then true end as whole")
@@ -166,6 +187,7 @@ class FenceIndex:
     ):
         self.fences = prepared(fences)
         self.policy = policy or SplitPolicy()
+        self.cells_per_fence = cells_per_fence
         self.profile = profile(self.fences, max_entries, max_edges, cells_per_fence)
         if strategy == "auto":
             strategy = "cells" if self.profile.exponent is not None else "grid"
@@ -193,8 +215,9 @@ class FenceIndex:
         """One row per occupied cell: fences that hold all of it, and fences to test."""
         if self.profile.box is None:
             return None
+        spread = self.profile.fences * self.cells_per_fence > SPREAD_ENTRIES
         return (
-            _cover(self.fences, f"{2.0**self.profile.exponent!r}D")
+            _cover(self.fences, f"{2.0**self.profile.exponent!r}D", spread=spread)
             .selectExpr("*", f"{self._cell_number('cx', 'cy')} as _cell")
             .groupBy("_cell")
             .agg(
@@ -239,7 +262,8 @@ class FenceIndex:
     def _levels(self) -> DataFrame:
         level = LEVEL.format("greatest(box.x1 - box.x0, box.y1 - box.y0)")
         leveled = self.fences.selectExpr("*", f"inline(array(struct({level} as level)))")
-        return _cover(leveled, "pow(2D, level)", "level").select(
+        spread = self.profile.fences * (CELLS_PER_SIDE + 1) ** 2 > SPREAD_ENTRIES
+        return _cover(leveled, "pow(2D, level)", "level", spread=spread).select(
             "level", "cx", "cy", "fence", "whole", "edges"
         )
 

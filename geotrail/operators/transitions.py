@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geotrail import schemas
 from geotrail.functions import messages, times
 from geotrail.operators import ordered
 from geotrail.operators.containment import FenceIndex, collect_inside
@@ -80,28 +81,28 @@ def collision_events(
     sets, group = point_sets(points, index, policy or SplitPolicy(), previous)
     in_order = Window.partitionBy(*group).orderBy(F.col(ordered.HALO).desc(), *ORDER)
     before = F.coalesce(F.lag("inside").over(in_order), F.array().cast("array<bigint>"))
-
-    def changes(fences, entered: bool):
-        return F.transform(
-            fences, lambda f: F.struct(f.alias("polygon"), F.lit(entered).alias("in"))
-        )
-
-    left = F.array_except("_before", "inside")
-    joined = F.array_except("inside", "_before")
+    # Left fences first, then entered ones; the position tells which.
     return (
         sets.withColumn("_before", before)
-        .where(~F.col(ordered.HALO))
-        .withColumn("_change", F.explode(F.concat(changes(left, False), changes(joined, True))))
-        .select(
-            F.when(F.col("_change.in"), F.lit(messages.ENTER))
-            .otherwise(F.lit(messages.EXIT))
-            .alias("event_type"),
-            F.col("_change.polygon").alias("polygon"),
+        .where(f"not {ordered.HALO} and inside <> _before")
+        .selectExpr(
+            *POINT_COLUMNS,
+            "array_except(_before, inside) as _left",
+            "array_except(inside, _before) as _joined",
+        )
+        .selectExpr(
+            *POINT_COLUMNS,
+            "size(_left) as _exits",
+            "posexplode(concat(_left, _joined)) as (_at, polygon)",
+        )
+        .selectExpr(
+            f"if(_at < _exits, '{messages.EXIT}', '{messages.ENTER}') as event_type",
+            "polygon",
             "device",
-            F.col("_change.in").alias("in"),
+            "_at >= _exits as in",
             "x",
             "y",
-            F.col("ts").alias("event_ts"),
+            "ts as event_ts",
             "seq",
         )
     )
@@ -131,17 +132,8 @@ def distinct_messages(records: DataFrame) -> DataFrame:
 def read_messages(records: DataFrame) -> DataFrame:
     """Event records back to columns; ``seq`` is the arrival number where there is one."""
     seq = F.col("offset") if "offset" in records.columns else F.lit(None).cast("bigint")
-    return (
-        records.select(messages.parse_event(F.col("value")).alias("e"), seq.alias("seq"))
-        .select("e.*", "seq")
-        .select(
-            "event_type",
-            "polygon",
-            "device",
-            "in",
-            F.col("point.x").alias("x"),
-            F.col("point.y").alias("y"),
-            "event_ts",
-            "seq",
-        )
+    # The generator keeps Catalyst from parsing the text once per field.
+    doc = F.from_json("value", schemas.COLLISION_MESSAGE)
+    return records.select(F.explode(F.array(doc)).alias("_doc"), seq.alias("seq")).select(
+        *messages.event_fields("_doc"), "seq"
     )

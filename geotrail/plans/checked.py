@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from geotrail.functions import geometry as geo
 from geotrail.functions import messages, times
 from geotrail.operators import keyed
-from geotrail.operators.containment import FenceIndex
+from geotrail.operators.containment import FenceIndex, prepared, resolution
 from geotrail.operators.sizing import SplitPolicy
 from geotrail.operators.transitions import (
     collision_events,
@@ -37,7 +37,10 @@ WATCHED_POLYGONS = [0, 1, 2, 3, 5, 8, 13, 21]
 
 
 def _index(spark: SparkSession, folder: str, strategy: str = "auto") -> FenceIndex:
-    return FenceIndex(sample.outlined_fences(spark, folder), strategy)
+    resolved = resolution(sample.locations(spark, folder))
+    return FenceIndex(
+        sample.outlined_fences(spark, folder), strategy, cells_per_fence=resolved
+    )
 
 
 def _tracked(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,8 +96,6 @@ def polygons_scan(spark, folder):
 
 
 def polygons_valid(spark, folder):
-    from geotrail.operators.containment import prepared
-
     fences = prepared(sample.outlined_fences(spark, folder))
     return fences.selectExpr(
         "fence as id_polygon",
@@ -171,13 +172,8 @@ def reject_split(spark, folder):
 def locations_keyed_json(spark, folder):
     """Topic records of the locations, decoded again."""
     records = loc.keyed_messages(sample.locations(spark, folder))
-    parsed = records.select("key", loc.parse_message(F.col("value")).alias("m"))
-    return parsed.selectExpr(
-        "cast(key as bigint) as key_device",
-        "m.device as device",
-        "m.x as x",
-        "m.y as y",
-        "m.micros as epoch_us",
+    return loc.parse_records(records).selectExpr(
+        "cast(key as bigint) as key_device", "device", "x", "y", "micros as epoch_us"
     )
 
 
