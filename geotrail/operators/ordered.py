@@ -107,10 +107,13 @@ def split(df: DataFrame, keys: list[str], position: Column, policy: SplitPolicy)
     )
 
 
-def unsplit(df: DataFrame) -> DataFrame:
-    """The same columns as ``split`` with every key whole."""
-    zero = F.lit(0).cast("bigint")
-    return df.withColumns({CHUNK: zero, START: zero, HOT: F.lit(False)})
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Distribute split rows by key and chunk.
+
+    A window per (key, chunk) asks for this exchange by itself, unless the rows already lie by
+    key alone: Spark takes that as good enough, and a hot key would stay in one task.
+    """
+    return df.repartition(*[F.col(c) for c in (*keys, CHUNK)])
 
 
 def with_neighbour(
@@ -154,7 +157,7 @@ def numbered(
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
     window = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     return (
-        split(df, keys, position, policy)
+        spread(split(df, keys, position, policy), keys)
         .withColumn(name, F.col(START) + F.row_number().over(window))
         .drop(*HELPERS)
     )
@@ -178,7 +181,7 @@ def paged(
     """
     rows = df.withColumn("_element", F.struct(*[F.col(c) for c in order], element.alias("_e")))
     if policy.applies_to(df):
-        rows = split(rows, keys, position, policy)
+        rows = spread(split(rows, keys, position, policy), keys)
         group = [*keys, CHUNK, START]
         window = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     else:

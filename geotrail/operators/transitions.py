@@ -51,6 +51,8 @@ def point_sets(
     rows = rows.select(*columns)
     if index.strategy == "cells":
         sets = index.inside_sets(rows)
+        if ordered.CHUNK in group:
+            sets = ordered.spread(sets, ["device"])
     else:
         found = index.grid_matches(rows, True, ["device", "seq", "ts"])
         sets = collect_inside(found, group, [ordered.HALO, *ORDER], ["x", "y"])
@@ -124,9 +126,9 @@ def event_messages(events: DataFrame) -> DataFrame:
 
 
 def distinct_messages(records: DataFrame) -> DataFrame:
-    """One record per key, as a compacted topic keeps them. Duplicates are combined map-side,
-    so a record repeated without end costs one row per task."""
-    return records.dropDuplicates(["key"])
+    """One record per content, as a topic compacted on the content key keeps them. Duplicates
+    are combined map-side, so a record repeated without end costs one row per task."""
+    return records.select("key", "value").distinct()
 
 
 def read_messages(records: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def visits(
     order = _order(rows)
     if split:
         cut = ordered.split(rows, KEYS, times.epoch_micros(F.col(order[0])), policy)
-        rows = _with_earlier_chunks(_running(cut, [*KEYS, ordered.CHUNK], order))
+        rows = _with_earlier_chunks(_running(ordered.spread(cut, KEYS), [*KEYS, ordered.CHUNK], order))
     else:
         rows = _running(rows, KEYS, order)
     # An exit without effect repeats the number of the last effective one and sorts after it.

@@ -70,34 +70,35 @@ def user_trajectory(
     history: DataFrame, users: DataFrame, user: int, time: str = intervals.ALL
 ) -> DataFrame:
     """Points of one user: ``in_time, id_user, id_device, timestamp, x, y``. Unknown users
-    have none. The single device key reaches the history scan as a runtime filter."""
-    owner = users.where((F.col("id") == user) & F.col("device").isNotNull()).select(
-        F.col("id").alias("id_user"), F.col("device").alias("id_device")
-    )
-    rows = in_window(history, time)
-    return rows.join(owner, rows["id"] == owner["id_device"]).select(
+    have none. The user's device is a scalar subquery, so it filters the history scan itself."""
+    device = users.where(F.col("id") == user).agg(F.max("device")).scalar()
+    return in_window(history.where(F.col("id") == device), time).select(
         F.lit(time).alias("in_time"),
-        "id_user",
-        "id_device",
+        F.lit(user).cast("bigint").alias("id_user"),
+        F.col("id").alias("id_device"),
         "timestamp",
         F.col("point_x").alias("x"),
         F.col("point_y").alias("y"),
     )
 
 
-def _mapped_history(
-    history: DataFrame, users: DataFrame, time: str, ids: list[int] | None
+def _owners(users: DataFrame, ids: list[int] | None) -> DataFrame:
+    """``device, id_user`` of the chosen users. Given a list there are no more rows than its
+    entries, so it is broadcast; all users are left to Spark's size check."""
+    owners = device_users(chosen_users(users, ids))
+    return F.broadcast(owners) if ids else owners
+
+
+def _asked_history(
+    history: DataFrame, owners: DataFrame, time: str, ids: list[int] | None
 ) -> DataFrame:
-    """History with ``id_user, id_device``; devices without a user are left out."""
-    owners = device_users(chosen_users(users, ids)).withColumnRenamed("device", "id_device")
-    rows = in_window(history, time)
-    return rows.join(owners, rows["id"] == owners["id_device"]).select(
-        "id_user",
-        "id_device",
+    rows = in_window(history, time).select(
+        F.col("id").alias("device"),
         "timestamp",
         F.col("point_x").alias("x"),
         F.col("point_y").alias("y"),
     )
+    return rows.join(owners, "device", "left_semi") if ids else rows
 
 
 def trajectories(
@@ -107,15 +108,26 @@ def trajectories(
     ids: list[int] | None = None,
     policy: SplitPolicy | None = None,
 ) -> DataFrame:
-    """Flat trajectories of many users, with the ordinal of each point."""
-    rows = _mapped_history(history, users, time, ids)
-    return ordered.numbered(
-        rows,
-        ["id_user", "id_device"],
+    """Flat trajectories of many users: ``in_time, id_user, id_device, ordinal, timestamp, x,
+    y``. Devices without a user are left out."""
+    owners = _owners(users, ids)
+    # Numbered before the join: rows joined by device would lie by device alone.
+    numbered = ordered.numbered(
+        _asked_history(history, owners, time, ids),
+        ["device"],
         ["timestamp", "x", "y"],
         times.epoch_micros(F.col("timestamp")),
         policy or SplitPolicy(),
-    ).withColumn("in_time", F.lit(time))
+    )
+    return numbered.join(owners, "device").select(
+        F.lit(time).alias("in_time"),
+        "id_user",
+        F.col("device").alias("id_device"),
+        "ordinal",
+        "timestamp",
+        "x",
+        "y",
+    )
 
 
 def trajectory_pages(
@@ -126,19 +138,25 @@ def trajectory_pages(
     policy: SplitPolicy | None = None,
     page_rows: int = 10_000,
 ) -> DataFrame:
-    """Nested trajectories: ``id_user, id_device, first_ordinal, trajectory, in_time``."""
-    rows = _mapped_history(history, users, time, ids)
-    point = F.struct("timestamp", F.struct("x", "y").alias("point"))
-    return ordered.paged(
-        rows,
-        ["id_user", "id_device"],
+    """Nested trajectories: ``in_time, id_user, id_device, first_ordinal, trajectory``."""
+    owners = _owners(users, ids)
+    pages = ordered.paged(
+        _asked_history(history, owners, time, ids),
+        ["device"],
         ["timestamp", "x", "y"],
         times.epoch_micros(F.col("timestamp")),
-        point,
+        F.struct("timestamp", F.struct("x", "y").alias("point")),
         policy or SplitPolicy(),
         "trajectory",
         page_rows,
-    ).withColumn("in_time", F.lit(time))
+    )
+    return pages.join(owners, "device").select(
+        F.lit(time).alias("in_time"),
+        "id_user",
+        F.col("device").alias("id_device"),
+        "first_ordinal",
+        "trajectory",
+    )
 
 
 # -- fences and visits ---------------------------------------------------------------------
@@ -160,15 +178,19 @@ def fence_catalogue(
     )
 
 
-def _restricted(
+def _asked_visits(
     visits: DataFrame, owners: DataFrame, polygons: list[int] | None, ids: list[int] | None
 ) -> DataFrame:
-    rows = visits
-    if polygons:
-        rows = rows.where(F.col("polygon").isin(list(polygons)))
-    if ids:
-        rows = rows.join(owners.select("device"), "device", "left_semi")
-    return rows
+    rows = visits.where(F.col("polygon").isin(list(polygons))) if polygons else visits
+    return rows.join(owners, "device", "left_semi") if ids else rows
+
+
+def _entered_within(visits: DataFrame, time: str) -> DataFrame:
+    date = F.col("enter_date") if "enter_date" in visits.columns else None
+    span = intervals.visit_span(time)
+    return visits.where(
+        intervals.within(F.col("enter_ts"), [span], _is_ntz(visits, "enter_ts"), date)
+    )
 
 
 def _coordinates(point: str) -> Column:
@@ -176,6 +198,17 @@ def _coordinates(point: str) -> Column:
     return F.when(F.col(point).isNotNull(), F.array(F.col(f"{point}.x"), F.col(f"{point}.y")))
 
 
+def _visit_elements() -> list[Column]:
+    return [
+        F.col("polygon").alias("id_polygon"),
+        F.col("inside"),
+        F.col("enter_ts").alias("enter_date"),
+        F.col("exit_ts").alias("exit_date"),
+        _coordinates("enter_point").alias("enter_point"),
+        _coordinates("exit_point").alias("exit_point"),
+    ]
+
+
 def visit_history(
     visits: DataFrame,
     users: DataFrame,
@@ -183,23 +216,15 @@ def visit_history(
     polygons: list[int] | None = None,
     ids: list[int] | None = None,
 ) -> DataFrame:
-    """Visits entered within ``from[;to]``, one row each, by device. The window looks at the
-    enter time only. Devices without a user keep a NULL ``id_user``."""
-    owners = device_users(chosen_users(users, ids))
-    window = intervals.within(
-        F.col("enter_ts"), [intervals.visit_span(time)], _is_ntz(visits, "enter_ts")
-    )
-    rows = _restricted(visits.where(window), owners, polygons, ids)
+    """Visits entered within ``from[;to]``, one row each. The window looks at the enter time
+    only. Devices without a user keep a NULL ``id_user``."""
+    owners = _owners(users, ids)
+    rows = _asked_visits(_entered_within(visits, time), owners, polygons, ids)
     return rows.join(owners, "device", "left").select(
         F.lit(time).alias("time"),
         "id_user",
         F.col("device").alias("id_device"),
-        F.col("polygon").alias("id_polygon"),
-        "inside",
-        F.col("enter_ts").alias("enter_date"),
-        F.col("exit_ts").alias("exit_date"),
-        _coordinates("enter_point").alias("enter_point"),
-        _coordinates("exit_point").alias("exit_point"),
+        *_visit_elements(),
     )
 
 
@@ -213,14 +238,26 @@ def visit_history_pages(
     page_rows: int = 10_000,
 ) -> DataFrame:
     """Nested by device: ``time, id_user, id_device, first_ordinal, collisions``."""
-    element = F.struct(
-        "id_polygon", "inside", "enter_date", "exit_date", "enter_point", "exit_point"
+    owners = _owners(users, ids)
+    rows = _asked_visits(_entered_within(visits, time), owners, polygons, ids)
+    pages = _visit_pages(rows, F.struct(*_visit_elements()), policy, page_rows)
+    return pages.join(owners, "device", "left").select(
+        F.lit(time).alias("time"),
+        "id_user",
+        F.col("device").alias("id_device"),
+        "first_ordinal",
+        "collisions",
     )
+
+
+def _visit_pages(
+    rows: DataFrame, element: Column, policy: SplitPolicy | None, page_rows: int
+) -> DataFrame:
     return ordered.paged(
-        visit_history(visits, users, time, polygons, ids),
-        ["time", "id_user", "id_device"],
-        ["enter_date", "id_polygon"],
-        times.epoch_micros(F.col("enter_date")),
+        rows,
+        ["device"],
+        ["enter_ts", "polygon"],
+        times.epoch_micros(F.col("enter_ts")),
         element,
         policy or SplitPolicy(),
         "collisions",
@@ -236,8 +273,8 @@ def currently_inside(
 ) -> DataFrame:
     """Open visits: ``id_user, id_device, id_polygon, enter_date``; devices without a user are
     left out."""
-    owners = device_users(chosen_users(users, ids))
-    rows = _restricted(visits.where("inside"), owners, polygons, None)
+    owners = _owners(users, ids)
+    rows = _asked_visits(visits.where("inside"), owners, polygons, None)
     return rows.join(owners, "device").select(
         "id_user",
         F.col("device").alias("id_device"),
@@ -255,15 +292,12 @@ def currently_inside_pages(
     page_rows: int = 10_000,
 ) -> DataFrame:
     """Nested by device: ``id_user, id_device, first_ordinal, collisions``."""
-    return ordered.paged(
-        currently_inside(visits, users, polygons, ids),
-        ["id_user", "id_device"],
-        ["enter_date", "id_polygon"],
-        times.epoch_micros(F.col("enter_date")),
-        F.struct("id_polygon", "enter_date"),
-        policy or SplitPolicy(),
-        "collisions",
-        page_rows,
+    owners = _owners(users, ids)
+    rows = _asked_visits(visits.where("inside"), owners, polygons, ids)
+    element = F.struct(F.col("polygon").alias("id_polygon"), F.col("enter_ts").alias("enter_date"))
+    pages = _visit_pages(rows, element, policy, page_rows)
+    return pages.join(owners, "device").select(
+        "id_user", F.col("device").alias("id_device"), "first_ordinal", "collisions"
     )
 
 

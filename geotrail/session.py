@@ -11,6 +11,8 @@ REQUIRED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
+# Beyond this, map outputs become many tiny blocks; larger partitions spill instead.
+MAX_SHUFFLE_PARTITIONS = 65_536
 # Call-site capture on every column function costs more time than planning does.
 AT_START = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
@@ -40,3 +42,12 @@ def shared_folder(spark: SparkSession, default: str | None = None) -> str:
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return folder.rstrip("/")
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int, partition_bytes: int = 128 << 20) -> int:
+    """Let shuffles start with enough partitions for an input of this size; adaptive execution
+    merges those that turn out small. Never below the session's own setting."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(least, min(input_bytes // partition_bytes, MAX_SHUFFLE_PARTITIONS))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
+    return wanted
