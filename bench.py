@@ -45,6 +45,9 @@ def main() -> None:
         f"local[{cpus}]",
         "bench",
         spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
+        # The sample is small: let its shuffles use all local cores.
+        spark__sql__adaptive__coalescePartitions__minPartitionSize="64k",
         spark__driver__memory="16g",
         spark__sql__shuffle__partitions=cpus,
     )

@@ -293,11 +293,12 @@ class FenceIndex:
         columns = [f"`{c}`" for c in points.columns]
         probed = points.selectExpr(*columns, f"inline({rows})")
         index = self._levels()
-        if self.policy.applies_to(points):
+        on_grid = probed.where(F.col("level") != BASE_LEVEL).select(*cell)
+        if self.policy.applies_to(on_grid, cell):
             crowded = F.broadcast(
-                hot_keys(
-                    probed.where(F.col("level") != BASE_LEVEL).select(*cell), cell, self.policy
-                ).selectExpr(*cell, "cast(ceil(rows / row_limit) as int) as _salts")
+                hot_keys(on_grid, cell, self.policy).selectExpr(
+                    *cell, "cast(ceil(rows / row_limit) as int) as _salts"
+                )
             )
             probed = probed.join(crowded, cell, "left").withColumn(
                 "_salt", F.expr(f"cast(pmod({mix}, coalesce(_salts, 1)) as int)")

@@ -152,7 +152,7 @@ def numbered(
     name: str = "ordinal",
 ) -> DataFrame:
     """Row number (from 1) in the order of each key."""
-    if not policy.applies_to(df):
+    if not policy.applies_to(df, keys):
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
     window = Window.partitionBy(*keys, CHUNK).orderBy(*order)
@@ -180,7 +180,7 @@ def paged(
     its (key, chunk).
     """
     rows = df.withColumn("_element", F.struct(*[F.col(c) for c in order], element.alias("_e")))
-    if policy.applies_to(df):
+    if policy.applies_to(df, keys):
         rows = spread(split(rows, keys, position, policy), keys)
         group = [*keys, CHUNK, START]
         window = Window.partitionBy(*keys, CHUNK).orderBy(*order)

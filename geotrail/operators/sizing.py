@@ -17,8 +17,9 @@ class SplitPolicy:
     tables that describe them, which get broadcast, stay below about
     ``2 * max_chunks * cells_per_chunk`` rows whatever the input size.
 
-    ``mode``: "on", "off", or "auto", which skips the counting pass for an input whose
-    estimated size is small enough for a single task.
+    ``mode``: "on", "off", or "auto", which splits only when the input is too large for a
+    single task by its estimated size and a count of its keys then finds a hot one. That
+    count reads the key columns alone; without hot keys the plan stays the plain one.
     """
 
     target_rows: int = 4_000_000
@@ -33,15 +34,25 @@ class SplitPolicy:
     def off(self) -> SplitPolicy:
         return replace(self, mode="off")
 
-    def applies_to(self, df: DataFrame) -> bool:
-        if self.mode != "auto":
+    def looks_into(self, df: DataFrame) -> bool:
+        """Will ``applies_to`` or a split read the rows?"""
+        if self.mode == "auto":
+            return estimated_bytes(df) > self.small_input_bytes
+        return self.mode == "on"
+
+    def applies_to(self, df: DataFrame, keys: list[str]) -> bool:
+        if self.mode != "auto" or not self.looks_into(df):
             return self.mode == "on"
-        return estimated_bytes(df) > self.small_input_bytes
+        return not hot_keys(df.select(*keys), keys, self).isEmpty()
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate; file sizes for file scans, huge when nothing is known."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Size of the inputs a plan reads: file sizes for file scans, huge when nothing is known.
+
+    Taken at the leaves, as Catalyst's estimate above a join multiplies the two sides.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def settled(df: DataFrame) -> DataFrame:

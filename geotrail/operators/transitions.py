@@ -40,7 +40,7 @@ def point_sets(
     """
     rows = points.select(*POINT_COLUMNS)
     zero = F.lit(0).cast("bigint")
-    if policy.applies_to(points):
+    if policy.applies_to(points, ["device"]):
         cut = ordered.split(rows, ["device"], times.epoch_micros(F.col("ts")), policy)
         rows = ordered.with_neighbour(cut, ["device"], ORDER)
         group = ["device", ordered.CHUNK]

@@ -87,9 +87,9 @@ def visits(
     checkpointed first where the cluster names a folder for that.
     """
     policy = policy or SplitPolicy()
-    split = policy.applies_to(events)
-    if split and not stored:
+    if not stored and policy.looks_into(events):
         events = settled(events)
+    split = policy.applies_to(events, KEYS)
     rows = events.withColumn("_is_exit", F.col("event_type") != messages.ENTER)
     order = _order(rows)
     if split:

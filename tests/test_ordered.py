@@ -89,7 +89,8 @@ def test_number_of_hot_keys_is_bounded(skewed):
     assert [r.key for r in hot_keys(skewed, ["key"], some).collect()] == [0]
 
 
-def test_auto_mode_looks_at_the_input_size(skewed, spark, folder):
-    small = spark.read.parquet(f"{folder}/events.parquet")
-    assert not SplitPolicy().applies_to(small)
-    assert SplitPolicy(small_input_bytes=10).applies_to(small)
+def test_auto_mode_looks_at_the_input_size_and_then_for_hot_keys(spark, folder):
+    table = spark.read.parquet(f"{folder}/events.parquet")
+    assert not SplitPolicy(target_rows=10).applies_to(table, ["user_id"])
+    assert not SplitPolicy(small_input_bytes=10).applies_to(table, ["user_id"])
+    assert SplitPolicy(target_rows=10, small_input_bytes=10).applies_to(table, ["user_id"])
