@@ -15,7 +15,7 @@ class SplitPolicy:
     A key is hot when it has more rows than ``target_rows`` or than 1/``max_chunks`` of the
     table, whichever is larger. So there are never more than ``max_chunks`` hot keys, and the
     tables that describe them, which get broadcast, stay below about
-    ``2 * max_chunks * cells_per_chunk`` rows whatever the input size.
+    ``4 * max_chunks * cells_per_chunk`` rows whatever the input size.
 
     ``mode``: "on", "off", or "auto", which splits only when the input is too large for a
     single task by its estimated size and a count of its keys then finds a hot one. That

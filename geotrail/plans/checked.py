@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geotrail import session
 from geotrail.functions import geometry as geo
 from geotrail.functions import messages, times
 from geotrail.operators import keyed
@@ -27,6 +28,7 @@ from geotrail.operators.visits import visits
 from geotrail.plans import reads
 from geotrail.sources import locations as loc
 from geotrail.sources import sample_tables as sample
+from geotrail.streaming import recorder, tracker
 
 HISTORY_WINDOW = "2024-01-10;2d"
 REPEATED_WINDOW = "2024-01-03T06:00;5h;1w;4"
@@ -277,6 +279,42 @@ def current_polygon_set(spark, folder):
     return current.select("device", F.explode("polygons").alias("polygon"))
 
 
+# -- streams -------------------------------------------------------------------------------
+
+
+def stream_events_micro_batch(spark, folder):
+    """The locations replayed as a stream through the micro-batch tracker."""
+    root = session.run_folder(spark)
+    points = tracker_clock(sample.location_stream(spark, folder))
+    run = {"availableNow": True}
+    tracker.micro_batches(points, _index(spark, folder), root, trigger=run).awaitTermination()
+    table = tracker.event_table(spark, root)
+    return _event_rows(_naive(table.read(table.committed()), "event_ts"))
+
+
+def stream_events_stateful(spark, folder):
+    """The locations replayed through the tracker on the state store."""
+    root = session.run_folder(spark)
+    points = tracker_clock(sample.location_stream(spark, folder))
+    events = tracker.stateful(points, _index(spark, folder, "cells"))
+    writer = events.writeStream.format("parquet").option("path", f"{root}/events")
+    writer = writer.option("checkpointLocation", f"{root}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    stored = spark.read.schema(tracker.EVENT).parquet(f"{root}/events")
+    return _event_rows(_naive(stored, "event_ts"))
+
+
+def stream_visits(spark, folder):
+    """Visits recorded in two batches of events, the second continuing the first."""
+    store = recorder.VisitStore(spark, session.run_folder(spark))
+    record = recorder.record_batch(store)
+    events = _events(spark, folder).withColumn("event_ts", F.col("event_ts").cast("timestamp"))
+    middle = F.lit("2024-01-16 00:00:00").cast("timestamp")
+    record(events.where(F.col("event_ts") < middle), 0)
+    record(events.where(F.col("event_ts") >= middle), 1)
+    return _flat_visits(_naive(store.read(), "enter_ts", "exit_ts"))
+
+
 # -- reads ---------------------------------------------------------------------------------
 
 
@@ -393,6 +431,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "visits": query_visits,
     "visits_split": visits_split,
     "current_polygon_set": current_polygon_set,
+    "stream_events_micro_batch": stream_events_micro_batch,
+    "stream_events_stateful": stream_events_stateful,
+    "stream_visits": stream_visits,
     "latest_location": latest_location,
     "device_user_map": device_user_map,
     "latest_by_user": latest_by_user,

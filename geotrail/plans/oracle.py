@@ -177,6 +177,9 @@ ORACLE = {
     "current_polygon_set": _with(
         VISITS, "SELECT DISTINCT device, polygon FROM visit WHERE inside"
     ),
+    "stream_events_micro_batch": _with(EVENTS, _EVENT_COLUMNS),
+    "stream_events_stateful": _with(EVENTS, _EVENT_COLUMNS),
+    "stream_visits": _with(VISITS, _VISIT_COLUMNS),
     "latest_location": _with(LATEST, "SELECT device, x, y, ts, seq FROM latest"),
     "device_user_map": _with(USERS, "SELECT device, id_user FROM owners"),
     "latest_by_user": _with(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Settings that must hold for right results or for the plans in this package.
@@ -36,12 +39,13 @@ def pin(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession, default: str | None = None) -> str:
-    """Folder all executors can reach, named by ``spark.checkpoint.dir``."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or default
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return folder.rstrip("/")
+def run_folder(spark: SparkSession) -> str:
+    """A new folder for the tables of one run, below the one all executors can reach that
+    ``spark.checkpoint.dir`` names. Only without that setting, as in tests, a local one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix="run-")
 
 
 def size_shuffles(spark: SparkSession, input_bytes: int, partition_bytes: int = 128 << 20) -> int:

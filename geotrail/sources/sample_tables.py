@@ -14,9 +14,8 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return session.pin(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
-def locations(spark: SparkSession, folder: str) -> DataFrame:
-    """``seq, device, x, y, ts``."""
-    return _table(spark, folder, "events").select(
+def _as_locations(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("seq"),
         F.col("user_id").alias("device"),
         ((F.col("value") * 7.3) % 100).alias("x"),
@@ -25,6 +24,18 @@ def locations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def locations(spark: SparkSession, folder: str) -> DataFrame:
+    """``seq, device, x, y, ts``."""
+    return _as_locations(_table(spark, folder, "events"))
+
+
+def location_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same locations as a stream over the table's files."""
+    source = spark.readStream.schema(_table(spark, folder, "events").schema)
+    events = source.option("pathGlobFilter", "events.parquet").parquet(folder)
+    return _as_locations(events).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def fences(spark: SparkSession, folder: str) -> DataFrame:
     """``id, category, valid, creation, wkt``: rectangles, triangles, rectangles with a hole."""
     corner = "named_struct('x', {}, 'y', {})"
