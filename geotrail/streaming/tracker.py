@@ -119,27 +119,36 @@ def event_table(spark: SparkSession, root: str) -> BatchTable:
 # -- state store plan ----------------------------------------------------------------------
 
 
-def _changes(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """Events of one device in one trigger; its state is the list of fences it is in."""
-    inside = set(state.get[0]) if state.exists else set()
-    points = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"])
-    found = []
-    for seq, ts, x, y, fences in points[["seq", "ts", "x", "y", "inside"]].itertuples(index=False):
-        now = set(fences)
-        for entered, polygons in ((False, inside - now), (True, now - inside)):
-            kind = messages.ENTER if entered else messages.EXIT
-            found += [(kind, p, key[0], entered, x, y, ts, seq) for p in sorted(polygons)]
-        inside = now
-    state.update(([int(p) for p in sorted(inside)],))
-    yield pd.DataFrame(found, columns=EVENT.fieldNames())
+def _changes_of(columns: list[str], enter: str, leave: str) -> Callable:
+    """The state function. It is built here from plain values, so that it travels to the
+    workers whole and they need not have this package installed."""
+
+    def changes(
+        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        """Events of one device in one trigger; its state is the list of fences it is in."""
+        inside = set(state.get[0]) if state.exists else set()
+        points = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"])
+        points = points[["seq", "ts", "x", "y", "inside"]]
+        found = []
+        for seq, ts, x, y, fences in points.itertuples(index=False):
+            now = set(fences)
+            for kind, polygons in ((leave, inside - now), (enter, now - inside)):
+                found += [
+                    (kind, p, key[0], kind == enter, x, y, ts, seq) for p in sorted(polygons)
+                ]
+            inside = now
+        state.update(([int(p) for p in sorted(inside)],))
+        yield pd.DataFrame(found, columns=columns)
+
+    return changes
 
 
 def stateful(points: DataFrame, index: FenceIndex) -> DataFrame:
     """Streaming DataFrame of events."""
+    changes = _changes_of(EVENT.fieldNames(), messages.ENTER, messages.EXIT)
     return (
         index.inside_sets(points)
         .groupBy("device")
-        .applyInPandasWithState(_changes, EVENT, STATE, "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(changes, EVENT, STATE, "append", GroupStateTimeout.NoTimeout)
     )
