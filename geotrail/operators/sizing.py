@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geotrail.session import shared_folder
+
 
 @dataclass(frozen=True)
 class SplitPolicy:
@@ -56,13 +58,10 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, into the shared checkpoint folder; unchanged where none is named."""
+    """Compute ``df`` once, into the shared checkpoint folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            return df
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

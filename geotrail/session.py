@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,6 +17,8 @@ REQUIRED = {
 }
 # Beyond this, map outputs become many tiny blocks; larger partitions spill instead.
 MAX_SHUFFLE_PARTITIONS = 65_536
+# The shared folder of a session that is one process and names none, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
 # Call-site capture on every column function costs more time than planning does.
 AT_START = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
@@ -39,13 +42,26 @@ def pin(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def run_folder(spark: SparkSession) -> str:
-    """A new folder for the tables of one run, below the one all executors can reach that
-    ``spark.checkpoint.dir`` names. Only without that setting, as in tests, a local one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors can reach, named by ``spark.checkpoint.dir``.
+
+    Without that setting a session that is one process, as in tests, gets one local folder; on
+    a cluster, where executors would each write to a disk of their own, this raises."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="run-")
+        return shared.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="shared-")
+    return _LOCAL_FOLDERS[application]
+
+
+def run_folder(spark: SparkSession) -> str:
+    """A new folder for the tables of one run, below the shared one."""
+    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
 
 
 def size_shuffles(spark: SparkSession, input_bytes: int, partition_bytes: int = 128 << 20) -> int:
