@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotrail.llm import exact_dedup
+from geotrail.llm import exact_dedup, partenum
 from geotrail.llm.tables import documents
 
 
@@ -19,8 +19,13 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(digests, F.col("doc_id") == F.col("_id")).drop("_id")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return partenum.jaccard_components(documents(spark, folder), shingle=3, percent=90)
+
+
 QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
 }
 
 ORACLE = {
