@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotrail.llm import exact_dedup, partenum
+from geotrail.llm import exact_dedup, partenum, toxicity
+from geotrail.llm.labelled import Fold
 from geotrail.llm.tables import documents
 
 
@@ -23,9 +24,24 @@ def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return partenum.jaccard_components(documents(spark, folder), shingle=3, percent=90)
 
 
+TOXICITY_FOLD = Fold(divisor=5, held_out=0)
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    network = toxicity.learnt(docs, documents(spark, folder, "labels"), TOXICITY_FOLD)
+    return toxicity.scored(docs.select("doc_id", "text"), network).select(
+        "_row.doc_id",
+        TOXICITY_FOLD.is_held_out(F.col("_row.doc_id")).alias("held_out"),
+        "score",
+        toxicity.is_toxic(F.col("score")).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {
