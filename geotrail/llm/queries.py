@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotrail.llm import exact_dedup, partenum, toxicity
+from geotrail.llm import exact_dedup, partenum, quality, toxicity
 from geotrail.llm.labelled import Fold
 from geotrail.llm.tables import documents
 
@@ -24,6 +24,20 @@ def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return partenum.jaccard_components(documents(spark, folder), shingle=3, percent=90)
 
 
+QUALITY_FOLD = Fold(divisor=3, held_out=1)
+
+
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    found = quality.learnt(docs, documents(spark, folder, "labels"), QUALITY_FOLD)
+    return quality.scored(docs.select("doc_id", "text"), found).select(
+        "_row.doc_id",
+        QUALITY_FOLD.is_held_out(F.col("_row.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 TOXICITY_FOLD = Fold(divisor=5, held_out=0)
 
 
@@ -40,6 +54,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_toxicity": op10_toxicity,
 }
