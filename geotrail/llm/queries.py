@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotrail.llm import exact_dedup, partenum, quality, toxicity
+from geotrail.llm import exact_dedup, mixing, partenum, quality, toxicity
 from geotrail.llm.labelled import Fold
 from geotrail.llm.tables import documents
 
@@ -24,6 +24,16 @@ def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return partenum.jaccard_components(documents(spark, folder), shingle=3, percent=90)
 
 
+def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixture = mixing.Mixture(documents(spark, folder).select("doc_id", "text", "source"))
+    taken = mixture.taken().groupBy("doc_id").agg(F.sum("words").alias("taken"))
+    return (
+        mixture.sizes()
+        .join(taken, "doc_id", "left")
+        .withColumn("taken", F.coalesce("taken", F.lit(0).cast("bigint")))
+    )
+
+
 QUALITY_FOLD = Fold(divisor=3, held_out=1)
 
 
@@ -54,6 +64,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_source_mixing": op6_source_mixing,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_toxicity": op10_toxicity,
