@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotrail.llm import exact_dedup, mixing, partenum, quality, toxicity
+from geotrail.llm import exact_dedup, mixing, packing, partenum, quality, toxicity
 from geotrail.llm.labelled import Fold
 from geotrail.llm.tables import documents
 
@@ -48,6 +48,11 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    cut = packing.pieces(documents(spark, folder))
+    return packing.packed(cut.withColumn("ids_crc32", packing.checksum(F.col("ids"))).drop("ids"))
+
+
 TOXICITY_FOLD = Fold(divisor=5, held_out=0)
 
 
@@ -67,6 +72,7 @@ QUERIES = {
     "op6_source_mixing": op6_source_mixing,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }
 
