@@ -5,11 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotrail.llm import exact_dedup, mixing, packing, partenum, quality, toxicity
+from geotrail.llm import (
+    exact_dedup,
+    fingerprints,
+    mixing,
+    packing,
+    partenum,
+    quality,
+    toxicity,
+)
 from geotrail.llm.labelled import Fold
 from geotrail.llm.tables import documents
 
 
+def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    found = fingerprints.edited(documents(spark, folder))
+    own, changed, following = (F.col(c) for c in ("sketch", "edited_sketch", "next_sketch"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        fingerprints.as_text(own).alias("fingerprint"),
+        fingerprints.as_text(changed).alias("edited_fingerprint"),
+        fingerprints.resemblance(own, changed).alias("near_edited"),
+        fingerprints.resemblance(own, following).alias("near_next"),
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
     found = exact_dedup.duplicates(docs)
@@ -68,6 +90,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_document_fingerprints": op2_document_fingerprints,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op7_quality_classifier": op7_quality_classifier,
