@@ -12,6 +12,7 @@ from geotrail.llm import (
     packing,
     partenum,
     quality,
+    surrogates,
     toxicity,
 )
 from geotrail.llm.labelled import Fold
@@ -32,6 +33,21 @@ def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+SURROGATE_KEY = "sample tables"
+
+
+def op4_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    entities = F.col("_entities")
+    return surrogates.Surrogates(docs, SURROGATE_KEY).replaced().select(
+        "doc_id",
+        "text",
+        F.size(entities).cast("bigint").alias("n_entities"),
+        F.transform(entities, lambda e: e["kind"]).alias("kinds"),
+        F.transform(entities, lambda e: e["surrogate"]).alias("surrogates"),
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
     found = exact_dedup.duplicates(docs)
@@ -91,6 +107,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op4_pii_surrogates": op4_pii_surrogates,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op7_quality_classifier": op7_quality_classifier,
