@@ -14,6 +14,7 @@ from geotrail.llm import (
     quality,
     surrogates,
     toxicity,
+    warc,
 )
 from geotrail.llm.labelled import Fold
 from geotrail.llm.tables import documents
@@ -33,6 +34,13 @@ def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+FETCH_DATE = "2024-01-01T00:00:00Z"
+
+
+def op3_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.derivatives(warc.responses(documents(spark, folder, "pages"), FETCH_DATE))
+
+
 SURROGATE_KEY = "sample tables"
 
 
@@ -107,6 +115,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_warc_derivatives": op3_warc_derivatives,
     "op4_pii_surrogates": op4_pii_surrogates,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_source_mixing": op6_source_mixing,
@@ -116,7 +125,78 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
+
+
+def _sql_digest(content: str) -> str:
+    """SHA-1 in base 32, ten hexadecimal digits at a time."""
+    part = (
+        "lpad(to_base(CAST('0x' || substr(sha1({0}), {1}, 10) AS BIGINT), 32), 8, '0')"
+    )
+    digits = " || ".join(part.format(content, 10 * n + 1) for n in range(4))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    return f"'sha1:' || translate({digits}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', '{letters}')"
+
+
+def _sql_identifier(source: str) -> str:
+    h = f"md5({source})"
+    return (
+        f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' ||"
+        f" substr({h}, 14, 3) || '-8' || substr({h}, 18, 3) || '-' || substr({h}, 21, 12) || '>'"
+    )
+
+
+def _sql_unescaped(text: str) -> str:
+    for name, char in warc.ENTITIES.items():
+        text = f"replace({text}, '&{name};', '{char.replace(chr(39), chr(39) * 2)}')"
+    return text
+
+
+_SQL_TEXT = _sql_unescaped(
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(body,"
+    f" '(?is)(?:{warc.UNREAD})', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'),"
+    f" '{warc.BREAKS}', chr(10), 'g'), '<[^>]*>', '', 'g')"
+)
+_SQL_TITLE = _sql_unescaped("regexp_extract(body, '(?is)<title[^>]*>(.*?)</title>', 1)")
+
 ORACLE = {
+    "op3_warc_derivatives": rf"""
+        WITH sent AS (
+          SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS body,
+                 chr(13) || chr(10) AS nl,
+                 {_sql_identifier("'response|' || coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '')")}
+                   AS refers_to
+          FROM pages),
+        headed AS (
+          SELECT *, 'Content-Type: text/html; charset=utf-8' AS h1,
+                 'Content-Length: ' || strlen(body)::VARCHAR AS h2 FROM sent),
+        digested AS (
+          SELECT *, {_sql_digest("('HTTP/1.1 200 OK' || nl || h1 || nl || h2 || nl || nl || body)")}
+                   AS source_block_digest,
+                 {_sql_digest("body")} AS source_payload_digest,
+                 trim(regexp_replace({_SQL_TITLE}, '[ \t\r\n\f\x0B]+', ' ', 'g')) AS title,
+                 regexp_extract(body, '(?is)<html[^>]*\blang="([^"]*)"', 1) AS lang,
+                 list_transform(regexp_extract_all(body, '{warc.LINK}', 1),
+                                lambda x: 'outlink: ' || x || nl) AS links,
+                 trim(regexp_replace(regexp_replace({_SQL_TEXT}, '[ \t\r\f\x0B]+', ' ', 'g'),
+                                     ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS txt
+          FROM headed),
+        made AS (
+          SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
+                 'http-status: 200' || nl || 'http-header: ' || h1 || nl || 'http-header: ' || h2
+                 || nl || 'source-block-digest: ' || source_block_digest || nl
+                 || 'source-payload-digest: ' || source_payload_digest || nl
+                 || CASE WHEN title <> '' THEN 'title: ' || title || nl ELSE '' END
+                 || CASE WHEN lang <> '' THEN 'language: ' || lang || nl ELSE '' END
+                 || coalesce(array_to_string(links, ''), '') AS block
+          FROM digested
+          UNION ALL
+          SELECT *, 'conversion', 'text/plain; charset=utf-8', txt FROM digested)
+        SELECT page_id, warc_type, {_sql_identifier("warc_type || '|' || refers_to")} AS record_id,
+               refers_to, target_uri, '{FETCH_DATE}' AS "date", content_type,
+               strlen(block) AS content_length, {_sql_digest("block")} AS block_digest,
+               source_block_digest, source_payload_digest, block
+        FROM made
+    """,
     "op5_exact_dedup": r"""
         WITH hashed AS (
           SELECT doc_id,
