@@ -12,6 +12,7 @@ from geotrail.llm import (
     packing,
     partenum,
     quality,
+    scoring,
     surrogates,
     toxicity,
     warc,
@@ -20,6 +21,13 @@ from geotrail.llm.labelled import Fold
 from geotrail.llm.tables import documents
 
 
+SCORING_FOLD = Fold(divisor=7, held_out=2)
+
+
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.scored(documents(spark, folder), SCORING_FOLD)
+
+
 def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     found = fingerprints.edited(documents(spark, folder))
     own, changed, following = (F.col(c) for c in ("sketch", "edited_sketch", "next_sketch"))
@@ -114,6 +122,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_warc_derivatives": op3_warc_derivatives,
     "op4_pii_surrogates": op4_pii_surrogates,

@@ -1,14 +1,8 @@
-"""Subword ids of whole texts, with a cache of words.
-
-The pre-tokenizer of the byte-level vocabulary starts a new piece at a blank and at a line end
-that stand alone between other characters. So a text without runs of white space can be cut
-there and its parts encoded on their own, and the ids of a part seen before are looked up.
-"""
+"""Subword ids of whole texts."""
 
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -16,93 +10,39 @@ import numpy as np
 VOCABULARY = "byte_bpe_50k"
 END_ID = 0
 SPECIAL = "<|endoftext|>"
-CACHED = 300_000
-_SPACED_OUT = re.compile(r"\s\s|\A\s")
 
 
 class Encoder:
-    """Encodes texts as ``tokenizers`` does with the JSON file of the vocabulary."""
+    """Encodes texts to the ids that ``tokenizers`` gives with the JSON file of the vocabulary.
+
+    The same vocabulary as ranks is several times faster and gives the same ids, but for the
+    special token, which is ordinary text to it; texts that hold it take the slower way."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, cached: int = CACHED):
+    def __init__(self, vocabulary: str = VOCABULARY):
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
-        path = public_tokenizers.path(f"{vocabulary}.tiktoken")
-        with open(path, "rb") as lines:
+        with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding(
             "ids", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
         self.exact = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-        starts = [i for bytes_, i in ranks.items() if bytes_[:1] in (b" ", b"\n")]
-        self.opens = np.zeros(len(ranks) + 1, dtype=bool)
-        self.opens[starts] = True
-        self.limit = cached
-        self.clear()
 
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.held = np.zeros(0, dtype=np.uint16)
-        self.ends = np.zeros(1, dtype=np.int64)
-
-    def _learn(self, parts: list[str]) -> None:
-        """Encode new parts. A blank goes before each unless it starts a line. They are encoded
-        in one go, and cut where a blank or a line end starts an id; only a part that ends in
-        white space would run into the next one."""
-        alone = [p for p in parts if not p or p[-1].isspace()]
-        joined = [p for p in parts if p and not p[-1].isspace()]
-        text = "".join(p if p[0] == "\n" else " " + p for p in joined)
-        ids = [np.array(self.fast(text), dtype=np.uint16)]
-        sizes = [np.diff(np.append(np.flatnonzero(self.opens[ids[0]]), len(ids[0])))]
-        for part in alone:
-            led = part if part.startswith("\n") else " " + part
-            ids.append(np.array(self.fast(led), dtype=np.uint16))
-            sizes.append(np.array([len(ids[-1])]))
-        sizes = np.concatenate(sizes)
-        if len(sizes) != len(parts):
-            raise ValueError("parts of words cannot be told apart in their ids")
-        known = len(self.number)
-        self.number.update(zip(joined + alone, range(known, known + len(parts))))
-        self.held = np.concatenate([self.held, *ids])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+    def encode(self, text: str | None) -> list[int]:
+        """The ids of one text, without any end; none for a null."""
+        if not text:
+            return []
+        if SPECIAL in text:
+            return self.exact.encode(text, add_special_tokens=False).ids
+        return self.fast(text)
 
     def encode_all(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, without any ends, and how many each text has."""
-        if len(self.number) > self.limit:
-            self.clear()
-        split: list = []
-        for text in texts:
-            if not text:
-                split.append([])
-            elif SPECIAL in text:
-                split.append(np.array(self.exact.encode(text, add_special_tokens=False).ids))
-            elif _SPACED_OUT.search(text):
-                split.append(np.array(self.fast(text)))
-            else:
-                # Every line starts with its line end, the first one with one too many.
-                split.append(("\n" + text).replace("\n", " \n").split(" ")[1:])
-        new = set().union(*(parts for parts in split if isinstance(parts, list)))
-        new = [p for p in new if p not in self.number]
-        if new:
-            self._learn(new)
-        out, counts = [], []
-        for parts in split:
-            ids = parts
-            if isinstance(parts, list):
-                ids = self._looked_up(parts) if parts else np.zeros(0, dtype=np.uint16)
-            out.append(ids.astype(np.uint16, copy=False))
-            counts.append(len(ids))
-        flat = np.concatenate(out) if out else np.zeros(0, dtype=np.uint16)
-        return flat, np.array(counts, dtype=np.int64)
-
-    def _looked_up(self, parts: list[str]) -> np.ndarray:
-        at = np.array(list(map(self.number.__getitem__, parts)), dtype=np.int64)
-        starts = self.ends[at]
-        sizes = self.ends[at + 1] - starts
-        total = np.cumsum(sizes)
-        place = np.arange(int(total[-1])) + np.repeat(starts - (total - sizes), sizes)
-        return self.held[place][1:]
+        """Ids of all texts in a row, and how many each text has."""
+        found = [np.array(self.encode(text), dtype=np.uint16) for text in texts]
+        flat = np.concatenate(found) if found else np.zeros(0, dtype=np.uint16)
+        return flat, np.array([len(ids) for ids in found], dtype=np.int64)
 
 
 _ENCODERS: dict[str, Encoder] = {}

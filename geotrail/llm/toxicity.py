@@ -106,9 +106,9 @@ class Network:
 
     def features(self, texts: Texts) -> tuple[np.ndarray, list[np.ndarray]]:
         """Embedded words, and the filters' values at every place, by width."""
-        embedded = self.embedding[texts.rows[:, 0]]
+        embedded = np.take(self.embedding, texts.rows[:, 0].astype(np.intp), axis=0)
         for k in range(1, FEATURES):
-            embedded += self.embedding[texts.rows[:, k]]
+            embedded += np.take(self.embedding, texts.rows[:, k].astype(np.intp), axis=0)
         values = []
         for kernel, bias in zip(self.kernels, self.biases):
             z = embedded @ kernel[0]
@@ -130,13 +130,23 @@ class Network:
         return logistic(self.logits(texts) - self.cuts[texts.language])
 
 
+def _joined(parts: list[Texts]) -> Texts:
+    before = np.cumsum([0] + [len(part.rows) for part in parts[:-1]])
+    return Texts(
+        np.concatenate([part.rows for part in parts]),
+        np.concatenate([part.starts + n for part, n in zip(parts, before)]),
+        np.concatenate([part.sizes for part in parts]),
+        np.concatenate([part.language for part in parts]),
+    )
+
+
 def _log_odds(texts: Texts, labels: np.ndarray, size: int) -> np.ndarray:
     """How much more often the texts of label 1 have a row's word than those of label 0."""
-    text = np.repeat(np.arange(len(texts.starts)), np.diff(np.append(texts.starts, len(texts.rows))))
-    pairs = np.unique((text[:, None] * np.int64(size) + texts.rows).reshape(-1))
-    with_one = labels[pairs // size] == 1
-    one = np.bincount(pairs[with_one] % size, minlength=size)
-    zero = np.bincount(pairs[~with_one] % size, minlength=size)
+    found = np.zeros((2, size))
+    stops = np.append(texts.starts[1:], len(texts.rows))
+    for label, a, b in zip(labels.tolist(), texts.starts.tolist(), stops.tolist()):
+        found[label, np.unique(texts.rows[a:b])] += 1
+    zero, one = found
     return np.log((one + 0.5) / ((labels == 1).sum() + 1)) - np.log(
         (zero + 0.5) / ((labels == 0).sum() + 1)
     )
@@ -218,7 +228,13 @@ def fit(texts: list[str], labels: np.ndarray, settings: Settings = Settings()) -
     held = np.arange(len(texts)) % settings.calibration == settings.calibration - 1
     if len({*labels[~held].tolist()}) < 2:
         return None
-    data = encoded(pa.array(texts, pa.large_string()), settings.bits)
+    held_texts = pa.array(texts, pa.large_string())
+    data = _joined(
+        [
+            encoded(held_texts.slice(a, b - a), settings.bits)
+            for a, b in blocks(held_texts, BLOCK_BYTES)
+        ]
+    )
     learning = np.flatnonzero(~held)
     y = labels[learning]
     train = _part(data, learning)
