@@ -4,6 +4,7 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as contract
+from geotrail.plans.checked import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -11,7 +12,7 @@ def db(folder):
     return connect(folder)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, folder, name):
     _, extra, missing = compare(
         spark, db, contract.queries()[name], contract.oracle_sql()[name], folder
