@@ -75,12 +75,14 @@ class Frequent:
         self.value = np.log10(train + 1.0)
         self.known = train > 0
 
-    def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the words are, and whether they are there."""
+    def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether the words are here, ``log10(c + 1)``, and whether they are in training texts;
+        nothing for words that are not here."""
         if not len(self.words):
-            return np.zeros(len(words), dtype=np.intp), np.zeros(len(words), dtype=bool)
+            return np.zeros(len(words), bool), np.zeros(len(words)), np.zeros(len(words), bool)
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return at, self.words[at] == words
+        there = self.words[at] == words
+        return there, np.where(there, self.value[at], 0.0), there & self.known[at]
 
 
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -100,9 +102,7 @@ def _score(frequent: Frequent, model: attention.Model, vocabulary: str):
                 words, counts, _ = word_hashes(part)
                 words = words.view(np.int64)
                 some, place = np.unique(words, return_inverse=True)
-                at, there = frequent.look_up(some)
-                value = np.where(there, frequent.value[at], 0.0) if len(some) else np.zeros(0)
-                known = there & frequent.known[at] if len(some) else there
+                there, value, known = frequent.look_up(some)
                 text = np.repeat(np.arange(b - a), counts)
                 # Words beyond the frequent ones, with how often a text has each.
                 far = ~there[place]

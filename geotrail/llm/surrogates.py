@@ -108,7 +108,8 @@ def _filled(body: Column) -> Column:
     """``body`` with its letters and digits replaced in order by those of the entity's stream."""
 
     def step(done: Column, c: Column) -> Column:
-        at = F.length(done) % 128 + 1
+        # Separators use up nothing of the stream: other writings get the same letters.
+        at = F.length(F.regexp_replace(done, r"[^\p{L}\p{Nd}]", "")) % 128 + 1
         letter = F.substring(F.col("_letters"), at, F.lit(1))
         return F.concat(
             done,
