@@ -33,7 +33,6 @@ SPREAD_ENTRIES = 1 << 15
 EXPONENTS = range(-24, 41)
 CELLS_PER_SIDE = 4
 LEVEL_STEP = 3
-BASE_LEVEL = -(1 << 20)
 
 
 def prepared(fences: DataFrame) -> DataFrame:
@@ -173,7 +172,9 @@ def _cover(fences: DataFrame, size: str, *kept: str, spread: bool = False) -> Da
 class FenceIndex:
     """Containment against one snapshot of fences.
 
-    ``fences`` has ``id, valid, rings``. ``strategy``: "auto", "cells" or "grid".
+    ``fences`` has ``id, valid, rings``. ``strategy``: "auto", "cells" or "grid". The fences are
+    read once, here, and written to the shared folder: bounds, frame and cells are all of that
+    snapshot, and so is every batch of a stream.
     """
 
     def __init__(
@@ -185,7 +186,7 @@ class FenceIndex:
         max_edges: int = MAX_EDGES,
         cells_per_fence: int = CELLS_PER_FENCE,
     ):
-        self.fences = prepared(fences)
+        self.fences = settled(prepared(fences))
         self.policy = policy or SplitPolicy()
         self.cells_per_fence = cells_per_fence
         self.profile = profile(self.fences, max_entries, max_edges, cells_per_fence)
@@ -231,7 +232,7 @@ class FenceIndex:
 
     def pin(self) -> FenceIndex:
         """Compute the broadcast index once, into the checkpoint folder, for use by many
-        micro-batches: all see the snapshot taken now."""
+        micro-batches."""
         if self._cells is not None:
             self._cells = settled(self._cells)
         return self
@@ -284,16 +285,11 @@ class FenceIndex:
             probe.format(k, f"floor(x / {2.0**k!r}D)", f"floor(y / {2.0**k!r}D)")
             for k in self.profile.levels
         )
-        # The row that stands for the point itself finds no fence; its hashed cell spreads
-        # such rows over all tasks.
-        own = f"array({probe.format(BASE_LEVEL, mix, '0L')})"
-        outside = own if keep_empty else f"slice({own}, 1, 0)"
-        rows = f"if({self._in_box()}, concat(array({probes}), {outside}), {outside})"
         cell = ["level", "cx", "cy"]
         columns = [f"`{c}`" for c in points.columns]
-        probed = points.selectExpr(*columns, f"inline({rows})")
+        probed = points.where(self._in_box()).selectExpr(*columns, f"inline(array({probes}))")
         index = self._levels()
-        on_grid = probed.where(F.col("level") != BASE_LEVEL).select(*cell)
+        on_grid = probed.select(*cell)
         if self.policy.applies_to(on_grid, cell):
             crowded = F.broadcast(
                 hot_keys(on_grid, cell, self.policy).selectExpr(
@@ -308,10 +304,13 @@ class FenceIndex:
             )
             cell = [*cell, "_salt"]
             probed, index = probed.drop("_salts"), index.drop("_salts")
-        joined = probed.join(index, cell, "left" if keep_empty else "inner")
         hit = f"coalesce(whole or {geo.contains('edges', 'x', 'y')}, false)"
-        own_row = f"level = {BASE_LEVEL} or " if keep_empty else ""
-        return joined.where(own_row + hit).selectExpr(*columns, "fence")
+        found = probed.join(index, cell).where(hit).selectExpr(*columns, "fence")
+        if not keep_empty:
+            return found
+        # The rows that stand for the points themselves join the others past the exchange by
+        # cell, where they could find nothing.
+        return found.unionByName(points.selectExpr(*columns, "cast(null as bigint) as fence"))
 
     def pairs(self, points: DataFrame, spread_by: list[str] | None = None) -> DataFrame:
         """One row per point and containing fence: the points' columns and ``fence``."""

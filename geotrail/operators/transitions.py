@@ -131,6 +131,30 @@ def distinct_messages(records: DataFrame) -> DataFrame:
     return records.select("key", "value").distinct()
 
 
+def _usable(records: DataFrame) -> DataFrame:
+    """Records with ``_usable``: whether all fields of an event can be read."""
+    doc = F.from_json("value", schemas.COLLISION_MESSAGE)
+    # The generator keeps Catalyst from parsing the text once per field.
+    parsed = records.select("*", F.explode(F.array(doc)).alias("_doc"))
+    fields = F.struct(*messages.event_fields("_doc"))
+    parsed = parsed.select(*records.columns, F.explode(F.array(fields)).alias("_event"))
+    needed = ("event_type", "polygon", "device", "x", "y", "event_ts")
+    usable = F.lit(True)
+    for name in needed:
+        usable = usable & F.col(f"_event.{name}").isNotNull()
+    return parsed.withColumn("_usable", usable)
+
+
+def accepted_messages(records: DataFrame) -> DataFrame:
+    """Records that hold an event."""
+    return _usable(records).where("_usable").select(*records.columns)
+
+
+def rejected_messages(records: DataFrame) -> DataFrame:
+    """Records set aside because a field is missing or unreadable, with their text."""
+    return _usable(records).where("not _usable").select(*records.columns)
+
+
 def read_messages(records: DataFrame) -> DataFrame:
     """Event records back to columns; ``seq`` is the arrival number where there is one."""
     seq = F.col("offset") if "offset" in records.columns else F.lit(None).cast("bigint")

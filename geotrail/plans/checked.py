@@ -18,23 +18,28 @@ from geotrail.operators import keyed
 from geotrail.operators.containment import FenceIndex, prepared, resolution
 from geotrail.operators.sizing import SplitPolicy
 from geotrail.operators.transitions import (
+    accepted_messages,
     collision_events,
     distinct_messages,
     event_messages,
     read_messages,
+    rejected_messages,
     tracker_clock,
 )
 from geotrail.operators.visits import visits
-from geotrail.plans import reads
+from geotrail.plans import jobs, reads
 from geotrail.sources import locations as loc
 from geotrail.sources import sample_tables as sample
-from geotrail.streaming import recorder, tracker
+from geotrail.streaming import latest, recorder, sinks, tracker
 
 HISTORY_WINDOW = "2024-01-10;2d"
 REPEATED_WINDOW = "2024-01-03T06:00;5h;1w;4"
 VISIT_WINDOW = "2024-01-05T00:00:00;2024-01-20T12:00:00"
 USER = 8
 DEVICE = 7
+OPEN_WINDOW = "2024-01-20T00:00:00"
+CATEGORY = 4
+LISTED_USERS = [i for i in range(1, 200) if i % 3]
 WATCHED_POLYGONS = [0, 1, 2, 3, 5, 8, 13, 21]
 
 
@@ -159,16 +164,13 @@ def reject_split(spark, folder):
         .when(F.col("seq") % 23 == 7, F.regexp_replace(text, r'"id":(\d+)', r'"id":"$1"'))
         .otherwise(text)
     )
+    # Both parts in one pass over the messages.
     parsed = loc.parse_records(points.select("seq", damaged.alias("value")))
-    taken = loc.accepted(parsed).select("seq", F.lit(True).alias("accepted"), "device", "x", "y")
-    aside = loc.rejected(parsed).select(
+    return parsed.select(
         "seq",
-        F.lit(False).alias("accepted"),
-        F.lit(None).cast("bigint").alias("device"),
-        F.lit(None).cast("double").alias("x"),
-        F.lit(None).cast("double").alias("y"),
+        "accepted",
+        *(F.when(F.col("accepted"), F.col(c)).alias(c) for c in ("device", "x", "y")),
     )
-    return taken.unionByName(aside)
 
 
 def locations_keyed_json(spark, folder):
@@ -304,17 +306,115 @@ def stream_events_stateful(spark, folder):
     return _event_rows(_naive(stored, "event_ts"))
 
 
+def _recorded(spark, root: str, path: str) -> recorder.VisitStore:
+    """Visits of the event messages in the files of a folder, as far as they are there."""
+    store = recorder.VisitStore(spark, f"{root}/visits")
+    records = loc.text_records(loc.stream_message_files(spark, path))
+    events = recorder.arriving_events(records)
+    recorder.record_visits(
+        events, store, f"{root}/visits-checkpoint", trigger={"availableNow": True}
+    ).awaitTermination()
+    return store
+
+
 def stream_visits(spark, folder):
-    """Visits recorded in two batches of events, the second continuing the first."""
-    store = recorder.VisitStore(spark, session.run_folder(spark))
-    record = recorder.record_batch(store)
-    events = _events(spark, folder).withColumn("event_ts", F.col("event_ts").cast("timestamp"))
-    middle = F.lit("2024-01-16 00:00:00").cast("timestamp")
-    record(events.where(F.col("event_ts") < middle), 0)
-    record(events.where(F.col("event_ts") >= middle), 1)
+    """Event messages that come out of order, up to weeks late, and twice, through the recorder.
+
+    A message's key says in which two of four deliveries it comes, so each delivery has events
+    of all times. The recorder stops and starts again between them."""
+    root = session.run_folder(spark)
+    part = F.conv(F.substring("key", 1, 6), 16, 10).cast("int") % 4
+    records = event_messages(_events(spark, folder)).withColumn("part", part)
+    for delivery in range(4):
+        now = F.col("part").isin(delivery, (delivery + 1) % 4)
+        records.where(now).select("value").write.mode("append").text(f"{root}/messages")
+        store = _recorded(spark, root, f"{root}/messages")
     return _flat_visits(_naive(store.read(), "enter_ts", "exit_ts"))
 
 
+def stream_pipeline(spark, folder):
+    """From the stream of locations over published event messages to visits."""
+    root, once = session.run_folder(spark), {"availableNow": True}
+    points = tracker_clock(sample.location_stream(spark, folder))
+    tracker.micro_batches(points, _index(spark, folder), root, trigger=once).awaitTermination()
+    records = event_messages(tracker.event_stream(spark, root))
+    published = sinks.publish_files(records, f"{root}/messages", f"{root}/sent", once)
+    published.awaitTermination()
+    store = _recorded(spark, root, f"{root}/messages")
+    return _flat_visits(_naive(store.read(), "enter_ts", "exit_ts"))
+
+
+def reject_split_events(spark, folder):
+    """Event messages, some of them damaged: cut off, with an unreadable fence, without a time."""
+    events = _events(spark, folder)
+    value = messages.event_json(
+        F.col("event_type"),
+        F.col("polygon"),
+        F.col("device"),
+        F.col("x"),
+        F.col("y"),
+        times.epoch_millis(F.col("event_ts")),
+    )
+    damaged = (
+        F.when(F.col("seq") % 17 == 3, F.substring(value, 1, 25))
+        .when(F.col("seq") % 19 == 5, F.regexp_replace(value, r'"polygon": \d+', '"polygon": "x"'))
+        .when(F.col("seq") % 23 == 7, F.regexp_replace(value, "collision_date", "date"))
+        .otherwise(value)
+    )
+    records = events.select("seq", F.col("polygon").alias("of"), damaged.alias("value"))
+    taken = accepted_messages(records).withColumn("accepted", F.lit(True))
+    aside = rejected_messages(records).withColumn("accepted", F.lit(False))
+    return taken.unionByName(aside).select(
+        "seq", F.col("of").alias("polygon"), "accepted", F.length("value").cast("bigint").alias("size")
+    )
+
+
+def _latest_streamed(spark, folder):
+    root = session.run_folder(spark)
+    view = latest.latest_view(spark, f"{root}/latest")
+    points = sample.location_stream(spark, folder)
+    latest.record_latest(
+        points, view, f"{root}/checkpoint", {"availableNow": True}
+    ).awaitTermination()
+    return _naive(view.read(), "ts")
+
+
+def stream_latest(spark, folder):
+    """The last arrival of each device, kept up by a stream, to the microsecond."""
+    return _latest_streamed(spark, folder).select("device", "x", "y", "ts", "seq")
+
+
+def latest_by_user_streamed(spark, folder):
+    return reads.actual_locations(_latest_streamed(spark, folder), sample.users(spark, folder))
+
+
+def history_settled(spark, folder):
+    """History that lands from a stream and is brought into the sorted table day by day; one of
+    the days twice."""
+    root = session.run_folder(spark)
+    points = sample.location_stream(spark, folder)
+    landing, table = f"{root}/landing", f"{root}/history"
+    once = {"availableNow": True}
+    sinks.append_history(points, landing, f"{root}/checkpoint", once).awaitTermination()
+    days = [
+        str(r["event_date"])
+        for r in loc.read_history(spark, landing).select("event_date").distinct().collect()
+    ]
+    loc.settle_days(spark, landing, table, days)
+    loc.settle_days(spark, landing, table, sorted(days)[:1])
+    return _naive(loc.read_history(spark, table), "timestamp")
+
+
+def visits_stored(spark, folder):
+    """The visit history from a stored table, of which only the days asked for are read."""
+    root = session.run_folder(spark)
+    _events(spark, folder).write.parquet(f"{root}/events")
+    jobs.write_visits(spark, f"{root}/events", f"{root}/visits")
+    stored = spark.read.parquet(f"{root}/visits")
+    rows = reads.visit_history(stored, sample.users(spark, folder), VISIT_WINDOW)
+    return _flat_points(rows)
+
+
 # -- reads ---------------------------------------------------------------------------------
 
 
@@ -330,6 +430,10 @@ def latest_by_user(spark, folder):
     return reads.actual_locations(_latest(spark, folder), sample.users(spark, folder))
 
 
+def latest_of_users(spark, folder):
+    return reads.actual_locations(_latest(spark, folder), sample.users(spark, folder), LISTED_USERS)
+
+
 def active_users(spark, folder):
     return reads.active_users(_latest(spark, folder), sample.users(spark, folder))
 
@@ -354,6 +458,16 @@ def trajectories_by_user(spark, folder):
     )
 
 
+def trajectory_all(spark, folder):
+    """One user's whole history."""
+    return reads.user_trajectory(_history(spark, folder), sample.users(spark, folder), USER)
+
+
+def trajectories_of_users(spark, folder):
+    users = sample.users(spark, folder)
+    return reads.trajectories(_history(spark, folder), users, HISTORY_WINDOW, LISTED_USERS)
+
+
 def trajectory_pages(spark, folder):
     """Nested trajectories of the whole history, in pages of 16 points, unnested again."""
     pages = reads.trajectory_pages(
@@ -379,6 +493,43 @@ def polygons_catalog(spark, folder):
     ).drop("fence")
 
 
+def polygons_catalog_category(spark, folder):
+    """Fences of one category that are not valid."""
+    return reads.fence_catalogue(
+        sample.fences(spark, folder), sample.categories(spark, folder), False, CATEGORY
+    ).drop("fence")
+
+
+def visits_history_open_end(spark, folder):
+    rows = reads.visit_history(_visits(spark, folder), sample.users(spark, folder), OPEN_WINDOW)
+    return _flat_points(rows)
+
+
+def visits_history_paged(spark, folder):
+    """Nested visits in pages of 16, unnested again."""
+    pages = reads.visit_history_pages(
+        _visits(spark, folder), sample.users(spark, folder), VISIT_WINDOW, page_rows=16
+    )
+    rows = pages.selectExpr(
+        "time", "id_user", "id_device", "first_ordinal", "posexplode(collisions) as (n, v)"
+    )
+    rows = rows.selectExpr("time", "id_user", "id_device", "first_ordinal + n as ordinal", "v.*")
+    return _flat_points(rows)
+
+
+def currently_inside_paged(spark, folder):
+    pages = reads.currently_inside_pages(
+        _visits(spark, folder), sample.users(spark, folder), page_rows=2
+    )
+    return pages.selectExpr("id_user", "id_device", "inline(collisions)")
+
+
+def currently_inside_listed(spark, folder):
+    return reads.currently_inside(
+        _visits(spark, folder), sample.users(spark, folder), WATCHED_POLYGONS, LISTED_USERS
+    )
+
+
 def visits_history(spark, folder):
     rows = reads.visit_history(_visits(spark, folder), sample.users(spark, folder), VISIT_WINDOW)
     return _flat_points(rows)
@@ -386,13 +537,12 @@ def visits_history(spark, folder):
 
 def visits_history_restricted(spark, folder):
     """The visit history with lists of fences and users given."""
-    users = [i for i in range(1, 200) if i % 3]
     rows = reads.visit_history(
         _visits(spark, folder),
         sample.users(spark, folder),
         VISIT_WINDOW,
         WATCHED_POLYGONS,
-        users,
+        LISTED_USERS,
     )
     return _flat_points(rows)
 
@@ -434,6 +584,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_events_micro_batch": stream_events_micro_batch,
     "stream_events_stateful": stream_events_stateful,
     "stream_visits": stream_visits,
+    "stream_pipeline": stream_pipeline,
+    "reject_split_events": reject_split_events,
+    "stream_latest": stream_latest,
+    "latest_by_user_streamed": latest_by_user_streamed,
+    "history_settled": history_settled,
+    "visits_stored": visits_stored,
+    "latest_of_users": latest_of_users,
+    "trajectory_all": trajectory_all,
+    "trajectories_of_users": trajectories_of_users,
+    "polygons_catalog_category": polygons_catalog_category,
+    "visits_history_open_end": visits_history_open_end,
+    "visits_history_paged": visits_history_paged,
+    "currently_inside_paged": currently_inside_paged,
+    "currently_inside_listed": currently_inside_listed,
     "latest_location": latest_location,
     "device_user_map": device_user_map,
     "latest_by_user": latest_by_user,

@@ -107,6 +107,13 @@ _TWO_DAYS_LATER = """h."timestamp" >= TIMESTAMP '2024-01-10 00:00:00'
 _WATCHED = ", ".join(map(str, checked.WATCHED_POLYGONS))
 
 
+_BY_USER = """SELECT p.id AS user_id, p.device AS device_id, l.x, l.y,
+  epoch_us(l.ts) AS "timestamp" FROM people p JOIN latest l ON l.device = p.device"""
+_LISTED = f"id IN ({', '.join(map(str, checked.LISTED_USERS))})"
+_INSIDE = """SELECT o.id_user, v.device AS id_device, v.polygon AS id_polygon,
+  v.enter_ts AS enter_date FROM visit v JOIN owners o ON o.device = v.device WHERE v.inside"""
+
+
 def _with(parts: str, body: str) -> str:
     return f"WITH {parts}\n{body}"
 
@@ -180,6 +187,79 @@ ORACLE = {
     "stream_events_micro_batch": _with(EVENTS, _EVENT_COLUMNS),
     "stream_events_stateful": _with(EVENTS, _EVENT_COLUMNS),
     "stream_visits": _with(VISITS, _VISIT_COLUMNS),
+    "stream_pipeline": _with(VISITS, _VISIT_COLUMNS),
+    "reject_split_events": _with(
+        EVENTS,
+        """SELECT seq, polygon, seq % 17 <> 3 AND seq % 19 <> 5 AND seq % 23 <> 7 AS accepted,
+             CASE WHEN seq % 17 = 3 THEN 25 ELSE length(value)
+               - CASE WHEN seq % 19 = 5 THEN length(CAST(polygon AS VARCHAR)) - 3
+                      WHEN seq % 23 = 7 THEN length('collision_') ELSE 0 END END AS size
+           FROM (SELECT *, '{"event_type": "' || event_type || '", "polygon": ' || polygon
+                   || ', "device": ' || device || ', "in": ' || "in"
+                   || ', "collision_point_' || CASE WHEN "in" THEN 'in' ELSE 'out' END
+                   || '": {"x": ' || x || ', "y": ' || y
+                   || '}, "collision_date_' || CASE WHEN "in" THEN 'in' ELSE 'out' END
+                   || '": "' || epoch_ms(event_ts) || '"}' AS value
+                 FROM collisions) c""",
+    ),
+    "stream_latest": _with(LATEST, "SELECT device, x, y, ts, seq FROM latest"),
+    "latest_by_user_streamed": _with(f"{LATEST},{USERS}", _BY_USER),
+    "history_settled": _with(
+        HISTORY,
+        """SELECT id, point_x, point_y, "timestamp", CAST("timestamp" AS DATE) AS event_date
+           FROM history""",
+    ),
+    "visits_stored": _with(
+        f"{VISITS},{USERS}",
+        _VISIT_HISTORY.format(
+            user="o.id_user", owner="LEFT JOIN owners o ON o.device = v.device"
+        ),
+    ),
+    "latest_of_users": _with(f"{LATEST},{USERS}", f"{_BY_USER} WHERE p.{_LISTED}"),
+    "trajectory_all": _with(
+        f"{HISTORY},{USERS}",
+        f"""SELECT 'all' AS in_time, p.id AS id_user, p.device AS id_device,
+              h."timestamp", h.point_x AS x, h.point_y AS y
+            FROM people p JOIN history h ON h.id = p.device WHERE p.id = {checked.USER}""",
+    ),
+    "trajectories_of_users": _with(
+        f"{HISTORY},{USERS}",
+        f"""SELECT '{checked.HISTORY_WINDOW}' AS in_time, o.id_user, o.device AS id_device,
+              h."timestamp", h.point_x AS x, h.point_y AS y,
+              row_number() OVER (PARTITION BY o.device
+                ORDER BY h."timestamp", h.point_x, h.point_y) AS ordinal
+            FROM (SELECT id AS id_user, device FROM people) o JOIN history h ON h.id = o.device
+            WHERE o.id_user < 200 AND o.id_user % 3 <> 0 AND {_TWO_DAYS_LATER}""",
+    ),
+    "polygons_catalog_category": _with(
+        FENCES,
+        f"""SELECT s.id, TIMESTAMP '2024-01-01 00:00:00' AS creation, s.valid,
+              r.r_name AS category
+            FROM shape s JOIN region r ON r.r_regionkey = s.category
+            WHERE NOT s.valid AND s.category = {checked.CATEGORY}""",
+    ),
+    "visits_history_open_end": _with(
+        f"{VISITS},{USERS}",
+        f"""SELECT '{checked.OPEN_WINDOW}' AS "time", o.id_user, v.device AS id_device,
+              v.polygon AS id_polygon, v.inside, v.enter_ts AS enter_date, v.exit_ts AS exit_date,
+              v.in_x AS enter_point_x, v.in_y AS enter_point_y, v.out_x AS exit_point_x,
+              v.out_y AS exit_point_y
+            FROM visit v LEFT JOIN owners o ON o.device = v.device
+            WHERE v.enter_ts >= TIMESTAMP '2024-01-20 00:00:00'""",
+    ),
+    "visits_history_paged": _with(
+        f"{VISITS},{USERS}",
+        _VISIT_HISTORY.format(
+            user="row_number() OVER (PARTITION BY v.device ORDER BY v.enter_ts, v.polygon)"
+            " AS ordinal, o.id_user",
+            owner="LEFT JOIN owners o ON o.device = v.device",
+        ),
+    ),
+    "currently_inside_paged": _with(f"{VISITS},{USERS}", _INSIDE),
+    "currently_inside_listed": _with(
+        f"{VISITS},{USERS}",
+        f"{_INSIDE} AND v.polygon IN ({_WATCHED}) AND o.id_user < 200 AND o.id_user % 3 <> 0",
+    ),
     "latest_location": _with(LATEST, "SELECT device, x, y, ts, seq FROM latest"),
     "device_user_map": _with(USERS, "SELECT device, id_user FROM owners"),
     "latest_by_user": _with(

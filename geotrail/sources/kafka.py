@@ -20,16 +20,17 @@ def secured(protocol: str = "SASL_SSL", mechanism: str = "PLAIN", login: str = "
 
 def source_options(
     servers: str, topic: str, committed_only: bool = False, max_offsets: int = 50_000_000,
-    extra: dict | None = None,
+    extra: dict | None = None, skip_lost: bool = False,
 ) -> dict:
     """Start at the earliest offset; later runs go on from the query's checkpoint. The limit
-    per trigger bounds a micro-batch, also when a long backlog is read."""
+    per trigger bounds a micro-batch, also when a long backlog is read. Offsets that the topic
+    has lost stop the query, unless the caller says to ``skip_lost`` ones."""
     options = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
         "startingOffsets": "earliest",
         "maxOffsetsPerTrigger": str(max_offsets),
-        "failOnDataLoss": "false",
+        "failOnDataLoss": str(not skip_lost).lower(),
     }
     if committed_only:
         options["kafka.isolation.level"] = "read_committed"

@@ -79,7 +79,8 @@ def write_history(points: DataFrame, path: str, mode: str = "append") -> None:
     """Write points partitioned by day and sorted by device and time within a day.
 
     The range partitioning splits a busy device over many files, and the sort lets the row
-    group statistics skip all files but those of the devices asked for.
+    group statistics skip all files but those of the devices asked for. With the mode
+    "overwrite" the days of these points are replaced, and no other day.
     """
     by = ["event_date", "id", "timestamp"]
     rows = history_rows(points)
@@ -87,11 +88,21 @@ def write_history(points: DataFrame, path: str, mode: str = "append") -> None:
         rows.repartitionByRange(*by)
         .sortWithinPartitions(*by)
         .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("event_date")
         .parquet(path)
     )
 
 
+def settle_days(spark: SparkSession, landing: str, path: str, days: list[str]) -> None:
+    """Bring some days of a streamed history (``landing``) into the sorted layout of the table
+    at ``path``, replacing what the table has of these days. Running it again for a day, or
+    after late rows have landed, gives the whole day as it is then."""
+    landed = read_history(spark, landing)
+    landed = landed.where(F.col("event_date").isin([F.lit(d).cast("date") for d in days]))
+    write_history(as_points(landed), path, "overwrite")
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.HISTORY).parquet(path)
 

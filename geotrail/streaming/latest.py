@@ -1,58 +1,40 @@
-"""Latest location and containing fences per device, kept up by micro-batches.
+"""The last location of each device, in two tables that differ on purpose.
 
-A batch adds one small folder with the devices it saw. Every ``compact_every`` batches the
-folders are merged into a new base, so a batch costs in proportion to its own devices.
+``latest_view`` holds the last arrival with the time as it was sent, to the microsecond; it is
+kept up by a stream of its own. ``tracker_state`` belongs to the tracker: its clock is cut to
+milliseconds, and within a batch its points count in the order of time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geotrail.streaming.store import BatchTable
-
-SCHEMA = T.StructType(
-    [
-        T.StructField("device", T.LongType()),
-        T.StructField("seq", T.LongType()),
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("x", T.DoubleType()),
-        T.StructField("y", T.DoubleType()),
-        T.StructField("inside", T.ArrayType(T.LongType())),
-    ]
-)
-
-
-class LatestStore:
-    def __init__(self, spark: SparkSession, root: str, compact_every: int = 20):
-        self.base = BatchTable(spark, f"{root}/base", SCHEMA)
-        self.changes = BatchTable(spark, f"{root}/changes", SCHEMA)
-        self.compact_every = compact_every
-
-    def read(self, below: int | None = None) -> DataFrame:
-        """One row per device: what the batches (below a number) left behind. The later batch
-        wins, whatever the times: later arrival replaces earlier."""
-        bases = self.base.committed(below)[-1:]
-        after = bases[0] if bases else -1
-        changes = [b for b in self.changes.committed(below) if b > after]
-        rows = self.base.read(bases).unionByName(self.changes.read(changes))
-        values = F.struct(*[c for c in SCHEMA.fieldNames() if c != "device"])
-        return (
-            rows.groupBy("device")
-            .agg(F.max_by(values, "batch").alias("_v"))
-            .select("device", "_v.*")
-        )
-
-    def put(self, batch: int, rows: DataFrame) -> None:
-        """Add the last point per device of a batch."""
-        self.changes.put(batch, rows)
-        if batch % self.compact_every == self.compact_every - 1:
-            self.base.put(batch, self.read(below=batch + 1))
-            # The previous base and its followers stay for readers that have just opened them.
-            kept = ([-1, -1, *self.base.committed()])[-2]
-            self.changes.drop([b for b in self.changes.committed() if b <= kept])
-            self.base.drop([b for b in self.base.committed() if b < kept])
+from geotrail.operators import keyed
+from geotrail.streaming.store import KeyedTable
+
+POINT = [
+    T.StructField("device", T.LongType()),
+    T.StructField("seq", T.LongType()),
+    T.StructField("ts", T.TimestampType()),
+    T.StructField("x", T.DoubleType()),
+    T.StructField("y", T.DoubleType()),
+]
+STATE = T.StructType([*POINT, T.StructField("inside", T.ArrayType(T.LongType()))])
+
+
+def tracker_state(spark: SparkSession, root: str, compact_every: int = 20) -> KeyedTable:
+    """Last point and containing fences per device."""
+    return KeyedTable(spark, root, STATE, ["device"], "device", compact_every=compact_every)
+
+
+def latest_view(spark: SparkSession, root: str, compact_every: int = 20) -> KeyedTable:
+    """Last arrival per device."""
+    schema = T.StructType(POINT)
+    return KeyedTable(spark, root, schema, ["device"], "device", compact_every=compact_every)
 
 
 def last_points(points: DataFrame) -> DataFrame:
@@ -63,3 +45,26 @@ def last_points(points: DataFrame) -> DataFrame:
         .agg(F.max_by(values, F.struct("ts", "seq")).alias("_v"))
         .select("device", "_v.*")
     )
+
+
+def latest_batch(view: KeyedTable) -> Callable[[DataFrame, int], None]:
+    """Function for ``foreachBatch`` on points: the last arrival of each device in the batch
+    replaces the stored one, whatever the times."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        view.put(number, keyed.latest_locations(batch))
+
+    return run
+
+
+def record_latest(
+    points: DataFrame, view: KeyedTable, checkpoint: str, trigger: dict | None = None
+):
+    """Start keeping the view of a stream of points ``device, seq, ts, x, y``. A batch writes
+    its own devices and reads nothing."""
+    return (
+        points.writeStream.foreachBatch(latest_batch(view))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "5 seconds"}))
+        .start()
+    )

@@ -1,7 +1,11 @@
-"""Visits kept up from a stream of events.
-
-Closed visits never change and are appended; open visits are carried from batch to batch and
-are the only rows rewritten.
+"""Visits kept up from a stream of events that may come late, twice and in any order.
+
+What is stored is one row per event: an enter with the exit that closes it, if there is one, or
+an exit without a visit. A batch reads the rows of its own (device, polygon) pairs that its
+events can still change: those that are open or end at or after the first of its events. The
+batch's events and those of these rows are paired anew by the batch operator, so the result is
+that of all events read in order of time. An event that is already stored changes nothing, and
+no event is ever too late.
 """
 
 from __future__ import annotations
@@ -16,88 +20,161 @@ from pyspark.sql import types as T
 from geotrail import schemas
 from geotrail.functions import messages
 from geotrail.operators.sizing import SplitPolicy
-from geotrail.operators.transitions import read_messages
+from geotrail.operators.transitions import accepted_messages, read_messages
 from geotrail.operators.visits import visits
-from geotrail.streaming.store import BatchTable
+from geotrail.streaming.store import KeyedTable
 
-VISIT = T.StructType(
+PAIR = ["device", "polygon"]
+# An event is its content: the same message again is the same event.
+IDENTITY = [*PAIR, "event_type", "event_ts", "x", "y"]
+RECORD = T.StructType(
     [
         T.StructField("device", T.LongType()),
         T.StructField("polygon", T.LongType()),
-        T.StructField("inside", T.BooleanType()),
-        T.StructField("enter_ts", T.TimestampType()),
-        T.StructField("enter_point", schemas.POINT),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("event_ts", T.TimestampType()),
+        T.StructField("x", T.DoubleType()),
+        T.StructField("y", T.DoubleType()),
+        T.StructField("seq", T.LongType()),
         T.StructField("exit_ts", T.TimestampType()),
         T.StructField("exit_point", schemas.POINT),
+        T.StructField("exit_seq", T.LongType()),
+        # An exit that has found its visit since is part of that row.
+        T.StructField("gone", T.BooleanType()),
     ]
 )
 
 
 class VisitStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.open = BatchTable(spark, f"{root}/open", VISIT)
-        self.closed = BatchTable(spark, f"{root}/closed", VISIT)
+    def __init__(self, spark: SparkSession, root: str, compact_every: int = 20):
+        self.rows = KeyedTable(
+            spark, root, RECORD, IDENTITY, "device", compact_every=compact_every
+        )
 
     def read(self) -> DataFrame:
         """All visits as of the last finished batch."""
-        last = self.open.committed()[-1:]
-        closed = self.closed.committed(below=last[0] + 1) if last else []
-        return self.open.read(last).unionByName(self.closed.read(closed)).drop("batch")
-
-
-def distinct_events(records: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Streaming records parsed, with repeats of a message dropped when they come within
-    ``delay`` of its event time. Late messages themselves are kept only within the delay."""
-    keyed = read_messages(records).withColumn(
-        "key",
-        messages.content_key(
-            F.concat_ws("|", "event_type", "polygon", "device", F.unix_millis("event_ts"))
-        ),
-    )
-    return (
-        keyed.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["key"]).drop("key")
+        entered = self.rows.read().where(F.col("event_type") == messages.ENTER)
+        return entered.select(
+            *PAIR,
+            F.col("exit_ts").isNull().alias("inside"),
+            F.col("event_ts").alias("enter_ts"),
+            F.struct("x", "y").alias("enter_point"),
+            "exit_ts",
+            "exit_point",
+        )
+
+
+def arriving_events(records: DataFrame) -> DataFrame:
+    """Usable events of message records; see ``rejected_messages`` for the others."""
+    return read_messages(accepted_messages(records))
+
+
+def _stored_events(rows: DataFrame) -> DataFrame:
+    """The events that stored rows stand for."""
+    own = rows.select(*IDENTITY, "seq")
+    closing = rows.where("exit_ts is not null").select(
+        *PAIR,
+        F.lit(messages.EXIT).alias("event_type"),
+        F.col("exit_ts").alias("event_ts"),
+        F.col("exit_point.x").alias("x"),
+        F.col("exit_point.y").alias("y"),
+        F.col("exit_seq").alias("seq"),
     )
+    return own.unionByName(closing)
 
 
 def record_batch(
     store: VisitStore, policy: SplitPolicy | None = None
 ) -> Callable[[DataFrame, int], None]:
-    """Function for ``foreachBatch`` on events. The visits open before a batch take part as
-    enters that come before all of its events."""
+    """Function for ``foreachBatch`` on events; replaying a batch gives the same table."""
     policy = policy or SplitPolicy()
 
     def run(batch: DataFrame, number: int) -> None:
-        once = batch.dropDuplicates(["event_type", "polygon", "device", "event_ts"])
-        events = once.persist(StorageLevel.MEMORY_AND_DISK)
+        fresh = batch.select(*IDENTITY, "seq").where(
+            "device is not null and polygon is not null and event_ts is not null"
+        )
+        fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            size, first = events.agg(F.count(F.lit(1)), F.min("event_ts")).first()
+            size = fresh.count()
+            if not size:
+                return
             crowded = size > policy.target_rows
             split = policy if policy.mode == "on" else policy.forced() if crowded else policy.off()
-            before = store.open.read(store.open.committed(below=number)[-1:])
-            carried = before.select(
-                F.lit(messages.ENTER).alias("event_type"),
-                "polygon",
-                "device",
-                F.lit(True).alias("in"),
-                F.col("enter_point.x").alias("x"),
-                F.col("enter_point.y").alias("y"),
-                F.col("enter_ts").alias("event_ts"),
-                F.lit(-1).cast("bigint").alias("seq"),
-                F.least("enter_ts", F.lit(first).cast("timestamp")).alias("order_ts"),
+            since = fresh.groupBy(*PAIR).agg(F.min("event_ts").alias("_since"))
+            stored = store.rows.read(below=number, buckets=store.rows.needed(fresh))
+            still = F.when(
+                F.col("event_type") == messages.ENTER,
+                F.col("exit_ts").isNull() | (F.col("exit_ts") >= F.col("_since")),
+            ).otherwise(F.col("event_ts") >= F.col("_since"))
+            touched = stored.where("not gone").join(since, PAIR).where(still).drop("_since")
+            touched = touched.persist(StorageLevel.MEMORY_AND_DISK)
+            events = (
+                _stored_events(touched)
+                .unionByName(fresh)
+                .groupBy(*IDENTITY)
+                .agg(F.min("seq").alias("seq"))
+                .withColumn("in", F.col("event_type") == messages.ENTER)
+                .persist(StorageLevel.MEMORY_AND_DISK)
             )
-            current = events.withColumn("order_ts", F.col("event_ts")).unionByName(carried)
-            after = visits(current, split).persist(StorageLevel.MEMORY_AND_DISK)
-            store.closed.put(number, after.where(~F.col("inside")))
-            # Written last: readers take the batch as finished once it is there.
-            store.open.put(number, after.where("inside"))
-            after.unpersist()
-            store.open.drop(store.open.committed(below=number)[:-1])
-        finally:
+            store.rows.put(number, _changes(events, touched, split))
             events.unpersist()
+            touched.unpersist()
+        finally:
+            fresh.unpersist()
 
     return run
 
 
+def _changes(events: DataFrame, touched: DataFrame, policy: SplitPolicy) -> DataFrame:
+    """Stored rows of the pairs' events, as they are paired now."""
+    paired = visits(events, policy).select(
+        *PAIR,
+        F.lit(messages.ENTER).alias("event_type"),
+        F.col("enter_ts").alias("event_ts"),
+        F.col("enter_point.x").alias("x"),
+        F.col("enter_point.y").alias("y"),
+        "exit_ts",
+        "exit_point",
+    )
+    # The order of arrival stays with its event.
+    known = events.select(*IDENTITY, "seq")
+    of_exit = known.where(F.col("event_type") == messages.EXIT).select(
+        *PAIR,
+        F.col("event_ts").alias("exit_ts"),
+        F.struct("x", "y").alias("exit_point"),
+        F.col("seq").alias("exit_seq"),
+    )
+    entered = (
+        paired.join(known, IDENTITY)
+        .join(of_exit, [*PAIR, "exit_ts", "exit_point"], "left")
+        .withColumn("gone", F.lit(False))
+    )
+    closing = paired.where("exit_ts is not null").select(
+        *PAIR,
+        F.col("exit_ts").alias("event_ts"),
+        F.col("exit_point.x").alias("x"),
+        F.col("exit_point.y").alias("y"),
+        F.lit(True).alias("gone"),
+    )
+    place = [*PAIR, "event_ts", "x", "y"]
+    was_alone = touched.where(F.col("event_type") == messages.EXIT).select(
+        *place, F.lit(True).alias("_was")
+    )
+    alone = (
+        known.where(F.col("event_type") == messages.EXIT)
+        .join(closing, place, "left")
+        .join(was_alone, place, "left")
+        .withColumn("gone", F.coalesce("gone", F.lit(False)))
+        # An exit that was never stored by itself need not be taken back.
+        .where("not gone or _was")
+        .withColumn("exit_ts", F.lit(None).cast("timestamp"))
+        .withColumn("exit_point", F.lit(None).cast(schemas.POINT))
+        .withColumn("exit_seq", F.lit(None).cast("bigint"))
+    )
+    columns = RECORD.fieldNames()
+    return entered.select(*columns).unionByName(alone.select(*columns))
+
+
 def record_visits(
     events: DataFrame, store: VisitStore, checkpoint: str, policy: SplitPolicy | None = None,
     trigger: dict | None = None,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from geotrail.operators.transitions import rejected_messages
 from geotrail.sources import locations as loc
 
 
@@ -16,16 +17,36 @@ def with_event_time(points: DataFrame, delay: str = "0 seconds") -> DataFrame:
 
 
 def append_history(points: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Append every location to the history table. A periodic ``write_history`` of a past day
-    brings its files into the sorted layout."""
+    """Append every location to a folder where history lands. ``settle_days`` brings finished
+    days from there into the sorted table."""
     return _files(loc.history_rows(points), path, checkpoint, trigger, "event_date")
 
 
+def publish_files(records: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Publish the ``value`` of message records as lines of files, for readers without a topic."""
+    return (
+        records.select("value")
+        .writeStream.format("text")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "5 seconds"}))
+        .start()
+    )
+
+
 def keep_rejected(parsed: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Set unusable records aside with their text and, where known, their topic position."""
+    """Set unusable location records aside with their text and, where known, their topic
+    position."""
     return _files(loc.rejected(parsed), path, checkpoint, trigger)
 
 
+def keep_rejected_events(
+    records: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+):
+    """The same for event messages."""
+    return _files(rejected_messages(records), path, checkpoint, trigger)
+
+
 def _files(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None, *partitions: str):
     writer = rows.writeStream.format("parquet").option("path", path)
     if partitions:

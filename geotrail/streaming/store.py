@@ -7,13 +7,17 @@ folders below ``b`` only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 
 class BatchTable:
-    def __init__(self, spark: SparkSession, root: str, schema: StructType):
+    def __init__(
+        self, spark: SparkSession, root: str, schema: StructType, partition: str | None = None
+    ):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+        self.partition = partition
         self._numbered = StructType([*schema.fields, StructField("batch", LongType())])
 
     def _path(self, batch: int) -> str:
@@ -25,19 +29,17 @@ class BatchTable:
 
     def put(self, batch: int, rows: DataFrame) -> None:
         """Write the folder of a batch; the rows must not read the same folder."""
-        rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(self._path(batch))
+        writer = rows.select(*self.schema.fieldNames()).write.mode("overwrite")
+        if self.partition:
+            writer = writer.partitionBy(self.partition)
+        writer.parquet(self._path(batch))
 
     def committed(self, below: int | None = None) -> list[int]:
-        fs, root = self._hadoop(self.root)
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        batches = sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
-        return [
-            b
-            for b in batches
-            if (below is None or b < below) and fs.exists(self._hadoop(f"{self._path(b)}/_SUCCESS")[1])
-        ]
+        """Finished batches, by one listing of their markers."""
+        fs, markers = self._hadoop(f"{self.root}/batch=*/_SUCCESS")
+        names = [s.getPath().getParent().getName() for s in fs.globStatus(markers) or []]
+        batches = sorted(int(n.removeprefix("batch=")) for n in names)
+        return [b for b in batches if below is None or b < below]
 
     def read(self, batches: list[int]) -> DataFrame:
         """Rows of the given batches, with their batch number as ``batch``."""
@@ -54,3 +56,66 @@ class BatchTable:
         for batch in batches:
             fs, path = self._hadoop(self._path(batch))
             fs.delete(path, True)
+
+
+class KeyedTable:
+    """The last version of each row, kept up by batches.
+
+    A batch adds one small folder with the rows it changes; the later batch wins. Rows lie in
+    buckets by the hash of ``spread``, so that a batch reads only the buckets it needs. Every
+    ``compact_every`` batches the folders are merged into a new base.
+    """
+
+    BUCKET = "bucket"
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        schema: StructType,
+        keys: list[str],
+        spread: str,
+        buckets: int = 64,
+        compact_every: int = 20,
+    ):
+        held = StructType([*schema.fields, StructField(self.BUCKET, IntegerType())])
+        self.schema, self.keys, self.spread, self.buckets = schema, keys, spread, buckets
+        self.base = BatchTable(spark, f"{root}/base", held, self.BUCKET)
+        self.changes = BatchTable(spark, f"{root}/changes", held, self.BUCKET)
+        self.compact_every = compact_every
+
+    def _bucket(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
+
+    def needed(self, rows: DataFrame) -> list[int]:
+        """The buckets that the rows' keys lie in: at most as many numbers as there are buckets."""
+        found = rows.select(self._bucket(self.spread).alias("b")).distinct().collect()
+        return sorted(r["b"] for r in found)
+
+    def read(self, below: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """What the batches (below a number) left behind, in all or some buckets."""
+        bases = self.base.committed(below)[-1:]
+        after = bases[0] if bases else -1
+        changes = [b for b in self.changes.committed(below) if b > after]
+        rows = self.base.read(bases).unionByName(self.changes.read(changes))
+        if buckets is not None:
+            # A filter on the folders: other buckets are not read.
+            rows = rows.where(F.col(self.BUCKET).isin(buckets))
+        values = F.struct(*[c for c in self.schema.fieldNames() if c not in self.keys])
+        return (
+            rows.groupBy(*self.keys)
+            .agg(F.max_by(values, "batch").alias("_v"))
+            .select(*self.keys, "_v.*")
+            .select(*self.schema.fieldNames())
+        )
+
+    def put(self, batch: int, rows: DataFrame) -> None:
+        """Add the rows that a batch changes. They must not repeat a key."""
+        self.changes.put(batch, rows.withColumn(self.BUCKET, self._bucket(self.spread)))
+        if batch % self.compact_every == self.compact_every - 1:
+            merged = self.read(below=batch + 1)
+            self.base.put(batch, merged.withColumn(self.BUCKET, self._bucket(self.spread)))
+            # The previous base and its followers stay for readers that have just opened them.
+            kept = ([-1, -1, *self.base.committed()])[-2]
+            self.changes.drop([b for b in self.changes.committed() if b <= kept])
+            self.base.drop([b for b in self.base.committed() if b < kept])

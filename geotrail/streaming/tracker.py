@@ -7,7 +7,8 @@ Two plans, same events:
   and any fence set works. Use it for backlogs and for uneven traffic.
 * ``stateful`` keeps the set of fences of each device in Spark's state store and needs no
   tables of its own. A device's rows of one trigger go to one task, so the source's limit per
-  trigger must bound them; fences must fit the broadcast plan.
+  trigger must bound them; fences must fit the broadcast plan, and it says so at the start where
+  they do not.
 
 Within a trigger points are taken by (time, arrival), across triggers by arrival; late points
 are never dropped.
@@ -29,8 +30,8 @@ from geotrail.operators.containment import FenceIndex, collect_inside
 from geotrail.operators.sizing import SplitPolicy
 from geotrail.operators.transitions import collision_events, tracker_clock
 from geotrail.sources import locations as loc
-from geotrail.streaming.latest import LatestStore, last_points
-from geotrail.streaming.store import BatchTable
+from geotrail.streaming.latest import last_points, tracker_state
+from geotrail.streaming.store import BatchTable, KeyedTable
 
 EVENT = T.StructType(
     [
@@ -68,7 +69,7 @@ def sets_of(points: DataFrame, index: FenceIndex) -> DataFrame:
 
 def track_batch(
     index: FenceIndex,
-    latest: LatestStore,
+    latest: KeyedTable,
     events: BatchTable,
     policy: SplitPolicy | None = None,
 ) -> Callable[[DataFrame, int], None]:
@@ -82,7 +83,9 @@ def track_batch(
             crowded = points.count() > policy.target_rows
             split = policy if policy.mode == "on" else policy.forced() if crowded else policy.off()
             last = last_points(points).persist(StorageLevel.MEMORY_AND_DISK)
-            known = latest.read(below=number).join(last.select("device"), "device", "left_semi")
+            known = latest.read(below=number, buckets=latest.needed(last)).join(
+                last.select("device"), "device", "left_semi"
+            )
             events.put(number, collision_events(points, index, split, known))
             latest.put(number, sets_of(last, index))
             last.unpersist()
@@ -102,7 +105,7 @@ def micro_batches(
     """Start tracking into tables under ``root``, a folder every executor can reach."""
     spark = points.sparkSession
     run = track_batch(
-        index, LatestStore(spark, f"{root}/latest"), event_table(spark, root), policy
+        index, tracker_state(spark, f"{root}/latest"), event_table(spark, root), policy
     )
     return (
         points.writeStream.foreachBatch(run)
@@ -116,6 +119,12 @@ def event_table(spark: SparkSession, root: str) -> BatchTable:
     return BatchTable(spark, f"{root}/events", EVENT)
 
 
+def event_stream(spark: SparkSession, root: str) -> DataFrame:
+    """The events that ``micro_batches`` writes, as a stream: to publish them as messages. A
+    batch that is written again is read again; readers go by the content of an event."""
+    return spark.readStream.schema(EVENT).parquet(f"{root}/events/batch=*")
+
+
 # -- state store plan ----------------------------------------------------------------------
 
 

@@ -34,9 +34,11 @@ def test_location_records_are_keyed_by_device(spark):
 
 
 def test_jdbc_options():
-    options = dimensions.jdbc_options("jdbc:x", "me", "pw", "polygons", dimensions.fence_query())
-    assert options["query"].endswith("ST_AsText(fence) AS wkt FROM polygons")
-    assert "dbtable" not in options
+    query = dimensions.fence_query()
+    options = dimensions.jdbc_options("jdbc:x", "me", "pw", "polygons", query, (3, 1002), 8)
+    assert options["dbtable"].endswith("ST_AsText(fence) AS wkt FROM polygons) AS rows")
+    assert options["partitionColumn"] == "id" and options["numPartitions"] == "8"
+    assert (options["lowerBound"], options["upperBound"]) == ("3", "1003")
     assert dimensions.jdbc_options("jdbc:x", "me", "pw", "users")["dbtable"] == "users"
 
 
