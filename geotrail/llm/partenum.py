@@ -2,8 +2,8 @@
 
 Sets of word shingles whose Jaccard resemblance reaches a threshold differ in few elements:
 sizes ``a`` and ``b`` allow a symmetric difference of ``(1 - t) / (1 + t) * (a + b)``. Sizes are
-divided into bands no wider than linked sets can be apart, and each band has its largest
-difference ``k``. Within a band the domain of shingles is partitioned into ``ceil((k + 1) / 2)``
+divided into bands wider than linked sets can be apart, and each band has its largest difference
+``k``; a set also takes part in the next band if a set of that band can be near enough. Within a band the domain of shingles is partitioned into ``ceil((k + 1) / 2)``
 parts, so that some part holds at most one differing element, and each part again into ``ways``
 smaller ones. A signature is the content of all smaller parts of a part but one. Of two linked
 sets at least one signature is equal, whatever their elements.
@@ -11,7 +11,9 @@ sets at least one signature is equal, whatever their elements.
 From equal signatures to components:
 
 1. Rows with the same set are one class, so copies never meet each other.
-2. Classes under one signature are compared with the smallest of them (a star, not all pairs).
+2. Classes under one signature are compared with the smallest of them (a star, not all pairs):
+   first each class with the one it shares most signatures with, then the pairs of stars that
+   are still in different components.
 3. Where several components are left under a signature, those outside its largest component are
    compared with all others of other components: first by a sketch of part checksums, which
    never counts more differences than there are, then by the sets.
@@ -35,9 +37,9 @@ from geotrail.llm.tables import bucket_flag, saved, whole
 from geotrail.llm.words import blocks, mixed, shingle_hashes, word_hashes
 
 WAYS = 2
-SKETCH_BYTES = 256
+LEAST_PARTS = 64
 STRAY_BLOCK = 128
-MEMBER_BLOCK = 4096
+MEMBER_BLOCK = 2048
 
 
 def _scaled(elements: np.ndarray, seed: int, parts: np.ndarray) -> np.ndarray:
@@ -50,7 +52,9 @@ def bands(largest: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """First sizes of the bands up to one beyond ``largest``, and the differences they allow."""
     first, widest = [1], []
     while True:
-        last = first[-1] * 100 // percent
+        # Three times as far as linked sets can be apart: wider bands allow more differences,
+        # narrower ones have more sets that take part in two of them.
+        last = first[-1] * 100**3 // percent**3
         widest.append((100 - percent) * 2 * last // (100 + percent))
         first.append(last + 1)
         if first[-2] > largest:
@@ -78,13 +82,23 @@ def class_hash(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mixed(_sums(mixed(elements, 11), sizes)).view(np.int64)
 
 
-def _sketches(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Checksums of ``SKETCH_BYTES`` parts of each set: parts that differ have a difference."""
-    out = np.zeros(len(sizes) * SKETCH_BYTES, dtype=np.uint8)
-    part = _scaled(elements, 12, np.full(len(elements), SKETCH_BYTES))
-    row = np.repeat(np.arange(len(sizes)) * SKETCH_BYTES, sizes)
-    np.add.at(out, row + part, (mixed(elements, 13) >> np.uint64(56)).astype(np.uint8))
-    return out.reshape(len(sizes), SKETCH_BYTES)
+def _sketches(elements: np.ndarray, sizes: np.ndarray, percent: int) -> list[bytes]:
+    """Checksums of the parts of each set: parts that differ have a difference. There are twice
+    as many parts as differences are allowed to a set of the size, so sets that have nothing in
+    common differ in more; powers of two, so that the parts of one are those of another united."""
+    allowed = (100 - percent) * 2 * sizes // (100 + percent)
+    parts = np.exp2(np.ceil(np.log2(np.maximum(LEAST_PARTS, 2 * allowed + 2)))).astype(np.int64)
+    ends = np.cumsum(parts)
+    out = np.zeros(int(parts.sum()), dtype=np.uint8)
+    place = np.repeat(ends - parts, sizes) + _scaled(elements, 12, np.repeat(parts, sizes))
+    np.add.at(out, place, (mixed(elements, 13) >> np.uint64(56)).astype(np.uint8))
+    return [out[e - n : e].tobytes() for e, n in zip(ends.tolist(), parts.tolist())]
+
+
+def _folded(sketch: bytes, parts: int) -> np.ndarray:
+    """A sketch of fewer parts: checksums of united parts add up."""
+    full = np.frombuffer(sketch, np.uint8)
+    return full if len(full) == parts else full.reshape(parts, -1).sum(axis=1, dtype=np.uint8)
 
 
 def signatures(
@@ -119,13 +133,13 @@ def signatures(
         return mixed(mixed(tag, 16) + rest, 17).view(np.int64), chosen[owner]
 
 
-def _describe(shingle: int):
+def _describe(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, marks = (batch.column(i) for i in range(3))
             for a, b in blocks(texts):
                 elements, sizes = element_sets(texts.slice(a, b - a), shingle)
-                sketch = _sketches(elements, sizes)
+                sketch = _sketches(elements, sizes, percent)
                 second = mixed(_sums(mixed(elements, 18), sizes)).view(np.int64)
                 yield pa.record_batch(
                     [
@@ -134,7 +148,7 @@ def _describe(shingle: int):
                         pa.array(sizes),
                         pa.array(class_hash(elements, sizes)),
                         pa.array(second),
-                        pa.array([row.tobytes() for row in sketch], pa.binary()),
+                        pa.array(sketch, pa.binary()),
                     ],
                     names=["doc_id", "mark", "n_shingles", "class", "check", "sketch"],
                 )
@@ -188,25 +202,17 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _near(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Which rows of two tables of sketches can be linked, for sums of set sizes ``sizes``."""
-    return (a != b).sum(axis=1) * (100 + percent) <= (100 - percent) * sizes
-
-
-def _as_matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH_BYTES)
-
-
 def _plausible(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sizes = batch.column("sizes").to_numpy()
-            near = _near(
-                _as_matrix(batch.column("left")), _as_matrix(batch.column("right")), sizes, percent
-            )
-            yield batch.select(["a", "b"]).filter(pa.array(near))
+            near = []
+            for size, left, right in zip(
+                *(batch.column(c).to_pylist() for c in ("sizes", "left", "right"))
+            ):
+                parts = min(len(left), len(right))
+                far = int((_folded(left, parts) != _folded(right, parts)).sum())
+                near.append(far * (100 + percent) <= (100 - percent) * size)
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return run
 
@@ -218,14 +224,16 @@ def _cross(percent: int, every: bool):
     def run(table: pa.Table) -> pa.Table:
         stray = table.filter(table.column("stray"))
         member = table.filter(pa.compute.invert(table.column("stray")))
-        sketch = _as_matrix(member.column("sketch").combine_chunks())
+        lengths = pa.compute.binary_length(table.column("sketch"))
+        parts = pa.compute.min(lengths).as_py()
+        held = member.column("sketch").to_pylist()
+        sketch = np.array([_folded(x, parts) for x in held], np.uint8).reshape(-1, parts)
         size, label, part = (member.column(c).to_numpy() for c in ("n", "class", "component"))
         left, right = [], []
         for row, own, cls, home in zip(
-            _as_matrix(stray.column("sketch").combine_chunks()),
-            *(stray.column(c).to_pylist() for c in ("n", "class", "component")),
+            *(stray.column(c).to_pylist() for c in ("sketch", "n", "class", "component"))
         ):
-            far = (sketch != row).sum(axis=1)
+            far = (sketch != _folded(row, parts)).sum(axis=1)
             near = (far * (100 + percent) <= (100 - percent) * (size + own)) & (part != home)
             at = np.flatnonzero(near)
             if not every:
@@ -273,7 +281,7 @@ class JaccardJoin:
         self.id_type = self.texts.schema["doc_id"].dataType.simpleString()
         self.rows = saved(
             self.texts.withColumn("mark", F.xxhash64("text")).mapInArrow(
-                _describe(shingle),
+                _describe(shingle, percent),
                 f"doc_id {self.id_type}, mark long, n_shingles long, class long, check long,"
                 " sketch binary",
             )
@@ -340,6 +348,20 @@ class JaccardJoin:
         edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
         return components(edges).withColumnRenamed("node", "class")
 
+    @staticmethod
+    def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs of classes in different components."""
+
+        def side(name: str) -> DataFrame:
+            return labels.select(F.col("class").alias(name), F.col("component").alias(f"of_{name}"))
+
+        return (
+            pairs.join(side("a"), "a", "left")
+            .join(side("b"), "b", "left")
+            .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+            .drop("of_a", "of_b")
+        )
+
     def open_members(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
         """Members of the signatures that still hold several components."""
         members = stars.select("signature", "class").union(
@@ -401,10 +423,24 @@ class JaccardJoin:
         """``class, component`` of all classes that are linked with another one."""
         stars = saved(self.stars())
         pairs = saved(
-            stars.select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
+            stars.groupBy(F.col("pivot").alias("a"), F.col("class").alias("b")).agg(
+                F.count(F.lit(1)).alias("shared")
+            )
+        )
+        nearest = saved(
+            pairs.groupBy("b")
+            .agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
+            .select("a", "b")
         )
-        links = saved(self.links(pairs))
+        links = saved(self.links(nearest))
         labels = self._labelled(links)
+        pairs = pairs.drop("shared")
+        others = saved(
+            self._apart(pairs, labels).join(nearest, ["a", "b"], "left_anti").select("a", "b")
+        )
+        if not others.isEmpty():
+            links = links.union(saved(self.links(others)))
+            labels = self._labelled(links)
         for every in (False, True):
             members = saved(self.open_members(stars, labels))
             if members.isEmpty():
@@ -465,7 +501,8 @@ def one_of_each(
     """The rows of ``docs`` that stay when one document of each component does: the one with
     the smallest id. Rows without shingles all stay, and so do repeated rows of an id and text
     that stays."""
-    found = JaccardJoin(docs, doc_id, text, shingle, percent, WAYS).result()
+    # At a lower threshold a smaller part holds fewer shingles: more ways keep signatures telling.
+    found = JaccardJoin(docs, doc_id, text, shingle, percent, WAYS + 1).result()
     gone = saved(
         found.where("n_shingles > 0 and not doc_id <=> component_id")
         .select("doc_id", "mark")
