@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geotrail.llm.tables import saved, whole
+from geotrail.llm.tables import bucket_flag, saved, whole
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Titles that come before names, by gender.
@@ -54,19 +54,21 @@ def _any_case(line: str) -> str:
 
 
 _TITLE = _any_case(" ".join(TITLES.values()))
+# Every pattern is only tried where no letter or digit goes before, and gives up at once on most
+# words: it never looks at the same characters again.
 KINDS = {
-    "email": r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
-    "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)",
-    "key": r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)",
-    "hex": r"(?<!\w)(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?!\w)",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "card": r"(?<![\w+])\d{4}(?:[ \-]?\d{4}){3}(?![\w]|-\d)",
-    "national_id": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
-    "phone": r"(?<!\w)(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}"
+    "email": r"(?<![._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
+    "ip": rf"(?<!\.){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)",
+    "key": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)",
+    "hex": r"(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?!\w)",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "card": r"(?<!\+)\d{4}(?:[ \-]?\d{4}){3}(?![\w]|-\d)",
+    "national_id": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\w\-])",
+    "phone": r"(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}"
     r"|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\w)",
-    "person": rf"(?<!\w)(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+(?:[ \-]\p{{Lu}}\p{{L}}+){{0,2}}",
+    "person": rf"(?=\p{{Lu}})(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+(?:[ \-]\p{{Lu}}\p{{L}}+){{0,2}}",
 }
-ENTITY = "|".join(f"(?:{pattern})" for pattern in KINDS.values())
+ENTITY = r"(?<![\p{L}\p{N}_])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
 
 
 def matches(text: Column) -> Column:
@@ -245,10 +247,11 @@ class Surrogates:
             F.col(text).alias("_text"),
             F.xxhash64(F.col(text)).alias("_mark"),
             whole(docs),
-        ).withColumn("_found", matches(F.col("_text")))
+        )
         # One row for each match; rows that repeat an id and text repeat their matches.
+        found = F.posexplode(matches(F.col("_text"))).alias("_place", "_match")
         self.entities = saved(
-            self.rows.select("_id", "_mark", F.posexplode("_found").alias("_place", "_match"))
+            self.rows.select("_id", "_mark", found)
             .distinct()
             .withColumn("kind", kind_of(F.col("_match")))
             .withColumn("canon", canonical(F.col("kind"), F.col("_match")))
@@ -307,22 +310,22 @@ class Surrogates:
             )
             .select(F.col("_id").alias("_i"), F.col("_mark").alias("_m"), "_entities")
         )
-        has = F.size(F.col("_found")) > 0
         gaps = F.split(F.col("_text"), ENTITY, -1)
         new = F.concat(
             F.transform(F.col("_entities"), lambda e: e["surrogate"]), F.array(F.lit(""))
         )
         text = F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, s: F.array(g, s))), "")
         columns = [
-            text.alias(self.text) if c == self.text else F.col(f"_row.`{c}`").alias(c)
+            F.when(F.col("_entities").isNull(), F.col("_text")).otherwise(text).alias(c)
+            if c == self.text
+            else F.col(f"_row.`{c}`").alias(c)
             for c in self.docs.columns
         ]
-        empty = F.array().cast(by_text.schema["_entities"].dataType).alias("_entities")
-        changed = (
-            self.rows.where(has)
-            .drop("_found")
-            .join(by_text, F.expr("_id <=> _i and _mark = _m"))
-            .select(*columns, "_entities")
-        )
-        same = self.rows.where(~F.coalesce(has, F.lit(False))).select("_row.*", empty)
+        # Rows that may have entities are found without an exchange and without looking at the
+        # texts again; the others stay as they are.
+        flagged = bucket_flag(self.rows, self.entities, ["_id", "_mark"], "_has")
+        empty = F.array().cast(by_text.schema["_entities"].dataType)
+        doubtful = flagged.where("_has").join(by_text, F.expr("_id <=> _i and _mark = _m"), "left")
+        same = flagged.where("not _has").select("_row.*", empty.alias("_entities"))
+        changed = doubtful.select(*columns, F.coalesce("_entities", empty).alias("_entities"))
         return same.union(changed)
