@@ -91,7 +91,8 @@ def responses(
 
 
 def unescaped(text: Column) -> Column:
-    """Character entities as characters: numbers, and the names of ``ENTITIES``."""
+    """Character entities as characters: numbers, and the names of ``ENTITIES``. ``text`` should
+    be a column of its own, so that it is computed once."""
     pattern = r"&#(?:[0-9]{1,6}|[xX][0-9a-fA-F]{1,5});"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -111,18 +112,20 @@ def unescaped(text: Column) -> Column:
     out = F.when(F.contains(text, F.lit("&#")), numbers).otherwise(text)
     for name, char in ENTITIES.items():
         out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return out
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 
 
-def plain_text(markup: Column) -> Column:
-    """The readable text of a page: without scripts, styles, comments and tags, a line for each
-    block, white space collapsed."""
-    text = F.regexp_replace(markup, rf"(?is)(?:{UNREAD})", " ")
+def with_plain_text(df: DataFrame, markup: str, name: str) -> DataFrame:
+    """``df`` with the readable text of a page: without scripts, styles, comments and tags, a line
+    for each block, white space collapsed."""
+    text = F.regexp_replace(F.col(markup), rf"(?is)(?:{UNREAD})", " ")
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
     text = F.regexp_replace(text, BREAKS, "\n")
-    text = unescaped(F.regexp_replace(text, r"<[^>]*>", ""))
-    text = F.regexp_replace(text, r"[ \t\r\f\x0B]+", " ")
-    return F.btrim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+    # A column of its own, so that it is computed once for all that is asked of it.
+    df = df.withColumn("_bare", F.regexp_replace(text, r"<[^>]*>", ""))
+    text = F.regexp_replace(unescaped(F.col("_bare")), r"[ \t\r\f\x0B]+", " ")
+    text = F.btrim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+    return df.withColumn(name, text).drop("_bare")
 
 
 def _field(name: str, value: Column) -> Column:
@@ -158,13 +161,10 @@ def derivatives(records: DataFrame) -> DataFrame:
         F.regexp_extract_all(body, F.lit(LINK), F.lit(1)),
         lambda link: F.concat(F.lit("outlink: "), link, F.lit(CRLF)),
     )
-    title = F.btrim(
-        F.regexp_replace(
-            unescaped(F.regexp_extract(body, r"(?is)<title[^>]*>(.*?)</title>", 1)),
-            r"[ \t\r\n\f\x0B]+",
-            " ",
-        )
+    named = parts.withColumn(
+        "_title", F.regexp_extract(body, r"(?is)<title[^>]*>(.*?)</title>", 1)
     )
+    title = F.btrim(F.regexp_replace(unescaped(F.col("_title")), r"[ \t\r\n\f\x0B]+", " "))
     fields = F.concat(
         _field("http-status", F.regexp_extract(head, r"\AHTTP/[0-9.]+ ([0-9]{3})", 1)),
         F.array_join(headers, ""),
@@ -174,7 +174,7 @@ def derivatives(records: DataFrame) -> DataFrame:
         _field("language", F.regexp_extract(body, r'(?is)<html[^>]*\blang="([^"]*)"', 1)),
         F.array_join(links, ""),
     )
-    both = parts.withColumn("_fields", fields).withColumn("_text", plain_text(body))
+    both = with_plain_text(named.withColumn("_fields", fields), "_body", "_text")
 
     def record(kind: str, content_type: str, content: str) -> Column:
         return F.struct(
