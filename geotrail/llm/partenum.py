@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geotrail.llm.components import components
-from geotrail.llm.tables import bucket_flag, saved, whole
+from geotrail.llm.tables import bucket_flag, forget_exchanges, saved, whole
 from geotrail.llm.words import blocks, mixed, shingle_hashes, word_hashes
 
 WAYS = 2
@@ -295,6 +295,7 @@ class JaccardJoin:
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs ``a, b`` of classes whose sets are near enough."""
         pairs = saved(self._plausible_pairs(pairs))
+        forget_exchanges(pairs.sparkSession)
         needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
         known = self.classes.select("class", F.col("first").alias("doc_id"))
         needed = saved(known.join(needed, "class", "left_semi"))
@@ -311,6 +312,7 @@ class JaccardJoin:
             .agg(F.first("elements").alias("elements"))
         )
         sets = saved(sets)
+        forget_exchanges(sets.sparkSession)
         shared = F.size(F.array_intersect("left", "right"))
         union = F.size("left") + F.size("right") - shared
         compared = pairs.join(
@@ -422,6 +424,7 @@ class JaccardJoin:
     def labels(self) -> DataFrame:
         """``class, component`` of all classes that are linked with another one."""
         stars = saved(self.stars())
+        forget_exchanges(stars.sparkSession)
         pairs = saved(
             stars.groupBy(F.col("pivot").alias("a"), F.col("class").alias("b")).agg(
                 F.count(F.lit(1)).alias("shared")
@@ -433,6 +436,7 @@ class JaccardJoin:
             .select("a", "b")
         )
         links = saved(self.links(nearest))
+        forget_exchanges(links.sparkSession)
         labels = self._labelled(links)
         pairs = pairs.drop("shared")
         others = saved(
@@ -440,6 +444,7 @@ class JaccardJoin:
         )
         if not others.isEmpty():
             links = links.union(saved(self.links(others)))
+            forget_exchanges(links.sparkSession)
             labels = self._labelled(links)
         for every in (False, True):
             members = saved(self.open_members(stars, labels))
@@ -448,6 +453,7 @@ class JaccardJoin:
             fresh = saved(
                 self.cross_pairs(members, every).join(pairs, ["a", "b"], "left_anti")
             )
+            forget_exchanges(fresh.sparkSession)
             if fresh.isEmpty():
                 continue
             pairs = pairs.union(fresh)

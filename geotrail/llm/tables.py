@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,14 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_exchanges(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps. They stay until the driver has collected
+    the plans they belong to, which it may not do for long; this asks for it before a step that
+    writes much. Files that a plan in use still needs are kept."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``: fixes which rows are held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor
