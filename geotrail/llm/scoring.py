@@ -166,6 +166,20 @@ def word_counts(docs: DataFrame, fold: Fold) -> DataFrame:
     )
 
 
+def _least_frequent(counts: DataFrame, most: int) -> int:
+    """The count from which on words are frequent: at most ``most`` words reach it. Counts are
+    told apart in steps of an eighth of a doubling, a few hundred whatever the corpus."""
+    step = F.floor(F.log2("total") * 8).cast("int").alias("step")
+    steps = counts.groupBy(step).agg(F.count(F.lit(1)).alias("n"), F.min("total").alias("least"))
+    held, least = 0, np.iinfo(np.int64).max
+    for row in sorted(steps.collect(), key=lambda r: -r["step"]):
+        held += row["n"]
+        if held > most:
+            break
+        least = row["least"]
+    return int(least)
+
+
 def scored(docs: DataFrame, fold: Fold, settings: Settings = Settings()) -> DataFrame:
     """One row per row of ``docs`` (``doc_id, text`` and others, which are left out): ``doc_id,
     held_out, n_tokens, n_known, train_tokens, base_score, score, n_ids``.
@@ -181,10 +195,9 @@ def scored(docs: DataFrame, fold: Fold, settings: Settings = Settings()) -> Data
         F.coalesce(F.sum("train"), F.lit(0)).alias("n"),
         F.count(F.when(F.col("train") > 0, 1)).alias("v"),
     ).first()
-    common = counts.orderBy(F.col("total").desc(), "word").limit(settings.frequent)
-    held = common.select("word", "train", "total").toArrow()
+    least = _least_frequent(counts, settings.frequent)
+    held = counts.where(F.col("total") >= least).select("word", "train").toArrow()
     frequent = Frequent(held.column("word").to_numpy(), held.column("train").to_numpy())
-    least = held.column("total").to_numpy().min(initial=np.iinfo(np.int64).max)
     model = trained_model(docs, fold, settings)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -198,8 +211,7 @@ def scored(docs: DataFrame, fold: Fold, settings: Settings = Settings()) -> Data
         # Written once: these numbers stay with their rows.
         .withColumn("_row", F.monotonically_increasing_id())
     )
-    # Only words as rare as these can be beyond the frequent ones.
-    rare = counts.where((F.col("total") <= int(least)) & (F.col("train") > 0))
+    rare = counts.where((F.col("total") < least) & (F.col("train") > 0))
     beyond = (
         rows.select("_row", F.explode(F.arrays_zip("far", "times")).alias("w"))
         .select("_row", F.col("w.far").alias("word"), F.col("w.times").alias("times"))
