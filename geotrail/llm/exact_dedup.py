@@ -25,11 +25,6 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Key values of more than one row; counts are combined before the exchange."""
-    return rows.groupBy(*keys).count().where("count > 1").select(*keys)
-
-
 def _hashed(docs: DataFrame, doc_id: str, text: str, prefix_chars: int, *kept: Column) -> DataFrame:
     """``doc_id, digest`` and the kept columns; the digest is null where a text is unique."""
     rows = (
@@ -37,9 +32,12 @@ def _hashed(docs: DataFrame, doc_id: str, text: str, prefix_chars: int, *kept: C
         .withColumn("_length", F.length("_text"))
         .withColumn("_prefix", F.xxhash64(F.substring("_text", 1, prefix_chars)))
     )
-    sized = saved(rows.select("_length", "_prefix"))
-    same_length = sized.join(_repeated(sized, ["_length"]), "_length", "left_semi")
-    same_prefix = saved(_repeated(same_length, ["_length", "_prefix"]))
+    # Equal pairs are counted before anything else is exchanged, so copies of one text are one
+    # row of their length.
+    sized = saved(rows.groupBy("_length", "_prefix").agg(F.count(F.lit(1)).alias("_rows")))
+    lengths = sized.groupBy("_length").agg(F.sum("_rows").alias("_of_length"))
+    same_length = sized.join(lengths.where("_of_length > 1"), "_length", "left_semi")
+    same_prefix = saved(same_length.where("_rows > 1").select("_length", "_prefix"))
     # The bucket filter finds the rows that are left without an exchange of texts.
     flagged = bucket_flag(rows, same_prefix, ["_length", "_prefix"], "_open")
     return flagged.withColumn("digest", F.when(F.col("_open"), F.sha2("_text", 256))).drop(
