@@ -365,7 +365,8 @@ class JaccardJoin:
         )
 
     def open_members(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
-        """Members of the signatures that still hold several components."""
+        """Members of the signatures that still hold several components. Of signatures with the
+        very same members, as near copies have by the hundred, one stands for all."""
         members = stars.select("signature", "class").union(
             stars.select("signature", "pivot").distinct()
         )
@@ -374,8 +375,16 @@ class JaccardJoin:
         )
         mixed_up = (
             members.groupBy("signature")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+            .agg(
+                F.min("component").alias("low"),
+                F.max("component").alias("high"),
+                F.count(F.lit(1)).alias("n"),
+                F.bit_xor(F.xxhash64("class")).alias("one"),
+                F.bit_xor(F.xxhash64("class", F.lit(1))).alias("two"),
+            )
             .where("low <> high")
+            .groupBy("n", "one", "two")
+            .agg(F.min("signature").alias("signature"))
         )
         return members.join(mixed_up.select("signature"), "signature", "left_semi")
 
