@@ -6,6 +6,11 @@ one block, so each id is scored once with at least one block of context behind i
 is), many windows at a time. What attention has gathered is added, through an output layer, to
 the direct path from the last id to the next one, which starts as the frequencies of pairs.
 
+What is counted (ids, pairs of slots) comes from all training texts. The layer starts from a
+bounded sample and then passes over the windows of all training texts, in rounds: in each one every
+task goes on from the same parameters with its share, and their averages, weighted by targets, are
+the next parameters.
+
 The most frequent ids have slots of their own. Slots are leaves of two levels, so a probability
 is one of a cluster and one of a member of it. All other ids share one slot, with a fixed
 distribution within, so every id has a probability.
@@ -13,6 +18,7 @@ distribution within, so every id has a probability.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +37,8 @@ class Shape:
     windows: int = 256
     steps: int = 500
     rate: float = 0.02
+    rounds: int = 4
+    round_rate: float = 0.005
     smoothing: float = 30.0
     seed: int = 5
 
@@ -213,19 +221,24 @@ def gradients(p: dict, shape: Shape, both, targets, there, first) -> tuple[float
     cluster, member = goal // CLUSTERS, goal % CLUSTERS
     rows = np.arange(len(goal))
     weight = here / max(here.sum(), 1)
-    kernels = p["member"][cluster]
+    order = np.argsort(cluster.astype(np.uint8), kind="stable")
+    ends = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
+    of_cluster = [(c, order[ends[c] : ends[c + 1]]) for c in range(CLUSTERS)]
     pc = _softmax(h @ p["cluster"] + p["direct_cluster"][last])
-    pm = _softmax(np.einsum("nd,ndm->nm", h, kernels) + p["direct_member"][cluster, last])
+    low = p["direct_member"][cluster, last]
+    for c, at in of_cluster:
+        low[at] += h[at] @ p["member"][c]
+    pm = _softmax(low)
     loss = -(weight * (np.log(pc[rows, cluster] + 1e-12) + np.log(pm[rows, member] + 1e-12))).sum()
     pc[rows, cluster] -= 1
     pm[rows, member] -= 1
     pc *= weight[:, None]
     pm *= weight[:, None]
     g = {"cluster": h.T @ pc, "member": np.zeros_like(p["member"])}
-    for c in np.unique(cluster):
-        at = cluster == c
+    dh = pc @ p["cluster"].T
+    for c, at in of_cluster:
         g["member"][c] = h[at].T @ pm[at]
-    dh = pc @ p["cluster"].T + np.einsum("nm,ndm->nd", pm, kernels)
+        dh[at] += pm[at] @ p["member"][c].T
     dh = dh.reshape(len(both), n, heads, -1).transpose(0, 2, 1, 3)
     dv = a.transpose(0, 1, 3, 2) @ dh
     da = dh @ v.transpose(0, 1, 3, 2)
@@ -241,13 +254,15 @@ def gradients(p: dict, shape: Shape, both, targets, there, first) -> tuple[float
         ("value", both, dv),
     ):
         g[name] = np.zeros_like(p[name])
-        np.add.at(
-            g[name], slots.reshape(-1), part.transpose(0, 2, 1, 3).reshape(-1, shape.dim)
-        )
+        flat = slots.reshape(-1)
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        some, begin = np.unique(flat[order], return_index=True)
+        rows = part.transpose(0, 2, 1, 3).reshape(-1, shape.dim)
+        g[name][some] = np.add.reduceat(rows[order], begin, axis=0)
     return float(loss), g
 
 
-def _bound(p: dict, shape: Shape) -> None:
+def bound(p: dict, shape: Shape) -> None:
     """Keep all exponents of the model below ``HIGHEST``, so that scoring can do without a look
     for the largest. A model that has trained as usual is far below and stays as it is."""
 
@@ -265,39 +280,120 @@ def _bound(p: dict, shape: Shape) -> None:
         p[name] *= min(1.0, HIGHEST / max(h * u, 1e-9))
 
 
-def fit(ids: np.ndarray, counts: np.ndarray, shape: Shape = Shape()) -> Model:
-    """Count pairs in a sample of texts and train attention on it by Adam. Without texts the
-    model gives all slots the same probability."""
-    often = np.bincount(ids, minlength=IDS)
+class _Adam:
+    """Steps of Adam on the parameters that are not counted."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.steps = p, 0
+        self.moments = {
+            name: [np.zeros_like(p[name]) for _ in range(2)] for name in p if name not in COUNTED
+        }
+
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        self.steps += 1
+        for name, (m, s) in self.moments.items():
+            m += 0.1 * (g[name] - m)
+            s += 0.01 * (g[name] ** 2 - s)
+            fixed = (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.99**self.steps)) + 1e-6)
+            self.p[name] -= (rate * fixed).astype(np.float32)
+
+
+def slots_of(often: np.ndarray) -> np.ndarray:
+    """The slot of each id by how often ids occur: the most frequent have slots of their own, all
+    others the one before the end's."""
     top = np.argsort(-often, kind="stable")[: SLOTS - 2]
     slot_of = np.full(IDS, SLOTS - 2, dtype=np.int32)
     slot_of[top] = np.arange(len(top))
+    return slot_of
+
+
+def counted_pairs(slot_of: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return _pairs(slot_of[ids], counts, SLOTS - 1)
+
+
+def counted(often: np.ndarray, pairs: np.ndarray, shape: Shape = Shape()) -> Model:
+    """The model that counts alone give: ``often`` for ids, ``pairs`` for their ``slots_of``.
+    Its attention has not learnt yet. Without any counts all slots have the same probability."""
+    slot_of = slots_of(often)
     rest = slot_of == SLOTS - 2
     within = np.zeros(IDS)
     within[rest] = np.log((often[rest] + 0.5) / (often[rest] + 0.5).sum())
-    pairs = _pairs(slot_of[ids], counts, SLOTS - 1)
     order = _ordered(pairs)
     leaf = np.empty(SLOTS, dtype=np.int32)
     leaf[order] = np.arange(SLOTS)
     parameters = _initial(shape, pairs[order][:, order])
     other, end = int(leaf[SLOTS - 2]), int(leaf[SLOTS - 1])
-    model = Model(shape, leaf[slot_of], other, end, within, parameters)
-    inputs, targets, there, first = _blocks(model.slot_of[ids], counts, end, shape.block)
-    if not len(inputs):
-        return model
-    both = np.concatenate([np.roll(inputs, 1, axis=0), inputs], axis=1)
+    return Model(shape, leaf[slot_of], other, end, within, parameters)
+
+
+def _windows(model: Model, ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Windows of all texts: both blocks, targets, whether there, whether the first."""
+    inputs, *others = _blocks(model.slot_of[ids], counts, model.end, model.shape.block)
+    return [np.concatenate([np.roll(inputs, 1, axis=0), inputs], axis=1), *others]
+
+
+def train(model: Model, ids: np.ndarray, counts: np.ndarray) -> None:
+    """``steps`` steps on windows drawn from a sample of texts: where the rounds start."""
+    shape = model.shape
+    if not len(counts):
+        return
+    held = _windows(model, ids, counts)
     random = np.random.default_rng(shape.seed)
-    trained = [name for name in model.p if name not in COUNTED]
-    moments = {name: [np.zeros_like(model.p[name]) for _ in range(2)] for name in trained}
+    adam = _Adam(model.p)
     for step in range(shape.steps):
-        some = random.integers(0, len(inputs), shape.windows)
-        _, g = gradients(model.p, shape, both[some], targets[some], there[some], first[some])
-        rate = shape.rate * (1 - step / shape.steps) + 1e-4
-        for name in trained:
-            m, s = moments[name]
-            m += 0.1 * (g[name] - m)
-            s += 0.01 * (g[name] ** 2 - s)
-            fixed = (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(s / (1 - 0.99 ** (step + 1))) + 1e-6)
-            model.p[name] -= (rate * fixed).astype(np.float32)
-    _bound(model.p, shape)
+        some = random.integers(0, len(held[0]), shape.windows)
+        _, g = gradients(model.p, shape, *(part[some] for part in held))
+        adam.step(g, shape.rate * (1 - step / shape.steps) + 1e-4)
+    bound(model.p, shape)
+
+
+def passed(model: Model, texts: Iterable[tuple[np.ndarray, np.ndarray]], rate: float) -> int:
+    """Every window of ``texts`` (ids and counts of some texts each) once, in steps of ``windows``;
+    trains ``model`` in place. How many targets there were."""
+    shape, adam, seen = model.shape, _Adam(model.p), 0
+    random = np.random.default_rng(shape.seed)
+    left = None
+
+    def step(some: list[np.ndarray]) -> None:
+        _, g = gradients(model.p, shape, *some)
+        adam.step(g, rate)
+
+    for ids, counts in texts:
+        if not len(counts):
+            continue
+        held = _windows(model, ids, counts)
+        seen += int(held[2].sum())
+        if left:
+            held = [np.concatenate(parts) for parts in zip(left, held)]
+        order = random.permutation(len(held[0]))
+        whole = len(order) // shape.windows * shape.windows
+        for a in range(0, whole, shape.windows):
+            step([part[order[a : a + shape.windows]] for part in held])
+        left = [part[order[whole:]] for part in held]
+    if left and len(left[0]):
+        step(left)
+    return seen
+
+
+def packed_parameters(p: dict[str, np.ndarray]) -> np.ndarray:
+    """The trained parameters in one row."""
+    return np.concatenate([p[n].reshape(-1) for n in sorted(p) if n not in COUNTED])
+
+
+def unpacked_parameters(row: np.ndarray, p: dict[str, np.ndarray]) -> None:
+    """Puts such a row into ``p``."""
+    at = 0
+    for name in sorted(p):
+        if name not in COUNTED:
+            size = p[name].size
+            p[name] = row[at : at + size].reshape(p[name].shape).astype(np.float32)
+            at += size
+
+
+def fit(ids: np.ndarray, counts: np.ndarray, shape: Shape = Shape()) -> Model:
+    """The model of texts that are all at hand. Without texts it gives all slots the same
+    probability."""
+    often = np.bincount(ids, minlength=IDS)
+    model = counted(often, counted_pairs(slots_of(often), ids, counts), shape)
+    train(model, ids, counts)
     return model

@@ -2,8 +2,11 @@
 
 The frequencies of words come from all training texts: words are counted per batch of rows, the
 counts are added up by hash. The most frequent words are sent to every task; a document's other
-words meet their counts in an exchange, which no frequent word is part of. The model is trained
-on a bounded sample of training texts; every document is scored whole.
+words meet their counts in an exchange, which no frequent word is part of.
+
+Texts are encoded once. Subword ids and pairs of their slots are counted over all training rows, and
+the model's attention, after a start on a bounded sample, is trained on every window of them in
+rounds whose parameters are averaged. Every document is scored whole.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ END = mixed(np.array([1], dtype=np.uint64), 99).view(np.int64)[0]
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` texts of at most ``sample_chars`` characters train the model; ``frequent``
-    words at most are held by every task."""
+    """``sample`` texts of at most ``sample_chars`` characters start the model's training, which
+    all training texts go on with; ``frequent`` words at most are held by every task."""
 
     sample: int = 2000
     sample_chars: int = 50_000
@@ -92,11 +95,10 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def _score(frequent: Frequent, model: attention.Model, vocabulary: str):
+def _score(frequent: Frequent, model: attention.Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_all
         for batch in batches:
-            rows, texts = batch.column(0), batch.column(1)
+            rows, texts, encoded = batch.column(0), batch.column(1), batch.column(2)
             for a, b in blocks(texts):
                 part = texts.slice(a, b - a)
                 words, counts, _ = word_hashes(part)
@@ -111,7 +113,7 @@ def _score(frequent: Frequent, model: attention.Model, vocabulary: str):
                 )
                 owner, word = np.divmod(pairs, max(len(some), 1))
                 offsets = pa.array(np.searchsorted(owner, np.arange(b - a + 1)).astype(np.int32))
-                ids, n_ids = encode(part.to_pylist())
+                ids, n_ids = _ids(encoded.slice(a, b - a))
                 score = attention.log_probabilities(model, ids, n_ids) / np.log(10)
                 yield pa.record_batch(
                     [
@@ -130,29 +132,150 @@ def _score(frequent: Frequent, model: attention.Model, vocabulary: str):
     return run
 
 
+def _encode(vocabulary: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(vocabulary).encode_all
+        for batch in batches:
+            texts = batch.column(1)
+            for a, b in blocks(texts):
+                flat, counts = encode(texts.slice(a, b - a).to_pylist())
+                data, ends = flat.astype("<u2").tobytes(), 2 * np.cumsum(counts)
+                starts = ends - 2 * counts
+                held = [data[i:j] for i, j in zip(starts.tolist(), ends.tolist())]
+                columns = [c.slice(a, b - a) for c in batch.columns]
+                yield pa.record_batch(
+                    [*columns, pa.array(held, pa.binary())], names=[*batch.schema.names, "ids"]
+                )
+
+    return run
+
+
+def encoded(docs: DataFrame, fold: Fold, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``doc_id, text, learnt, ids`` for each row; ``ids`` are little-endian 16-bit numbers."""
+    kind, text = (docs.schema[c].dataType.simpleString() for c in ("doc_id", "text"))
+    learnt = (~fold.is_held_out(F.col("doc_id"))).alias("learnt")
+    return docs.select("doc_id", "text", learnt).mapInArrow(
+        _encode(vocabulary), f"doc_id {kind}, text {text}, learnt boolean, ids binary"
+    )
+
+
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows in a row, and how many each has."""
+    held = column.to_pylist()
+    counts = np.array([len(ids) // 2 for ids in held], dtype=np.int64)
+    return np.frombuffer(b"".join(held), dtype="<u2"), counts
+
+
+def _count_into(size: int, count):
+    """Numbers of one task, added up before they leave it: ``count`` gives them for some texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            total += count(*_ids(batch.column(0)))
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    return run
+
+
+def _counted(ids: DataFrame, size: int, count) -> np.ndarray:
+    """The sums of all tasks: ``size`` numbers, whatever the rows."""
+    rows = ids.mapInArrow(_count_into(size, count), "at long, n long")
+    held = rows.groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(size, dtype=np.int64)
+    total[held.column("at").to_numpy()] = held.column("n").to_numpy()
+    return total
+
+
+def _train(model: attention.Model, rate: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = attention.passed(model, (_ids(batch.column(0)) for batch in batches), rate)
+        if seen:
+            row = attention.packed_parameters(model.p).astype("<f4").tobytes()
+            yield pa.record_batch(
+                [pa.array([seen]), pa.array([row], pa.binary())], names=["seen", "row"]
+            )
+
+    return run
+
+
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for all of a partition: their average by what each has seen."""
+    total, mean = 0, None
+    for batch in batches:
+        for seen, row in zip(batch.column("seen").to_pylist(), batch.column("row")):
+            p = np.frombuffer(row.as_buffer(), "<f4").astype(np.float64)
+            total += seen
+            mean = p if mean is None else mean + (p - mean) * (seen / total)
+    if total:
+        row = mean.astype("<f4").tobytes()
+        yield pa.record_batch(
+            [pa.array([total]), pa.array([row], pa.binary())], names=["seen", "row"]
+        )
+
+
 def trained_model(
-    docs: DataFrame, fold: Fold, settings: Settings = Settings()
+    rows: DataFrame, settings: Settings = Settings(), groups: int = 16
 ) -> attention.Model:
-    """The model, trained on the rows with the smallest hashes of their ids that are not held
-    out. Sampled rows that are longer than the bound are left out of the sample."""
-    learnt = docs.select("doc_id").where(~fold.is_held_out(F.col("doc_id")))
+    """The model of the rows that are ``learnt``, of ``encoded`` ones.
+
+    What is counted is counted over all of them. Training starts on those with the smallest
+    hashes of their ids, without long ones, and then takes every window of all rows once, a part
+    of the rows in each round. The driver holds one set of parameters; those of the tasks are
+    averaged in ``groups`` and then over these."""
+    learnt = rows.where("learnt")
+    ids, shape = learnt.select("ids"), settings.shape
+    often = _counted(
+        ids, attention.IDS, lambda flat, _: np.bincount(flat, minlength=attention.IDS)
+    )
+    slot_of = attention.slots_of(often)
+    pairs = _counted(
+        ids,
+        attention.SLOTS**2,
+        lambda flat, counts: attention.counted_pairs(slot_of, flat, counts).reshape(-1),
+    )
+    model = attention.counted(often, pairs.reshape(attention.SLOTS, attention.SLOTS), shape)
     # Bounded by the parameter, and so is what gets broadcast.
     chosen = (
-        learnt.distinct()
+        learnt.select("doc_id")
+        .distinct()
         .orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
         .limit(settings.sample)
     )
-    texts = (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .where(F.length("text") <= settings.sample_chars)
+    start = (
+        learnt.where(F.coalesce(F.length("text"), F.lit(0)) <= settings.sample_chars)
+        .select("doc_id", "ids")
         .join(F.broadcast(chosen), "doc_id")
         .groupBy("doc_id")
-        .agg(F.min("text").alias("text"))
-        .collect()
+        .agg(F.min("ids").alias("ids"))
+        .orderBy("doc_id")
+        .toArrow()
     )
-    texts.sort(key=lambda r: r["doc_id"])
-    ids, counts = encoder(settings.vocabulary).encode_all(r["text"] for r in texts)
-    return attention.fit(ids, counts, settings.shape)
+    attention.train(model, *_ids(start.column("ids").combine_chunks()))
+    part = F.pmod(F.xxhash64("ids", "doc_id"), F.lit(shape.rounds))
+    packed = "seen long, row binary"
+    for number in range(shape.rounds):
+        rate = shape.round_rate * (1 - number / shape.rounds)
+        of_tasks = (
+            learnt.where(part == number)
+            .select("ids")
+            .mapInArrow(_train(model, rate), packed)
+            .withColumn("group", F.pmod(F.spark_partition_id(), F.lit(groups)))
+        )
+        # Sorted, so that sums do not depend on which task came first.
+        of_groups = (
+            of_tasks.repartition(groups, "group")
+            .sortWithinPartitions("group", "seen", "row")
+            .select("seen", "row")
+            .mapInArrow(_average, packed)
+        )
+        found = of_groups.orderBy("seen", "row").toArrow()
+        for average in _average(found.to_batches()):
+            row = np.frombuffer(average.column("row")[0].as_buffer(), "<f4")
+            attention.unpacked_parameters(row, model.p)
+            attention.bound(model.p, shape)
+    return model
 
 
 def word_counts(docs: DataFrame, fold: Fold) -> DataFrame:
@@ -198,13 +321,14 @@ def scored(docs: DataFrame, fold: Fold, settings: Settings = Settings()) -> Data
     least = _least_frequent(counts, settings.frequent)
     held = counts.where(F.col("total") >= least).select("word", "train").toArrow()
     frequent = Frequent(held.column("word").to_numpy(), held.column("train").to_numpy())
-    model = trained_model(docs, fold, settings)
+    texts = saved(encoded(docs, fold, settings.vocabulary))
+    model = trained_model(texts, settings)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = saved(
-        docs.select("doc_id", "text")
+        texts.select("doc_id", "text", "ids")
         .mapInArrow(
-            _score(frequent, model, settings.vocabulary),
+            _score(frequent, model),
             f"doc_id {kind}, words long, value double, known long, ids long, score double,"
             " far array<long>, times array<long>",
         )

@@ -2,6 +2,7 @@ import collections
 import math
 import re
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -146,3 +147,26 @@ def test_gradients():
             slope = (up - loss()) / 2e-4
             p[name][at] = held
             assert slope == pytest.approx(gradient[at], rel=1e-2, abs=1e-5)
+
+
+def test_all_training_rows_count(spark):
+    """A model that starts on one short text knows what all the others hold."""
+    rows = [(i, sentence(i, 40 + 400 * (i % 50 == 0)), "s") for i in range(200)]
+    docs = odd(spark, rows)
+    settings = scoring.Settings(sample=1, sample_chars=300, shape=SMALL)
+    model = scoring.trained_model(scoring.encoded(docs, FOLD), settings)
+    learnt = [t for i, t, _ in rows if not held_out(i)]
+    ids, counts = scoring.encoder().encode_all(learnt)
+    often = np.bincount(ids, minlength=attention.IDS)
+    pairs = attention.counted_pairs(attention.slots_of(often), ids, counts)
+    want = attention.counted(often, pairs, SMALL)
+    assert np.array_equal(model.slot_of, want.slot_of)
+    assert np.array_equal(model.p["direct_member"], want.p["direct_member"])
+    # Rounds over all rows make it better than the one text alone does.
+    alone = scoring.Settings(sample=1, sample_chars=300, shape=replace(SMALL, rounds=0))
+    start = scoring.trained_model(scoring.encoded(docs, FOLD), alone)
+    seen = attention.log_probabilities(model, ids, counts).sum()
+    assert seen > attention.log_probabilities(start, ids, counts).sum()
+    got = scoring.scored(docs, FOLD, settings).agg({"score": "sum"}).first()[0]
+    most = scoring.scored(docs, FOLD, scoring.Settings(shape=SMALL)).agg({"score": "sum"}).first()[0]
+    assert got == pytest.approx(most, rel=0.05)
