@@ -166,7 +166,7 @@ def gender(found: Column) -> Column:
 
 def _name(name: Column, sex: Column, digits: Column, attempt: Column) -> Column:
     """Names for a name of one to three words. From the third attempt on initials widen the
-    choice."""
+    choice, one more with each attempt, so that any number of names finds enough."""
 
     def of(script: str) -> Column:
         family = _pick(FAMILY_NAMES[script], digits, 1)
@@ -176,7 +176,8 @@ def _name(name: Column, sex: Column, digits: Column, attempt: Column) -> Column:
             return F.when(sex == "f", _pick(women, digits, at)).otherwise(_pick(men, digits, at))
 
         words = F.size(F.split(name, r"[ \-]"))
-        initials = F.upper(F.translate(F.substring(digits, 40, 3), "0123456789", "ghijklmnop"))
+        keyed = F.substring(digits, F.lit(40), F.least(attempt + 1, F.lit(80)))
+        initials = F.upper(F.translate(keyed, "0123456789", "ghijklmnop"))
         wide = F.when(attempt >= 2, F.concat(initials, F.lit(" "))).otherwise(F.lit(""))
         return (
             F.when(words == 1, F.concat(wide, family))

@@ -118,3 +118,13 @@ def test_repeated_rows_with_entities(spark):
     got = S.Surrogates(odd(spark, rows), "k").replaced().collect()
     assert len(got) == 5 and all(len(r._entities) == 1 for r in got)
     assert len({r.text for r in got}) == 3
+
+
+def test_more_names_than_three_initials_hold(spark, monkeypatch):
+    """16 ** 3 initials before one family name are 4,096 choices."""
+    monkeypatch.setitem(S.FAMILY_NAMES, "latin", "Marsh")
+    letters = "bcdfghjklmnprstvwz"
+    names = [f"Q{a}{b}{c}o" for a in letters for b in letters for c in letters]
+    got = replaced(spark, ["; ".join(f"Mr {name}" for name in names[:4500])])
+    made = [e.surrogate for e in got[0]._entities]
+    assert len(made) == 4500 == len(set(made))
