@@ -11,9 +11,15 @@ canonical form and a count of attempts drives the surrogate:
 * the parts of an IP address stay within 0 and 255;
 * a name gets names of the same gender (from the title) and script, as many and in the same case.
 
+A text that gives a name a title may name the same person without it, or by the family name alone:
+both are found and get what belongs to the titled name. A family name that several full names of
+the text share is not linked, and is an entity of its own.
+
 Collisions are checked over the whole corpus: two entities of a kind must not get the same
 surrogate, nor one that another entity really has. Those that do try again with the next
-attempt until none is left. Equal entities have equal surrogates in all documents.
+attempt until none is left. Equal entities have equal surrogates in all documents. A family name
+that is linked to a full name gets the last part of that one's surrogate, which is told apart from
+others' with the whole of it.
 
 Only built-in functions are used. Texts are exchanged for documents with entities alone.
 """
@@ -69,10 +75,34 @@ KINDS = {
     "person": rf"(?=\p{{Lu}})(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+(?:[ \-]\p{{Lu}}\p{{L}}+){{0,2}}",
 }
 ENTITY = r"(?<![\p{L}\p{N}_])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
-
-
-def matches(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+# Country codes of one to three digits, whatever stands between them.
+_GAP = r"[ .\-()]*"
+_COUNTRY = (
+    rf"\+(?:1|7|2{_GAP}[07]|3{_GAP}[0-469]|4{_GAP}[013-9]|5{_GAP}[1-8]|6{_GAP}[0-6]"
+    rf"|8{_GAP}[1246]|9{_GAP}[0-58]|\d{_GAP}\d{_GAP}\d)"
+)
+
+
+def untitled(text: Column) -> Column:
+    """The names that have a title in a text, and their family names, longest first."""
+    found = F.regexp_extract_all(
+        text, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){KINDS['person']}"), F.lit(0)
+    )
+    names = F.transform(found, lambda m: F.regexp_replace(m, rf"\A(?:{_TITLE})\.? ", ""))
+    family = F.transform(names, lambda n: F.regexp_extract(n, r"[^ ]+\z", 0))
+    both = F.array_distinct(F.concat(names, family))
+    sized = F.transform(both, lambda n: F.struct(-F.length(n), n.alias("name")))
+    return F.transform(F.sort_array(sized), lambda r: r["name"])
+
+
+def pattern(names: Column) -> Column:
+    """``ENTITY``, and the names without their titles where there are some."""
+    more = F.concat(
+        F.lit(ENTITY + r"|(?<![\p{L}\p{N}_])(?=\p{Lu})(?iu:"),
+        F.array_join(names, "|"),
+        F.lit(r")(?![\p{L}\p{N}_])"),
+    )
+    return F.when(F.size(names) > 0, more).otherwise(F.lit(ENTITY))
 
 
 def kind_of(found: Column) -> Column:
@@ -98,7 +128,7 @@ def canonical(kind: Column, found: Column) -> Column:
 def kept_prefix(kind: Column, found: Column) -> Column:
     """What stays at the start of a match: country codes, key prefixes and titles."""
     return (
-        F.when(kind == "phone", F.regexp_extract(found, r"\A(\+\d{1,3}(?!\d))?", 0))
+        F.when(kind == "phone", F.regexp_extract(found, rf"\A(?:{_COUNTRY})?", 0))
         .when(kind == "key", F.substring(found, 1, 4))
         .when(kind == "iban", F.substring(found, 1, 2))
         .when(kind == "person", F.regexp_extract(found, rf"\A(?:(?:{_TITLE})\.? )?", 0))
@@ -248,14 +278,50 @@ class Surrogates:
             F.col(text).alias("_text"),
             F.xxhash64(F.col(text)).alias("_mark"),
             whole(docs),
-        )
+            untitled(F.col(text)).alias("_names"),
+        ).withColumn("_pattern", pattern(F.col("_names")))
         # One row for each match; rows that repeat an id and text repeat their matches.
-        found = F.posexplode(matches(F.col("_text"))).alias("_place", "_match")
+        all_matches = F.regexp_extract_all(F.col("_text"), F.col("_pattern"), F.lit(0))
+        found = F.posexplode(all_matches).alias("_place", "_match")
         self.entities = saved(
-            self.rows.select("_id", "_mark", found)
-            .distinct()
-            .withColumn("kind", kind_of(F.col("_match")))
-            .withColumn("canon", canonical(F.col("kind"), F.col("_match")))
+            self._linked(
+                saved(
+                    self.rows.select("_id", "_mark", found)
+                    .distinct()
+                    .withColumn("kind", kind_of(F.col("_match")))
+                    .withColumn("_plain", canonical(F.col("kind"), F.col("_match")))
+                )
+            )
+        )
+
+    @staticmethod
+    def _linked(found: DataFrame) -> DataFrame:
+        """``canon``: what a match says, but for a family name the full name that has a title, the
+        same gender and this family name in the same text, if there is one only."""
+        titled, sex = F.col("_match").rlike(rf"\A(?:{_TITLE})\.? "), gender(F.col("_match"))
+        full = found.where(
+            (F.col("kind") == "person") & titled & F.contains("_plain", F.lit(" "))
+        ).withColumn("sex", sex)
+
+        def ends(name: str, where: Column) -> list[Column]:
+            held = F.when(where, F.col("_plain"))
+            return [F.min(held).alias(f"{name}_low"), F.max(held).alias(f"{name}_high")]
+
+        by_family = full.groupBy(
+            F.col("_id").alias("_i"),
+            F.col("_mark").alias("_m"),
+            F.regexp_extract("_plain", r"[^ ]+\z", 0).alias("_family"),
+        ).agg(
+            *ends("any", F.lit(True)), *ends("f", F.col("sex") == "f"), *ends("m", F.col("sex") == "m")
+        )
+
+        def only(name: str) -> Column:
+            return F.when(F.col(f"{name}_low") == F.col(f"{name}_high"), F.col(f"{name}_low"))
+
+        one = F.when(~titled, only("any")).when(sex == "f", only("f")).otherwise(only("m"))
+        same = F.expr("_id <=> _i and _mark = _m and _plain = _family and kind = 'person'")
+        return found.join(by_family, same, "left").select(
+            *found.columns, F.coalesce(one, "_plain").alias("canon")
         )
 
     def attempts(self) -> DataFrame:
@@ -264,10 +330,13 @@ class Surrogates:
         # The plainest writing of an entity stands for all; a title gives its gender.
         found = saved(
             self.entities.groupBy("kind", "canon")
-            .agg(F.min("_match").alias("example"), F.min(gender(F.col("_match"))).alias("sex"))
+            .agg(
+                F.min(F.when(F.col("canon") == F.col("_plain"), F.col("_match"))).alias("example"),
+                F.min(gender(F.col("_match"))).alias("sex"),
+            )
             .withColumn("attempt", F.lit(0))
         )
-        real = found.select(F.col("kind").alias("k"), F.col("canon").alias("c"))
+        real = self.entities.select(F.col("kind").alias("k"), F.col("_plain").alias("c")).distinct()
         again = True
         while again:
             made = with_surrogate(found, "example", self.key, "_made").withColumn(
@@ -311,7 +380,7 @@ class Surrogates:
             )
             .select(F.col("_id").alias("_i"), F.col("_mark").alias("_m"), "_entities")
         )
-        gaps = F.split(F.col("_text"), ENTITY, -1)
+        gaps = F.split(F.col("_text"), F.col("_pattern"), -1)
         new = F.concat(
             F.transform(F.col("_entities"), lambda e: e["surrogate"]), F.array(F.lit(""))
         )
@@ -324,7 +393,7 @@ class Surrogates:
         ]
         # Rows that may have entities are found without an exchange and without looking at the
         # texts again; the others stay as they are.
-        flagged = bucket_flag(self.rows, self.entities, ["_id", "_mark"], "_has")
+        flagged = bucket_flag(self.rows.drop("_names"), self.entities, ["_id", "_mark"], "_has")
         empty = F.array().cast(by_text.schema["_entities"].dataType)
         doubtful = flagged.where("_has").join(by_text, F.expr("_id <=> _i and _mark = _m"), "left")
         same = flagged.where("not _has").select("_row.*", empty.alias("_entities"))

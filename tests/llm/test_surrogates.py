@@ -128,3 +128,30 @@ def test_more_names_than_three_initials_hold(spark, monkeypatch):
     got = replaced(spark, ["; ".join(f"Mr {name}" for name in names[:4500])])
     made = [e.surrogate for e in got[0]._entities]
     assert len(made) == 4500 == len(set(made))
+
+
+def test_one_number_has_one_surrogate(spark):
+    texts = ["+1 (504) 555-2652 or +15045552652 or +1504 555 2652", "+4930123456, +49 30 123456"]
+    got = replaced(spark, texts)
+    digits = lambda s: re.sub(r"\D", "", s)
+    for i, code in ((0, "1"), (1, "49")):
+        made = {digits(e.surrogate) for e in got[i]._entities}
+        assert len(made) == 1 and made.pop().startswith(code)
+
+
+def test_shorter_and_untitled_mentions(spark):
+    texts = [
+        "Mr John Smith came. John Smith, MR SMITH and Smith left; Blacksmith and smith stay",
+        "Mr John Smith and Mr Paul Smith: Mr Smith. Mrs Ann Smith: Mrs Smith",
+    ]
+    got = replaced(spark, texts)
+    full, plain, short, alone = (e.surrogate for e in got[0]._entities)
+    name = full.removeprefix("Mr ")
+    family = name.split(" ", 1)[1]
+    assert plain == name and short == f"MR {family.upper()}" and alone == family
+    assert got[0].text == (
+        f"{full} came. {name}, {short} and {family} left; Blacksmith and smith stay"
+    )
+    one, two, unclear, woman, her = (e.surrogate for e in got[1]._entities)
+    assert one == full != two and her == "Mrs " + woman.split(" ", 2)[2]
+    assert unclear.split(" ", 1)[0] == "Mr"
