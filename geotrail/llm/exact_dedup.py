@@ -46,16 +46,20 @@ def _hashed(docs: DataFrame, doc_id: str, text: str, prefix_chars: int, *kept: C
 
 
 def duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix_chars: int = PREFIX_CHARS
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    prefix_chars: int = PREFIX_CHARS,
+    more: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept``.
+    """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept`` and its columns ``more``.
 
     ``keep_id`` is the smallest id among the rows of an equal text, a null id being the largest.
     Of rows that repeat that id with the same text exactly one is kept.
     """
     # Written once, so the row numbers that break ties between repeated rows stay as they are.
     rows = saved(
-        _hashed(docs, doc_id, text, prefix_chars).withColumn(
+        _hashed(docs, doc_id, text, prefix_chars, *more).withColumn(
             "_number", F.monotonically_increasing_id()
         )
     )
@@ -70,6 +74,7 @@ def duplicates(
         F.col("doc_id").alias("keep_id"),
         F.lit(1).cast("bigint").alias("group_size"),
         F.lit(True).alias("kept"),
+        *more,
     )
     compared = (
         rows.where("digest is not null")
@@ -79,6 +84,7 @@ def duplicates(
             F.col("first.doc_id").alias("keep_id"),
             "group_size",
             (F.col("first._number") == F.col("_number")).alias("kept"),
+            *more,
         )
     )
     return alone.unionByName(compared)

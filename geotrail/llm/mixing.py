@@ -121,7 +121,8 @@ class Mixture:
     ):
         self.docs, self.mix, self.spark = docs, mix, docs.sparkSession
         self.columns = doc_id, text, source
-        self.counted = saved(self._counted())
+        # Written once: a number of its own stays with each row, whatever its id.
+        self.counted = saved(self._counted(F.monotonically_increasing_id().alias("number")))
         names = self.counted.groupBy("name").agg(F.sum("size").alias("size")).collect()
         # Python compares strings by code point.
         names.sort(key=lambda r: (r["name"] is None, r["name"] or ""))
@@ -152,9 +153,12 @@ class Mixture:
         sources = F.broadcast(self.sources)
         return rows.join(sources, F.expr("name <=> source_name")).drop("name")
 
-    def sizes(self) -> DataFrame:
-        """``doc_id, size, source_size, target`` for each row of the documents."""
-        return self._placed(self.counted).select("doc_id", "size", "source_size", "target")
+    def sizes(self, *more: str) -> DataFrame:
+        """``doc_id, size, source_size, target`` for each row of the documents, and its ``number``
+        if asked for."""
+        return self._placed(self.counted).select(
+            "doc_id", "size", "source_size", "target", *more
+        )
 
     def draws(self) -> DataFrame:
         """``source, block, copy, limit, shard``: each time a block is taken. ``limit`` is the
@@ -228,7 +232,7 @@ class Mixture:
         return whole_blocks.unionByName(cut).drop("limit", "source_name")
 
     def taken(self) -> DataFrame:
-        """``doc_id, copy, words, size, shard`` and the source's columns: a row for each time a
+        """``doc_id, number, copy, words, size, shard`` and the source's columns: a row for each time a
         document is taken, without its text."""
         return self._taken(self.counted)
 

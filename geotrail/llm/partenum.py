@@ -307,7 +307,12 @@ class JaccardJoin:
                 _whole_sets(self.shingle),
                 f"doc_id {self.id_type}, class long, elements array<long>",
             )
-            .join(needed, ["doc_id", "class"], "left_semi")
+            # A class may have a null id for its first.
+            .join(
+                needed.select(F.col("doc_id").alias("_id"), F.col("class").alias("_class")),
+                F.expr("doc_id <=> _id and class = _class"),
+                "left_semi",
+            )
             .groupBy("class")
             .agg(F.first("elements").alias("elements"))
         )

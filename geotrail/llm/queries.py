@@ -66,12 +66,9 @@ def op4_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
-    found = exact_dedup.duplicates(docs)
-    digests = docs.select(
-        F.col("doc_id").alias("_id"),
-        F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("text_sha256"),
-    )
-    return found.join(digests, F.col("doc_id") == F.col("_id")).drop("_id")
+    digest = F.sha2(exact_dedup.normalised(F.col("text")), 256)
+    docs = docs.withColumn("text_sha256", digest)
+    return exact_dedup.duplicates(docs, more=("text_sha256",))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,10 +77,11 @@ def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixture = mixing.Mixture(documents(spark, folder).select("doc_id", "text", "source"))
-    taken = mixture.taken().groupBy("doc_id").agg(F.sum("words").alias("taken"))
+    taken = mixture.taken().groupBy("number").agg(F.sum("words").alias("taken"))
     return (
-        mixture.sizes()
-        .join(taken, "doc_id", "left")
+        mixture.sizes("number")
+        .join(taken, "number", "left")
+        .drop("number")
         .withColumn("taken", F.coalesce("taken", F.lit(0).cast("bigint")))
     )
 
