@@ -6,19 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geotrail.llm import (
+    ball_kmeans,
     exact_dedup,
     fingerprints,
     mixing,
     packing,
     partenum,
+    periodic_runs,
     quality,
     scoring,
     surrogates,
     toxicity,
+    url_filters,
     warc,
 )
 from geotrail.llm.labelled import Fold
-from geotrail.llm.tables import documents
+from geotrail.llm.oracle import PERIODIC_RUNS, URL_FILTERS, vector_codes
+from geotrail.llm.tables import SPACES, documents
 
 
 SCORING_FOLD = Fold(divisor=7, held_out=2)
@@ -119,6 +123,74 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op11_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    found = url_filters.judged(documents(spark, folder, "pages"), rules, ("page_id",))
+    return found.select("_row.page_id", "host", "path", "rule", "verdict")
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    made = ball_kmeans.Compression(documents(spark, folder, "embeddings"))
+    coded = made.codes().select(
+        "_row.vec_id",
+        "_row.label",
+        F.lower(
+            F.array_join(F.transform("codes", lambda c: F.lpad(F.hex(c.cast("bigint")), 2, "0")), "")
+        ).alias("code"),
+        F.aggregate("errors", F.lit(0).cast("bigint"), lambda a, e: a + e).alias("error"),
+    )
+    return (
+        ball_kmeans.with_group_sums(coded, "label", "error", "label_error")
+        .withColumn("codebooks_sha256", F.lit(made.books.sha256()))
+        .drop("label")
+    )
+
+
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` where one text of ten, by its id, ends in words that repeat."""
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACES), "")
+    cut = (
+        docs.select("doc_id", "text", number.alias("h"), words.alias("words"))
+        .selectExpr("*", "size(words) as n", "h div 10 as g")
+        .selectExpr("*", "if(n = 0, 0, cast(g % n as int)) as a")
+        .selectExpr("*", "cast(1 + (n - a) div (3 + g % 8) as int) as p")
+    )
+    tail = (
+        "slice(flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) as int))),"
+        " 1, n - a)"
+    )
+    repeated = f"array_join(concat(slice(words, 1, a), {tail}), ' ')"
+    return cut.selectExpr("doc_id", f"if(h % 10 = 0 and n > 0, {repeated}, text) as text")
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _with_repeats(documents(spark, folder))
+    best, runs = F.col("best"), F.col("runs")
+    found = periodic_runs.periodic_runs(docs, ("doc_id",)).withColumn(
+        "best", periodic_runs.strongest(runs)
+    )
+    return found.select(
+        "_row.doc_id",
+        F.size(runs).cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.call_function("div", best["length"] * 1000, best["period"]).alias("exponent_milli"),
+        F.sha2(periodic_runs.as_text(runs), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -130,10 +202,12 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_url_filters": op11_url_filters,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 
-
 def _sql_digest(content: str) -> str:
     """SHA-1 in base 32, ten hexadecimal digits at a time."""
     part = (
@@ -213,4 +287,7 @@ ORACLE = {
                doc_id = min(doc_id) OVER g AS kept, h AS text_sha256
         FROM hashed WINDOW g AS (PARTITION BY h)
     """,
+    "op11_url_filters": URL_FILTERS,
+    "op12_vector_codes": vector_codes(),
+    "op13_periodic_runs": PERIODIC_RUNS,
 }
