@@ -1,9 +1,8 @@
-"""Ordered per-key work that survives a key with a third of all rows.
+"""Numbering and paging per key, with keys of any size.
 
-A window over one key runs in one task. Here a hot key is cut along its order into
-chunks of bounded size, and the window runs per (key, chunk). What a chunk needs from
-its neighbour comes along as one extra *halo* row, so no second pass over the data and
-no join back is needed. Keys below the limit keep their single chunk 0.
+Where no key is hot a window by key does it. Else the numbers come from a prefix scan over ranges
+(``scan``): they tell the page of a row, and a page is gathered by itself, so no task holds more
+of a key than a page.
 """
 
 from __future__ import annotations
@@ -11,163 +10,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geotrail.operators.sizing import SplitPolicy, hot_keys
+from geotrail.operators.scan import Measures, scanned
+from geotrail.operators.sizing import SplitPolicy
 
-CHUNK = "_chunk"  # number of the chunk in the order of its key
-START = "_chunk_start"  # rows of the key before the chunk
-HOT = "_hot"  # the key is split
-HALO = "_halo"  # extra row lent by a neighbour, not part of the data
-POSITION = "_position"
-
-HELPERS = (CHUNK, START, HOT, HALO, POSITION)
-
-
-def _div(a: Column, b: Column) -> Column:
-    return F.call_function("div", a, b)
-
-
-def split(df: DataFrame, keys: list[str], position: Column, policy: SplitPolicy) -> DataFrame:
-    """Add CHUNK, START and HOT. ``position`` is a bigint that rises with the order; equal
-    positions share a chunk.
-
-    A hot key's range of positions is cut into equal cells, and the occupied range of a cell
-    that alone holds more than a chunk into finer ones; runs of cells up to the row limit form
-    a chunk. The counts read only the keys and the position. All broadcast sides are bounded
-    by the policy.
-    """
-    per_chunk = F.lit(policy.cells_per_chunk).cast("bigint")
-    rows = df.withColumn(POSITION, position)
-
-    def cell_width(extent: Column, count: Column, limit: Column) -> Column:
-        pieces = F.ceil(count / limit).cast("bigint") * per_chunk
-        return F.greatest(F.lit(1).cast("bigint"), _div(extent, pieces) + 1)
-
-    lo, hi = F.min(POSITION).alias("_lo"), F.max(POSITION).alias("_hi")
-    hot = F.broadcast(
-        hot_keys(rows.select(*keys, POSITION), keys, policy, lo, hi).select(
-            *keys,
-            "_lo",
-            F.col("row_limit").alias("_limit"),
-            cell_width(F.col("_hi") - F.col("_lo"), F.col("rows"), F.col("row_limit")).alias(
-                "_width"
-            ),
-        )
-    )
-    offset = F.col(POSITION) - F.col("_lo")
-    in_cell = F.col(POSITION) - F.col("_from")
-
-    slim = (
-        rows.select(*keys, POSITION)
-        .join(hot, keys)
-        .withColumn("_cell", _div(offset, F.col("_width")))
-    )
-    by_cell = slim.groupBy(*keys, "_cell", "_limit").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(POSITION).alias("_from"),
-        (F.max(POSITION) - F.min(POSITION)).alias("_extent"),
-    )
-    is_busy = (F.col("_n") > F.col("_limit")) & (F.col("_extent") > 0)
-    fine = cell_width(F.col("_extent"), F.col("_n"), F.col("_limit"))
-    busy = F.broadcast(by_cell.where(is_busy).select(*keys, "_cell", "_from", fine.alias("_fine")))
-    by_fine_cell = (
-        slim.join(busy, [*keys, "_cell"])
-        .withColumn("_sub", _div(in_cell, F.col("_fine")))
-        .groupBy(*keys, "_cell", "_sub", "_limit")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    pieces = (
-        by_cell.where(~is_busy)
-        .withColumn("_sub", F.lit(0).cast("bigint"))
-        .select(*keys, "_cell", "_sub", "_limit", "_n")
-        .unionByName(by_fine_cell)
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_cell", "_sub")
-    before = F.coalesce(
-        F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    chunks = (
-        pieces.withColumn("_before", before)
-        .withColumn(CHUNK, _div(F.col("_before"), F.col("_limit")))
-        .withColumn(START, F.min("_before").over(Window.partitionBy(*keys, CHUNK)))
-    )
-    chunks = F.broadcast(chunks.select(*keys, "_cell", "_sub", CHUNK, START))
-    zero = F.lit(0).cast("bigint")
-    return (
-        rows.join(hot, keys, "left")
-        .withColumn("_cell", _div(offset, F.col("_width")))
-        .join(busy, [*keys, "_cell"], "left")
-        .withColumn("_sub", F.coalesce(_div(in_cell, F.col("_fine")), zero))
-        .join(chunks, [*keys, "_cell", "_sub"], "left")
-        .select(
-            *[F.col(f"`{c}`") for c in df.columns],
-            F.coalesce(CHUNK, zero).alias(CHUNK),
-            F.coalesce(START, zero).alias(START),
-            F.col("_lo").isNotNull().alias(HOT),
-        )
-    )
-
-
-def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Distribute split rows by key and chunk.
-
-    A window per (key, chunk) asks for this exchange by itself, unless the rows already lie by
-    key alone: Spark takes that as good enough, and a hot key would stay in one task.
-    """
-    return df.repartition(*[F.col(c) for c in (*keys, CHUNK)])
-
-
-def with_neighbour(
-    df: DataFrame, keys: list[str], order: list[str], side: str = "previous"
-) -> DataFrame:
-    """Lend every chunk of a hot key the nearest row of its previous (next) chunk.
-
-    One row per chunk of a hot key is added, marked HALO, and sorts before (after) the
-    chunk's own rows under ``order``.
-    """
-    payload = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    pick, shift = (F.max_by, F.lead) if side == "previous" else (F.min_by, F.lag)
-    nearest = (
-        df.where(F.col(HOT))
-        .groupBy(*keys, CHUNK)
-        .agg(pick(payload, F.struct(*order)).alias("_row"))
-        .withColumn("_to", shift(CHUNK).over(Window.partitionBy(*keys).orderBy(CHUNK)))
-        .where(F.col("_to").isNotNull())
-    )
-    lent = nearest.select(
-        *[
-            F.col("_to").alias(c) if c == CHUNK else F.col("_row").getField(c).alias(c)
-            for c in df.columns
-        ],
-        F.lit(True).alias(HALO),
-    )
-    return df.withColumn(HALO, F.lit(False)).unionByName(lent)
+HALO = "_halo"  # an extra row, lent from earlier input, that is no part of the data
 
 
 def numbered(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    position: Column,
-    policy: SplitPolicy,
-    name: str = "ordinal",
+    df: DataFrame, keys: list[str], order: list[str], policy: SplitPolicy, name: str = "ordinal"
 ) -> DataFrame:
     """Row number (from 1) in the order of each key."""
     if not policy.applies_to(df, keys):
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
-    window = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    return (
-        spread(split(df, keys, position, policy), keys)
-        .withColumn(name, F.col(START) + F.row_number().over(window))
-        .drop(*HELPERS)
-    )
+    one = df.withColumn("_one", F.lit(1).cast("bigint"))
+    found = scanned(one, keys, order, Measures(sums={name: "_one"}), policy.ranges(df))
+    return found.drop("_one")
 
 
 def paged(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    position: Column,
     element: Column,
     policy: SplitPolicy,
     name: str,
@@ -176,27 +40,19 @@ def paged(
     """Nest the rows of each key into ordered arrays of at most ``page_rows`` elements.
 
     ``first_ordinal`` (from 1) says where in the key's sequence the page begins. A key with
-    up to ``page_rows`` rows is a single page. One exchange: the page of a row lies within
-    its (key, chunk).
+    up to ``page_rows`` rows is a single page.
     """
     rows = df.withColumn("_element", F.struct(*[F.col(c) for c in order], element.alias("_e")))
-    if policy.applies_to(df, keys):
-        rows = spread(split(rows, keys, position, policy), keys)
-        group = [*keys, CHUNK, START]
-        window = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    else:
-        rows = rows.withColumn(START, F.lit(0).cast("bigint"))
-        group = [*keys, START]
-        window = Window.partitionBy(*keys).orderBy(*order)
+    rows = rows.select(*dict.fromkeys([*keys, *order]), "_element")
     size = F.lit(page_rows).cast("bigint")
     return (
-        rows.select(*group, "_element", *order)
-        .withColumn("_page", _div(F.row_number().over(window) - 1, size))
-        .groupBy(*group, "_page")
+        numbered(rows, keys, order, policy, "_ordinal")
+        .withColumn("_page", F.call_function("div", F.col("_ordinal") - 1, size))
+        .groupBy(*keys, "_page")
         .agg(F.sort_array(F.collect_list("_element")).alias("_elements"))
         .select(
             *keys,
-            (F.col(START) + F.col("_page") * size + 1).alias("first_ordinal"),
+            (F.col("_page") * size + 1).alias("first_ordinal"),
             F.transform("_elements", lambda s: s["_e"]).alias(name),
         )
     )

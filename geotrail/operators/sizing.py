@@ -12,12 +12,11 @@ from geotrail.session import shared_folder
 
 @dataclass(frozen=True)
 class SplitPolicy:
-    """When and how far a hot key is split.
+    """When keys are too large for a task, and how many ranges their rows are dealt out to.
 
-    A key is hot when it has more rows than ``target_rows`` or than 1/``max_chunks`` of the
-    table, whichever is larger. So there are never more than ``max_chunks`` hot keys, and the
-    tables that describe them, which get broadcast, stay below about
-    ``4 * max_chunks * cells_per_chunk`` rows whatever the input size.
+    A key is hot when it has more rows than ``target_rows`` or than 1/``max_ranges`` of the
+    table, whichever is larger. A table with a hot key is cut into ranges of about as many rows,
+    at most ``max_ranges``, which bounds what is sent to every task: two rows for each range.
 
     ``mode``: "on", "off", or "auto", which splits only when the input is too large for a
     single task by its estimated size and a count of its keys then finds a hot one. That
@@ -25,8 +24,7 @@ class SplitPolicy:
     """
 
     target_rows: int = 4_000_000
-    max_chunks: int = 16_384
-    cells_per_chunk: int = 8
+    max_ranges: int = 16_384
     small_input_bytes: int = 256 << 20
     mode: str = "auto"
 
@@ -47,6 +45,10 @@ class SplitPolicy:
             return self.mode == "on"
         return not hot_keys(df.select(*keys), keys, self).isEmpty()
 
+    def ranges(self, df: DataFrame) -> int:
+        """How many ranges the rows of ``df`` are cut into."""
+        return max(1, min(-(-df.count() // self.target_rows), self.max_ranges))
+
 
 def estimated_bytes(df: DataFrame) -> int:
     """Size of the inputs a plan reads: file sizes for file scans, huge when nothing is known.
@@ -67,11 +69,11 @@ def settled(df: DataFrame) -> DataFrame:
 
 def hot_keys(df: DataFrame, keys: list[str], policy: SplitPolicy, *extra) -> DataFrame:
     """Keys with more rows than one task should hold: ``keys, rows, row_limit`` and ``extra``
-    aggregates. Counts are combined map-side; at most ``max_chunks`` rows come out."""
+    aggregates. Counts are combined map-side; at most ``max_ranges`` rows come out."""
     total = df.agg(F.count(F.lit(1)).alias("rows")).scalar()
     limit = F.greatest(
         F.lit(policy.target_rows).cast("bigint"),
-        F.ceil(total / F.lit(policy.max_chunks)).cast("bigint"),
+        F.ceil(total / F.lit(policy.max_ranges)).cast("bigint"),
     )
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *extra)
     return counted.withColumn("row_limit", limit).where(F.col("rows") > F.col("row_limit"))

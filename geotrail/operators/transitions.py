@@ -14,6 +14,7 @@ from geotrail import schemas
 from geotrail.functions import messages, times
 from geotrail.operators import ordered
 from geotrail.operators.containment import FenceIndex, collect_inside
+from geotrail.operators.scan import Measures, scanned
 from geotrail.operators.sizing import SplitPolicy
 
 POINT_COLUMNS = ["device", "seq", "ts", "x", "y"]
@@ -27,46 +28,49 @@ def tracker_clock(points: DataFrame) -> DataFrame:
     return points.withColumn("ts", times.cut_to_millis(F.col("ts")).cast(kind))
 
 
-def point_sets(
-    points: DataFrame,
-    index: FenceIndex,
-    policy: SplitPolicy,
-    previous: DataFrame | None = None,
-) -> tuple[DataFrame, list[str]]:
-    """Points with ``inside`` and the columns that say which rows form one sequence.
+def _with_known(
+    sets: DataFrame, previous: DataFrame | None
+) -> DataFrame:
+    """``sets`` and, as halo rows before all others of their device, the points of earlier input
+    with the sets they had then."""
+    own = sets.withColumn(ordered.HALO, F.lit(False))
+    if previous is None:
+        return own
+    lent = previous.select(*POINT_COLUMNS, "inside", F.lit(True).alias(ordered.HALO))
+    return own.select(*POINT_COLUMNS, "inside", ordered.HALO).unionByName(lent)
 
-    ``previous``: last known point per device from earlier input, with the ``inside`` it had
-    then; it takes part as a halo row.
-    """
+
+def _sets_before(
+    points: DataFrame, index: FenceIndex, policy: SplitPolicy, previous: DataFrame | None
+) -> DataFrame:
+    """Points with ``inside`` and ``_before``, the set of the point before it, or null."""
     rows = points.select(*POINT_COLUMNS)
-    zero = F.lit(0).cast("bigint")
-    if policy.applies_to(points, ["device"]):
-        cut = ordered.split(rows, ["device"], times.epoch_micros(F.col("ts")), policy)
-        rows = ordered.with_neighbour(cut, ["device"], ORDER)
-        group = ["device", ordered.CHUNK]
-    else:
-        rows = rows.withColumn(ordered.HALO, F.lit(False)).withColumn(ordered.CHUNK, zero)
-        group = ["device"]
-    columns = [*POINT_COLUMNS, ordered.CHUNK, ordered.HALO]
-    rows = rows.select(*columns)
+    if not policy.applies_to(points, ["device"]):
+        if index.strategy == "cells":
+            sets = index.inside_sets(rows)
+        else:
+            found = index.grid_matches(rows, True, ["device", "seq", "ts"])
+            sets = collect_inside(found, ["device"], ORDER, ["x", "y"])
+        in_order = Window.partitionBy("device").orderBy(F.col(ordered.HALO).desc(), *ORDER)
+        return _with_known(sets, previous).withColumn("_before", F.lag("inside").over(in_order))
+    order, measures = ["_turn", *ORDER], Measures(lags={"_before": "inside"})
+    ranges = policy.ranges(points)
+    turn = (~F.col(ordered.HALO)).cast("int")
     if index.strategy == "cells":
-        sets = index.inside_sets(rows)
-        if ordered.CHUNK in group:
-            sets = ordered.spread(sets, ["device"])
-    else:
-        found = index.grid_matches(rows, True, ["device", "seq", "ts"])
-        sets = collect_inside(found, group, [ordered.HALO, *ORDER], ["x", "y"])
-    if previous is not None:
-        lent = previous.select(
-            *POINT_COLUMNS,
-            "inside",
-            zero.alias(ordered.CHUNK),
-            F.lit(True).alias(ordered.HALO),
-        )
-        sets = sets.select(*POINT_COLUMNS, "inside", *group[1:], ordered.HALO).unionByName(
-            lent.select(*POINT_COLUMNS, "inside", *group[1:], ordered.HALO)
-        )
-    return sets, group
+        # Bare points are dealt out, and sets are found where they then lie.
+        none = F.lit(None).cast("array<bigint>")
+        known = _with_known(rows.withColumn("inside", none), previous)
+        known = known.withColumnRenamed("inside", "_known").withColumn("_turn", turn)
+
+        def with_sets(dealt: DataFrame) -> DataFrame:
+            found = index.inside_sets(dealt)
+            return found.withColumn("inside", F.coalesce("_known", "inside"))
+
+        return scanned(known, ["device"], order, measures, ranges, with_sets)
+    found = index.grid_matches(rows, True, ["device", "seq", "ts"])
+    sets = collect_inside(found, ["device", "seq"], ["ts"], ["x", "y"])
+    sets = _with_known(sets, previous).withColumn("_turn", turn)
+    return scanned(sets, ["device"], order, measures, ranges)
 
 
 def collision_events(
@@ -78,11 +82,12 @@ def collision_events(
     """``event_type, polygon, device, in, x, y, event_ts, seq``, one row per change.
 
     ``points`` has ``device, seq, ts, x, y`` with (ts, seq) ordering the points of a device.
-    With the broadcast plan the only exchange is the one by device.
+    ``previous``: last known point per device from earlier input, with the ``inside`` it had
+    then; a device's sequence goes on from there. With the broadcast plan the only exchange is
+    the one by device, or by ranges of device and time where a device is hot.
     """
-    sets, group = point_sets(points, index, policy or SplitPolicy(), previous)
-    in_order = Window.partitionBy(*group).orderBy(F.col(ordered.HALO).desc(), *ORDER)
-    before = F.coalesce(F.lag("inside").over(in_order), F.array().cast("array<bigint>"))
+    sets = _sets_before(points, index, policy or SplitPolicy(), previous)
+    before = F.coalesce("_before", F.array().cast("array<bigint>"))
     # Left fences first, then entered ones; the position tells which.
     return (
         sets.withColumn("_before", before)

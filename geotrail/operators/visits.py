@@ -4,7 +4,7 @@ Rule: an enter opens a visit; an exit closes the oldest visit of its (device, po
 is still open, and does nothing when none is. With E enters and X exits read so far and M the
 lowest value of E - X so far (at most 0), the exits without effect number -M, so an effective
 exit is the (X + M)-th one and closes the visit of the enter with that number. All three are
-running sums, so they carry over from chunk to chunk of a hot key.
+running sums, so a prefix scan over ranges gives them for a pair of any size.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geotrail.functions import messages, times
-from geotrail.operators import ordered
+from geotrail.functions import messages
+from geotrail.operators.scan import Measures, scanned
 from geotrail.operators.sizing import SplitPolicy, settled
 
 KEYS = ["device", "polygon"]
@@ -24,9 +24,16 @@ def _order(rows: DataFrame) -> list[str]:
     return ["order_ts" if "order_ts" in rows.columns else "event_ts", "seq", "_is_exit"]
 
 
-def _running(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    so_far = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def _running(rows: DataFrame, order: list[str], policy: SplitPolicy | None) -> DataFrame:
+    """``_enters, _exits, _lowest`` up to each event of its pair; by ranges under a policy."""
     exits = F.col("_is_exit").cast("bigint")
+    if policy is not None:
+        steps = rows.withColumns({"_in": 1 - exits, "_out": exits, "_step": 1 - 2 * exits})
+        measures = Measures(
+            sums={"_enters": "_in", "_exits": "_out"}, lows={"_lowest": "_step"}
+        )
+        return scanned(steps, KEYS, order, measures, policy.ranges(rows))
+    so_far = Window.partitionBy(*KEYS).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     counted = rows.withColumns(
         {"_enters": F.sum(1 - exits).over(so_far), "_exits": F.sum(exits).over(so_far)}
     )
@@ -36,46 +43,6 @@ def _running(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     )
 
 
-def _with_earlier_chunks(rows: DataFrame) -> DataFrame:
-    """Add what came before the chunk to its running sums. The summary has one row per chunk
-    of a hot key."""
-    chunk = (
-        rows.where(F.col(ordered.HOT))
-        .groupBy(*KEYS, ordered.CHUNK)
-        .agg(
-            F.max("_enters").alias("_e"), F.max("_exits").alias("_x"), F.min("_lowest").alias("_m")
-        )
-    )
-    earlier = (
-        Window.partitionBy(*KEYS)
-        .orderBy(ordered.CHUNK)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    zero = F.lit(0).cast("bigint")
-    base = chunk.withColumns(
-        {
-            "_e0": F.coalesce(F.sum("_e").over(earlier), zero),
-            "_x0": F.coalesce(F.sum("_x").over(earlier), zero),
-        }
-    ).withColumn("_reached", F.col("_e0") - F.col("_x0") + F.col("_m"))
-    base = base.select(
-        *KEYS,
-        ordered.CHUNK,
-        "_e0",
-        "_x0",
-        F.least(zero, F.coalesce(F.min("_reached").over(earlier), zero)).alias("_m0"),
-    )
-    joined = rows.join(base, [*KEYS, ordered.CHUNK], "left")
-    e0, x0, m0 = (F.coalesce(c, zero) for c in ("_e0", "_x0", "_m0"))
-    return joined.withColumns(
-        {
-            "_enters": F.col("_enters") + e0,
-            "_exits": F.col("_exits") + x0,
-            "_lowest": F.least(m0, F.col("_lowest") + e0 - x0),
-        }
-    ).drop("_e0", "_x0", "_m0")
-
-
 def visits(
     events: DataFrame, policy: SplitPolicy | None = None, stored: bool = False
 ) -> DataFrame:
@@ -83,7 +50,7 @@ def visits(
 
     ``events`` as returned by ``collision_events``; open visits have NULL exit columns.
     Events already hashed by device are not exchanged again. Splitting hot keys reads the
-    events several times, so unless they come straight from a table (``stored``) they are
+    events more than once, so unless they come straight from a table (``stored``) they are
     checkpointed first where the cluster names a folder for that.
     """
     policy = policy or SplitPolicy()
@@ -92,11 +59,7 @@ def visits(
     split = policy.applies_to(events, KEYS)
     rows = events.withColumn("_is_exit", F.col("event_type") != messages.ENTER)
     order = _order(rows)
-    if split:
-        cut = ordered.split(rows, KEYS, times.epoch_micros(F.col(order[0])), policy)
-        rows = _with_earlier_chunks(_running(ordered.spread(cut, KEYS), [*KEYS, ordered.CHUNK], order))
-    else:
-        rows = _running(rows, KEYS, order)
+    rows = _running(rows, order, policy if split else None)
     # An exit without effect repeats the number of the last effective one and sorts after it.
     number = F.when(~F.col("_is_exit"), F.col("_enters")).otherwise(
         F.col("_exits") + F.col("_lowest")

@@ -116,7 +116,6 @@ def trajectories(
         _asked_history(history, owners, time, ids),
         ["device"],
         ["timestamp", "x", "y"],
-        times.epoch_micros(F.col("timestamp")),
         policy or SplitPolicy(),
     )
     return numbered.join(owners, "device").select(
@@ -144,7 +143,6 @@ def trajectory_pages(
         _asked_history(history, owners, time, ids),
         ["device"],
         ["timestamp", "x", "y"],
-        times.epoch_micros(F.col("timestamp")),
         F.struct("timestamp", F.struct("x", "y").alias("point")),
         policy or SplitPolicy(),
         "trajectory",
@@ -257,7 +255,6 @@ def _visit_pages(
         rows,
         ["device"],
         ["enter_ts", "polygon"],
-        times.epoch_micros(F.col("enter_ts")),
         element,
         policy or SplitPolicy(),
         "collisions",

@@ -1,8 +1,7 @@
-"""Ordered per-key operators with hot keys cut into chunks."""
+"""Numbering and paging with and without a prefix scan."""
 
 import pytest
 from conftest import rows
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geotrail.operators import ordered
@@ -24,68 +23,29 @@ def skewed(spark):
     return rows_.cache()
 
 
-def test_only_hot_keys_are_split_and_chunks_are_bounded(skewed):
-    cut = ordered.split(skewed, ["key"], F.col("at"), POLICY)
-    assert cut.count() == 3000
-    assert rows(cut.where(ordered.HOT), "key")[0] == (0,) and cut.where(
-        F.col(ordered.HOT) & (F.col("key") != 0)
-    ).count() == 0
-    sizes = cut.where("key = 0").groupBy(ordered.CHUNK).count()
-    assert sizes.count() >= 1000 / (2 * 50)
-    assert sizes.agg(F.max("count")).first()[0] <= 2 * 50
-
-
-def test_chunks_follow_the_order(skewed):
-    cut = ordered.split(skewed, ["key"], F.col("at"), POLICY).where("key = 0")
-    spans = (
-        cut.groupBy(ordered.CHUNK, ordered.START)
-        .agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n"))
-        .orderBy(ordered.CHUNK)
-        .collect()
-    )
-    before = 0
-    for earlier, later in zip(spans, spans[1:]):
-        assert earlier.hi < later.lo
-    for span in spans:
-        assert span[ordered.START] == before
-        before += span.n
-
-
-@pytest.mark.parametrize("side", ["previous", "next"])
-def test_halo_gives_the_neighbour_of_the_whole_key(skewed, side):
-    step = F.lag if side == "previous" else F.lead
-    whole = skewed.withColumn("n", step("seq").over(Window.partitionBy("key").orderBy("at", "seq")))
-    cut = ordered.with_neighbour(
-        ordered.split(skewed, ["key"], F.col("at"), POLICY), ["key"], ["at", "seq"], side
-    )
-    within = Window.partitionBy("key", ordered.CHUNK).orderBy("at", "seq")
-    got = cut.withColumn("n", step("seq").over(within)).where(~F.col(ordered.HALO))
-    assert rows(got, "seq", "key", "n") == rows(whole, "seq", "key", "n")
-
-
 def test_numbering_equals_row_number(skewed):
-    whole = ordered.numbered(skewed, ["key"], ["at", "seq"], F.col("at"), POLICY.off())
-    cut = ordered.numbered(skewed, ["key"], ["at", "seq"], F.col("at"), POLICY)
+    whole = ordered.numbered(skewed, ["key"], ["at", "seq"], POLICY.off())
+    cut = ordered.numbered(skewed, ["key"], ["at", "seq"], POLICY)
     assert rows(cut, "seq", "ordinal") == rows(whole, "seq", "ordinal")
 
 
 @pytest.mark.parametrize("policy", [POLICY, POLICY.off()])
 def test_pages_are_bounded_complete_and_in_order(skewed, policy):
     pages = ordered.paged(
-        skewed, ["key"], ["at", "seq"], F.col("at"), F.col("seq"), policy, "seqs", page_rows=40
+        skewed, ["key"], ["at", "seq"], F.col("seq"), policy, "seqs", page_rows=40
     ).cache()
     assert pages.agg(F.max(F.size("seqs"))).first()[0] <= 40
     flat = pages.selectExpr("key", "first_ordinal", "posexplode(seqs) as (i, seq)").selectExpr(
         "seq", "first_ordinal + i as ordinal"
     )
-    want = ordered.numbered(skewed, ["key"], ["at", "seq"], F.col("at"), POLICY.off())
+    want = ordered.numbered(skewed, ["key"], ["at", "seq"], POLICY.off())
     assert rows(flat, "seq", "ordinal") == rows(want, "seq", "ordinal")
 
 
 def test_number_of_hot_keys_is_bounded(skewed):
-    few = SplitPolicy(target_rows=1, max_chunks=2, mode="on")
+    few = SplitPolicy(target_rows=1, max_ranges=2, mode="on")
     assert [r.key for r in hot_keys(skewed, ["key"], few).collect()] == []
-    some = SplitPolicy(target_rows=1, max_chunks=4, mode="on")
+    some = SplitPolicy(target_rows=1, max_ranges=4, mode="on")
     assert [r.key for r in hot_keys(skewed, ["key"], some).collect()] == [0]
 
 

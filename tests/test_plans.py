@@ -5,7 +5,7 @@ import re
 import pytest
 
 from geotrail.operators import keyed
-from geotrail.operators.containment import FenceIndex
+from geotrail.operators.containment import FenceIndex, prepared
 from geotrail.operators.sizing import SplitPolicy
 from geotrail.operators.transitions import collision_events, tracker_clock
 from geotrail.operators.visits import visits
@@ -67,6 +67,10 @@ def test_latest_is_a_hash_aggregate_on_needed_columns(spark, folder):
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,value:double>" in plan
 
 
-def test_index_build_parses_each_outline_once(index):
-    plan = index._cells._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("regexp_extract") == 1
+def test_index_build_parses_each_outline_once(spark, folder, index):
+    def parses(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract")
+
+    assert parses(prepared(sample.outlined_fences(spark, folder))) == 1
+    # The cells start from the settled fences.
+    assert parses(index._cells) == 0
