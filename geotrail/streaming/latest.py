@@ -26,15 +26,15 @@ POINT = [
 STATE = T.StructType([*POINT, T.StructField("inside", T.ArrayType(T.LongType()))])
 
 
-def tracker_state(spark: SparkSession, root: str, compact_every: int = 20) -> KeyedTable:
+def tracker_state(spark: SparkSession, root: str, fanout: int = 4) -> KeyedTable:
     """Last point and containing fences per device."""
-    return KeyedTable(spark, root, STATE, ["device"], "device", compact_every=compact_every)
+    return KeyedTable(spark, root, STATE, ["device"], "device", fanout=fanout)
 
 
-def latest_view(spark: SparkSession, root: str, compact_every: int = 20) -> KeyedTable:
+def latest_view(spark: SparkSession, root: str, fanout: int = 4) -> KeyedTable:
     """Last arrival per device."""
     schema = T.StructType(POINT)
-    return KeyedTable(spark, root, schema, ["device"], "device", compact_every=compact_every)
+    return KeyedTable(spark, root, schema, ["device"], "device", fanout=fanout)
 
 
 def last_points(points: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ from geotrail.streaming.store import KeyedTable
 PAIR = ["device", "polygon"]
 # An event is its content: the same message again is the same event.
 IDENTITY = [*PAIR, "event_type", "event_ts", "x", "y"]
+# An enter is over when it is left, an exit without a visit when it happens.
+ENDED = f"if(event_type = '{messages.ENTER}', exit_ts, event_ts)"
 RECORD = T.StructType(
     [
         T.StructField("device", T.LongType()),
@@ -41,16 +43,30 @@ RECORD = T.StructType(
         T.StructField("exit_seq", T.LongType()),
         # An exit that has found its visit since is part of that row.
         T.StructField("gone", T.BooleanType()),
+        # An enter that changed after it had gone to the folder of the day it was left on.
+        T.StructField("late", T.BooleanType()),
     ]
 )
 
 
 class VisitStore:
-    def __init__(self, spark: SparkSession, root: str, compact_every: int = 20):
+    """Visits under ``root``. Those that ended more than ``settle_after`` seconds before the
+    newest event of a batch are settled: they go to folders by the day they ended, which later
+    batches read only for events that are as late."""
+
+    def __init__(
+        self, spark: SparkSession, root: str, fanout: int = 4, settle_after: int = 86_400
+    ):
+        self.settle_after = settle_after
         self.rows = KeyedTable(
-            spark, root, RECORD, IDENTITY, "device", compact_every=compact_every
+            spark, root, RECORD, IDENTITY, "device", fanout=fanout, day=f"cast({ENDED} as date)"
         )
 
+    def settled(self, newest_micros: int):
+        """Which rows are settled by an event time in microseconds."""
+        horizon = F.timestamp_micros(F.lit(newest_micros - self.settle_after * 1_000_000))
+        return (F.expr(ENDED) < horizon) & ~F.col("late")
+
     def read(self) -> DataFrame:
         """All visits as of the last finished batch."""
         entered = self.rows.read().where(F.col("event_type") == messages.ENTER)
@@ -71,7 +87,8 @@ def arriving_events(records: DataFrame) -> DataFrame:
 
 def _stored_events(rows: DataFrame) -> DataFrame:
     """The events that stored rows stand for."""
-    own = rows.select(*IDENTITY, "seq")
+    late = F.col("late") | (F.col("_archived") & (F.col("event_type") == messages.ENTER))
+    own = rows.select(*IDENTITY, "seq", late.alias("late"))
     closing = rows.where("exit_ts is not null").select(
         *PAIR,
         F.lit(messages.EXIT).alias("event_type"),
@@ -79,6 +96,7 @@ def _stored_events(rows: DataFrame) -> DataFrame:
         F.col("exit_point.x").alias("x"),
         F.col("exit_point.y").alias("y"),
         F.col("exit_seq").alias("seq"),
+        F.lit(False).alias("late"),
     )
     return own.unionByName(closing)
 
@@ -95,13 +113,17 @@ def record_batch(
         )
         fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            size = fresh.count()
+            size, newest, first_day = fresh.agg(
+                F.count(F.lit(1)),
+                F.unix_micros(F.max("event_ts")),
+                F.min("event_ts").cast("date").cast("string"),
+            ).first()
             if not size:
                 return
             crowded = size > policy.target_rows
             split = policy if policy.mode == "on" else policy.forced() if crowded else policy.off()
             since = fresh.groupBy(*PAIR).agg(F.min("event_ts").alias("_since"))
-            stored = store.rows.read(below=number, buckets=store.rows.needed(fresh))
+            stored = store.rows.read(number, store.rows.needed(fresh), first_day, "_archived")
             still = F.when(
                 F.col("event_type") == messages.ENTER,
                 F.col("exit_ts").isNull() | (F.col("exit_ts") >= F.col("_since")),
@@ -110,13 +132,14 @@ def record_batch(
             touched = touched.persist(StorageLevel.MEMORY_AND_DISK)
             events = (
                 _stored_events(touched)
-                .unionByName(fresh)
+                .unionByName(fresh.withColumn("late", F.lit(False)))
                 .groupBy(*IDENTITY)
-                .agg(F.min("seq").alias("seq"))
+                .agg(F.min("seq").alias("seq"), F.max("late").alias("late"))
                 .withColumn("in", F.col("event_type") == messages.ENTER)
                 .persist(StorageLevel.MEMORY_AND_DISK)
             )
-            store.rows.put(number, _changes(events, touched, split))
+            changes = _changes(events, touched, split)
+            store.rows.put(number, changes, store.settled(newest))
             events.unpersist()
             touched.unpersist()
         finally:
@@ -137,7 +160,7 @@ def _changes(events: DataFrame, touched: DataFrame, policy: SplitPolicy) -> Data
         "exit_point",
     )
     # The order of arrival stays with its event.
-    known = events.select(*IDENTITY, "seq")
+    known = events.select(*IDENTITY, "seq", "late")
     of_exit = known.where(F.col("event_type") == messages.EXIT).select(
         *PAIR,
         F.col("event_ts").alias("exit_ts"),
