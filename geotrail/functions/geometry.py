@@ -1,9 +1,10 @@
 """Planar geometry as Spark SQL expressions.
 
-A polygon is an array of edges over all its rings, holes included. Every edge
-carries ``m``, its change of x per unit of y, so that the test per point needs
-no division. A point is inside when a ray towards larger x crosses an odd
-number of edges and the point lies on none of them.
+A polygon is an array of edges over all its rings, holes included. A point is
+inside when a ray towards larger x crosses an odd number of edges and the point
+lies on none of them. On which side of an edge a point lies is decided without
+error: by the determinant in floating point where its error bound allows, else
+by exact sums of products in parts, as Shewchuk's adaptive predicates do.
 
 The functions take and return SQL text, which nests better than column objects do and is
 parsed once by Spark; wrap the result in ``F.expr``.
@@ -64,10 +65,7 @@ def polygon_wkt(rings: str) -> str:
 def ring_edges(rings: str) -> str:
     """All edges of all rings; an open ring is closed."""
     corners = "zip_with(r, concat(slice(r, 2, size(r)), slice(r, 1, 1)), (a, b) -> {})"
-    edge = (
-        "named_struct('x1', a.x, 'y1', a.y, 'x2', b.x, 'y2', b.y, "
-        "'m', if(b.y = a.y, 0D, (b.x - a.x) / (b.y - a.y)))"
-    )
+    edge = "named_struct('x1', a.x, 'y1', a.y, 'x2', b.x, 'y2', b.y)"
     edges = f"flatten(transform({rings}, r -> {corners.format(edge)}))"
     return f"filter({edges}, e -> e.x1 <> e.x2 or e.y1 <> e.y2)"
 
@@ -83,24 +81,75 @@ def bounds(edges: str) -> str:
     )
 
 
-def on_edge(e: str, x: str, y: str) -> str:
-    """Rarely true of the first condition, which is the cheapest, so the rest is rarely run."""
+# Relative error of the determinant of two rounded products of rounded differences.
+SIDE_ERROR = "3.3306690738754716e-16D"
+# Splits a double into two halves whose products are exact.
+SPLITTER = "134217729D"
+
+
+def _halves(v: str) -> tuple[str, str]:
+    high = f"({SPLITTER} * {v} - ({SPLITTER} * {v} - {v}))"
+    return high, f"({v} - {high})"
+
+
+def _exact_product(a: str, b: str) -> str:
+    """``array(error, product)``, whose exact sum is ``a * b``."""
+    (ah, al), (bh, bl) = _halves(a), _halves(b)
+    error = f"({al} * {bl} - ((({a} * {b} - {ah} * {bh}) - {al} * {bh}) - {ah} * {bl}))"
+    return f"array({error}, {a} * {b})"
+
+
+def exact_sign(products: list[tuple[str, str]]) -> str:
+    """The sign of a sum of products of doubles, without rounding.
+
+    The terms are added one at a time to a list of parts that do not overlap, from the smallest
+    to the largest; the last part that is not zero has the sign of the whole. Holds while no
+    product under- or overflows.
+    """
+    factors = ", ".join(f"named_struct('a', {a}, 'b', {b})" for a, b in products)
+    terms = f"flatten(transform(array({factors}), t -> {_exact_product('t.a', 't.b')}))"
+    total = "(s.q + v)"
+    error = f"((s.q - ({total} - ({total} - s.q))) + (v - ({total} - s.q)))"
+    added = (
+        "aggregate(parts, named_struct('q', term, 'h', cast(array() as array<double>)), "
+        f"(s, v) -> named_struct('q', {total}, 'h', array_append(s.h, {error})), "
+        "s -> array_append(s.h, s.q))"
+    )
     return (
-        f"(({x} - {e}.x1) * ({e}.y2 - {e}.y1) = ({y} - {e}.y1) * ({e}.x2 - {e}.x1)"
-        f" and {x} between least({e}.x1, {e}.x2) and greatest({e}.x1, {e}.x2)"
-        f" and {y} between least({e}.y1, {e}.y2) and greatest({e}.y1, {e}.y2))"
+        f"aggregate({terms}, cast(array() as array<double>), (parts, term) -> {added}, "
+        "parts -> signum(aggregate(parts, 0D, (last, v) -> if(v <> 0D, v, last))))"
     )
 
 
-def crosses(e: str, x: str, y: str) -> str:
-    return f"(({e}.y1 > {y}) <> ({e}.y2 > {y}) and {x} < {e}.x1 + ({y} - {e}.y1) * {e}.m)"
+def side(e: str, x: str, y: str) -> str:
+    """Sign of the turn from an edge to a point: 1 left of its direction, -1 right, 0 on its
+    line."""
+    left = f"(({e}.x2 - {e}.x1) * ({y} - {e}.y1))"
+    right = f"(({e}.y2 - {e}.y1) * ({x} - {e}.x1))"
+    exact = exact_sign(
+        [
+            (f"{e}.x1", f"{e}.y2"), (f"(-{e}.x2)", f"{e}.y1"),
+            (f"{e}.x2", y), (f"(-{x})", f"{e}.y2"),
+            (x, f"{e}.y1"), (f"(-{e}.x1)", y),
+        ]
+    )
+    return (
+        f"case when abs({left} - {right}) > {SIDE_ERROR} * (abs({left}) + abs({right}))"
+        f" then signum({left} - {right}) else {exact} end"
+    )
 
 
 def contains(edges: str, x: str, y: str) -> str:
     """True when (x, y) is strictly inside; boundary points are outside."""
+    spans = f"(e.y1 > {y}) <> (e.y2 > {y})"
+    # Most edges are decided by their box; the side is only asked within it.
     step = (
-        f"n + case when {on_edge('e', x, y)} then {ON_EDGE}L "
-        f"when {crosses('e', x, y)} then 1L else 0L end"
+        f"n + case when {y} < least(e.y1, e.y2) or {y} > greatest(e.y1, e.y2)"
+        f" or {x} > greatest(e.x1, e.x2) then 0L"
+        f" when {x} < least(e.x1, e.x2) then if({spans}, 1L, 0L)"
+        f" else aggregate(array({side('e', x, y)}), 0L, (m, turn) -> case"
+        f" when turn = 0 then {ON_EDGE}L"
+        f" when {spans} and (turn > 0) = (e.y2 > e.y1) then 1L else 0L end) end"
     )
     # The result of the fold is odd and below ON_EDGE only for a point inside.
     return f"aggregate({edges}, 0L, (n, e) -> {step}, n -> n < {ON_EDGE}L and n % 2 = 1)"

@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 import pytest
 from conftest import rows
@@ -12,14 +13,15 @@ SQUARE_WITH_HOLE = "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 6 4, 6 6, 4 6,
 
 
 def strictly_inside(rings, x, y):
-    """Brute force over all edges, in plain Python."""
-    odd = False
+    """Brute force over all edges, in exact fractions."""
+    x, y, odd = Fraction(x), Fraction(y), False
     for ring in rings:
-        for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+        corners = [(Fraction(a), Fraction(b)) for a, b in ring]
+        for (x1, y1), (x2, y2) in zip(corners, corners[1:]):
             aligned = (x - x1) * (y2 - y1) == (y - y1) * (x2 - x1)
             if aligned and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
                 return False
-            if (y1 > y) != (y2 > y) and x < x1 + (y - y1) * ((x2 - x1) / (y2 - y1)):
+            if (y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1):
                 odd = not odd
     return odd
 
@@ -177,3 +179,56 @@ def test_polygon_text_round_trip(fences):
     )
     assert got[2] == "POLYGON ((-1.5 -2.0, 300.0 0.0, 1.0 1.0, -1.5 -2.0))"
     assert source.where(F.col("rings").isNull()).count() == 3
+
+
+def test_points_rounded_onto_sloped_edges(spark, points, fences):
+    """Where the determinant of rounded numbers has the wrong sign, or no sign."""
+    rnd = random.Random(8)
+    # A point of the kind that rounding puts on the wrong side.
+    shapes = {0: [[(54.141, 93.915), (38.12, 21.66), (42.212, 2.904), (54.141, 93.915)]]}
+    places = [(50.5892778146397, 77.89666865344185)]
+    for n in range(1, 40):
+        a, b, c = ((round(rnd.uniform(0, 100), 3), round(rnd.uniform(0, 100), 3)) for _ in "abc")
+        shapes[n] = [[a, b, c, a]]
+    for n in range(4000):
+        ring = shapes[n % 40][0]
+        (x1, y1), (x2, y2) = ring[n % 3], ring[n % 3 + 1]
+        t = rnd.random()
+        places.append((x1 + t * (x2 - x1), y1 + t * (y2 - y1)))
+    index = FenceIndex(fences(*[(i, text(rings)) for i, rings in shapes.items()]))
+    found = index.pairs(points(*[(1, x, y) for x, y in places]), ["seq"])
+    got = set(rows(found, "seq", "fence"))
+    boxes = {
+        i: (min(p[0] for p in r[0]), max(p[0] for p in r[0]), min(p[1] for p in r[0]), max(p[1] for p in r[0]))
+        for i, r in shapes.items()
+    }
+    want = {
+        (n, i)
+        for n, (x, y) in enumerate(places)
+        for i, (a, b, c, d) in boxes.items()
+        if a <= x <= b and c <= y <= d and strictly_inside(shapes[i], x, y)
+    }
+    assert got == want and (0, 0) not in got and len(want) > 1000
+
+
+def test_side_of_an_edge_against_fractions(spark):
+    rnd = random.Random(9)
+    cases = []
+    for n in range(3000):
+        x1, y1, x2, y2 = (rnd.uniform(-100, 100) for _ in range(4))
+        if n % 3 == 0:  # a grid of halves, so that many lie exactly on the line
+            x1, y1, x2, y2 = (round(2 * v) / 2 for v in (x1, y1, x2, y2))
+        t = rnd.choice([0.5, 0.25, rnd.random()])
+        x, y = x1 + t * (x2 - x1), y1 + t * (y2 - y1)
+        if n % 5 == 0:
+            x, y = x + rnd.uniform(-1, 1), y
+        cases.append((n, x1, y1, x2, y2, x, y))
+    df = spark.createDataFrame(cases, "n int, x1 double, y1 double, x2 double, y2 double, x double, y double")
+    edge = "named_struct('x1', x1, 'y1', y1, 'x2', x2, 'y2', y2) as e"
+    got = df.selectExpr("n", "x", "y", edge).selectExpr("n", f"cast({geo.side('e', 'x', 'y')} as int) as s")
+    signs = {r.n: r.s for r in got.collect()}
+    for n, x1, y1, x2, y2, x, y in cases:
+        x1, y1, x2, y2, x, y = map(Fraction, (x1, y1, x2, y2, x, y))
+        turn = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+        assert signs[n] == (turn > 0) - (turn < 0), n
+    assert list(signs.values()).count(0) > 300

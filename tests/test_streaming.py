@@ -230,6 +230,28 @@ def test_any_order_and_cut_gives_the_batch_result(spark, recorded):
     assert recorded(*[shuffled[i : i + 25] for i in range(0, 100, 25)]) == want
 
 
+def test_events_that_change_visits_of_settled_days(spark, tmp_path):
+    import random
+
+    r = random.Random(6)
+    hours = [3600 * 7 * t for t in range(48)]
+    events = [
+        _event(r.choice(["enter", "exit"]), t, n, n, device=1, polygon=r.randint(1, 2))
+        for n, t in enumerate(hours)
+    ]
+    want = spans(visits(spark.createDataFrame(events, tracker.EVENT)))
+    # Every fourth event comes when its day has been settled.
+    late = events[1::4]
+    batches = [events[i : i + 6] for i in range(0, 48, 6)]
+    batches = [[e for e in b if e not in late] for b in batches] + [late[:6], late[6:], late[:2]]
+    store = recorder.VisitStore(spark, str(tmp_path / "visits"), fanout=2, settle_after=3600)
+    run = recorder.record_batch(store)
+    for number, batch in enumerate(batches):
+        run(spark.createDataFrame(batch, tracker.EVENT), number)
+    assert spans(store.read()) == want
+    assert store.rows._read_settled(None).count() >= 5
+
+
 def test_unreadable_events_are_set_aside(spark, tmp_path):
     from geotrail.operators.transitions import accepted_messages, rejected_messages
 
