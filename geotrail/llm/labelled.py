@@ -22,11 +22,11 @@ class Fold:
         return F.coalesce(remainder(doc_id, self.divisor) == self.held_out, F.lit(False))
 
 
-def training_texts(
+def training_rows(
     docs: DataFrame, labels: DataFrame, label: str, fold: Fold, per_label: int, max_chars: int
-) -> tuple[list[str], np.ndarray]:
-    """At most ``per_label`` texts of each label and their labels, chosen and ordered by a hash
-    of the id: the same ones wherever the rows are. Texts over ``max_chars`` characters, null
+) -> DataFrame:
+    """``o, i, l, t``: at most ``per_label`` texts ``t`` of each label ``l``, chosen by a hash of
+    the id; ``o`` and ``i`` order them, the same wherever the rows are. Texts over ``max_chars`` characters, null
     labels, labels of unknown documents and held-out rows are no part of the sample. A document
     with several labels counts with the largest."""
     known = (
@@ -41,18 +41,29 @@ def training_texts(
     chosen = known.where("_label = 0").orderBy("_order", "_id").limit(per_label).union(
         known.where("_label = 1").orderBy("_order", "_id").limit(per_label)
     )
-    rows = (
+    return (
         docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
         .join(F.broadcast(chosen), "_id")
         .where(F.length("_text") <= max_chars)
         .groupBy("_id")
         .agg(F.min("_order").alias("o"), F.min("_label").alias("l"), F.min("_text").alias("t"))
-        .collect()
+        .select("o", F.col("_id").alias("i"), "l", "t")
     )
-    rows.sort(key=lambda r: (r["o"], r["_id"]))
+
+
+def in_order(rows: list) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of ``training_rows``."""
+    rows = sorted(rows, key=lambda r: (r["o"], r["i"]))
     return [r["t"] for r in rows], np.array([r["l"] for r in rows], dtype=np.int64)
 
 
+def training_texts(
+    docs: DataFrame, labels: DataFrame, label: str, fold: Fold, per_label: int, max_chars: int
+) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of ``training_rows`` at the driver."""
+    return in_order(training_rows(docs, labels, label, fold, per_label, max_chars).collect())
+
+
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 

@@ -87,7 +87,7 @@ def ranges(found: list[Pattern]) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def _cut(length: int, vocabulary: str):
+def _cut(length: int, vocabulary: str, id_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode_all
         for batch in batches:
@@ -95,7 +95,7 @@ def _cut(length: int, vocabulary: str):
             for a, b in blocks(texts, BLOCK_BYTES):
                 flat, counts = encode(texts.slice(a, b - a).to_pylist())
                 whole = counts + 1
-                ids = np.full(int(whole.sum()), END_ID, dtype="<u4")
+                ids = np.full(int(whole.sum()), END_ID, dtype=f"<u{id_bytes}")
                 keep = np.ones(len(ids), dtype=bool)
                 keep[np.cumsum(whole) - 1] = False
                 ids[keep] = flat
@@ -105,7 +105,8 @@ def _cut(length: int, vocabulary: str):
                 size = np.minimum(whole[owner] - start, length)
                 first = np.cumsum(size) - size
                 data = ids.tobytes()
-                held = [data[4 * i : 4 * (i + n)] for i, n in zip(first.tolist(), size.tolist())]
+                begin, end = id_bytes * first, id_bytes * (first + size)
+                held = [data[i:j] for i, j in zip(begin.tolist(), end.tolist())]
                 yield pa.record_batch(
                     [
                         rows.slice(a, b - a).take(pa.array(owner)),
@@ -126,14 +127,15 @@ def pieces(
     text: str = "text",
     length: int = LENGTH,
     vocabulary: str = VOCABULARY,
+    id_bytes: int = 4,
 ) -> DataFrame:
     """``doc_id, start, length, ids, doc_tokens``: the pieces of all documents; ``ids`` are
-    little-endian 32-bit numbers. A null or empty text is the end id alone. Rows that repeat an
+    little-endian numbers of ``id_bytes`` bytes, which must hold the vocabulary. A null or empty text is the end id alone. Rows that repeat an
     id are documents of their own, with pieces of their own; other columns are left out."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
-        _cut(length, vocabulary),
+        _cut(length, vocabulary, id_bytes),
         f"doc_id {kind}, start long, length long, ids binary, doc_tokens long",
     )
 

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from geotrail.llm.subwords import VOCABULARY, encoder
 from geotrail.llm.tables import saved
 from geotrail.llm.words import blocks, mixed, word_hashes
 
+#: Ids that are counted or trained on together.
+IDS_AT_ONCE = 1 << 17
 #: The end counts as a token; no word has this hash but by chance.
 END = mixed(np.array([1], dtype=np.uint64), 99).view(np.int64)[0]
 
@@ -166,13 +169,27 @@ def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(held), dtype="<u2"), counts
 
 
+def _some_ids(column: pa.Array, most: int = IDS_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and counts of a few rows at a time, up to ``most`` ids; a longer text is by itself."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy() // 2
+    start, held = 0, 0
+    for row, size in enumerate(sizes.tolist()):
+        if row > start and held + size > most:
+            yield _ids(column.slice(start, row - start))
+            start, held = row, 0
+        held += size
+    if start < len(sizes):
+        yield _ids(column.slice(start))
+
+
 def _count_into(size: int, count):
     """Numbers of one task, added up before they leave it: ``count`` gives them for some texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            total += count(*_ids(batch.column(0)))
+            for some in _some_ids(batch.column(0)):
+                total += count(*some)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
@@ -190,7 +207,8 @@ def _counted(ids: DataFrame, size: int, count) -> np.ndarray:
 
 def _train(model: attention.Model, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = attention.passed(model, (_ids(batch.column(0)) for batch in batches), rate)
+        texts = (some for batch in batches for some in _some_ids(batch.column(0)))
+        seen = attention.passed(model, texts, rate)
         if seen:
             row = attention.packed_parameters(model.p).astype("<f4").tobytes()
             yield pa.record_batch(

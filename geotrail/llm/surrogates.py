@@ -61,9 +61,13 @@ def _any_case(line: str) -> str:
 
 _TITLE = _any_case(" ".join(TITLES.values()))
 # Every pattern is only tried where no letter or digit goes before, and gives up at once on most
-# words: it never looks at the same characters again.
+# words: it never looks at the same characters again. Loops over groups are possessive or bounded,
+# as others go down a level for each turn.
 KINDS = {
-    "email": r"(?<![._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
+    # Labels up to the first that starts with two letters, then what goes on without a break.
+    "email": r"(?<![._%+\-])[\p{L}\p{N}._%+\-]++@"
+    r"(?:[\p{L}\p{N}\-]|\.(?!\p{L}{2})(?=[\p{L}\p{N}\-]))++\.\p{L}{2}"
+    r"(?:[\p{L}\p{N}]|[.\-](?=[\p{L}\p{N}]))*+",
     "ip": rf"(?<!\.){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)",
     "key": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)",
     "hex": r"(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?!\w)",

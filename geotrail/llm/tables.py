@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,8 @@ from geotrail import session
 # White space as the contracts of this package count it: blank, tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+# Spark removes the shuffle files of a query as soon as it has ended.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, folder: str, table: str = "documents") -> DataFrame:
@@ -19,21 +19,19 @@ def documents(spark: SparkSession, folder: str, table: str = "documents") -> Dat
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once, written to the shared folder and read back from there."""
+    """``df`` computed once, written to the shared folder and read back from there. The shuffle
+    files of the write go with its end: nothing else uses them."""
     spark = df.sparkSession
     path = f"{session.run_folder(spark)}/table"
-    df.write.parquet(path)
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget_exchanges(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished steps. They stay until the driver has collected
-    the plans they belong to, which it may not do for long; this asks for it before a step that
-    writes much. Files that a plan in use still needs are kept."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``: fixes which rows are held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor

@@ -2,6 +2,7 @@ import collections
 import re
 import zlib
 
+import numpy as np
 import pytest
 from samples import odd
 from tokenizers import Tokenizer
@@ -44,8 +45,25 @@ def test_stages_on_the_sample(spark, folder):
     assert all(words(after)[s] <= 2 * n for s, n in words(before).items())
     before, after = kept["packing"]
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    total = sum(len(exact.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in before)
-    assert sum(r.length for r in after) == total
+    want = collections.Counter(
+        (r.doc_id, *exact.encode(r.text or "", add_special_tokens=False).ids, 0) for r in before
+    )
+    copies, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for r in after:
+        ids = np.frombuffer(r.ids, "<u2").tolist()
+        assert len(ids) == r.length
+        copies[r.doc_id, r.copy].append((r.start, ids))
+        sequences[r.sequence_id].append((r.offset, ids))
+    got = collections.Counter(
+        (i, *(x for _, ids in sorted(pieces) for x in ids)) for (i, _), pieces in copies.items()
+    )
+    assert got == want
+    for pieces in sequences.values():
+        at = 0
+        for offset, ids in sorted(pieces):
+            assert offset == at
+            at += len(ids)
+        assert at <= 1024
 
 
 def near_representatives(rows):
@@ -73,7 +91,7 @@ def near_representatives(rows):
 
 def test_queries_are_registered():
     names = contract.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names
 

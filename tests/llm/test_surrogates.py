@@ -155,3 +155,24 @@ def test_shorter_and_untitled_mentions(spark):
     one, two, unclear, woman, her = (e.surrogate for e in got[1]._entities)
     assert one == full != two and her == "Mrs " + woman.split(" ", 2)[2]
     assert unclear.split(" ", 1)[0] == "Mr"
+
+
+def test_host_names_of_very_many_labels(spark):
+    labels = 100_000
+    texts = [
+        "mail x@" + "b." * labels + "1",
+        "mail x@" + "b." * 2000 + "com and y@mail.example.com.",
+        "x@" + "bb." * 2000 + "org",
+        "." * 1_000_000, "7" * 1_000_000, "x" * 1_000_000, " " * 1_000_000, "\n" * 1_000_000,
+    ]
+    got = replaced(spark, texts)
+    assert [len(got[i]._entities) for i in range(8)] == [0, 2, 1, 0, 0, 0, 0, 0]
+    assert all(got[i].text == texts[i] for i in (0, 3, 4, 5, 6, 7))
+    assert "y@mail" not in got[1].text and got[1].text.endswith(".")
+
+
+def test_where_an_address_ends(spark):
+    texts = ["a@b.com.", "a@b.c.org-x", "a@b..com", "a@1.2.3", "a@b.com1", "<a@b-c.example.net>", "a@b.co, c@d"]
+    got = replaced(spark, texts)
+    assert [len(got[i]._entities) for i in range(7)] == [1, 1, 0, 0, 1, 1, 1]
+    assert got[0].text.endswith(".") and got[5].text[-1] == ">" and got[6].text.endswith(", c@d")
