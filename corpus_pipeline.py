@@ -45,9 +45,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 1024 ids."""
-    cut = packing.pieces(docs)
-    return packing.packed(cut.withColumn("ids_crc32", packing.checksum(F.col("ids"))).drop("ids"))
+    """Pieces of all documents in sequences of at most 1024 ids, with their ids as little-endian
+    16-bit numbers. ``copy`` numbers the rows of the mixture, where a document may be twice: the
+    pieces of one copy in order of ``start`` are its ids, the pieces of one ``sequence_id`` in
+    order of ``offset`` are a sequence."""
+    row = F.struct("doc_id", F.monotonically_increasing_id().alias("copy"))
+    cut = packing.pieces(docs.withColumn("_copy", row), doc_id="_copy", id_bytes=2)
+    return packing.packed(cut).select("doc_id.doc_id", "doc_id.copy", *cut.columns[1:], "sequence_id", "offset")
 
 
 STAGES = [
