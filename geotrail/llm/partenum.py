@@ -38,7 +38,7 @@ from geotrail.llm.words import blocks, mixed, shingle_hashes, word_hashes
 
 WAYS = 2
 LEAST_PARTS = 64
-STRAY_BLOCK = 128
+STRAY_BLOCK = 2048
 MEMBER_BLOCK = 2048
 
 

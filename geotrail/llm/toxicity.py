@@ -29,6 +29,7 @@ PREFIXES = (4, 5, 6)
 FEATURES = 1 + len(PREFIXES)
 WIDTHS = (1, 2, 3)
 BLOCK_BYTES = 512 << 10
+CHECKED = 64
 #: Common function words by which a text's language is guessed.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for was with by are this from",
@@ -248,11 +249,13 @@ def fit(texts: list[str], labels: np.ndarray, settings: Settings = Settings()) -
             some = order[a : a + settings.batch]
             _train_step(net, _part(train, some), y[some], weight[some], ada)
     chosen = np.flatnonzero(held) if len({*labels[held].tolist()}) == 2 else learning
-    checked = _part(data, chosen)
-    logits, truth = net.logits(checked), labels[chosen]
+    # A few texts at a time: the values of all filters at all places are many times the texts.
+    parts = [_part(data, chosen[a : a + CHECKED]) for a in range(0, len(chosen), CHECKED)]
+    logits, truth = np.concatenate([net.logits(part) for part in parts]), labels[chosen]
+    guessed = np.concatenate([part.language for part in parts])
     net.cuts[:] = best_cut(logits, truth)
     for language in range(len(FUNCTION_WORDS)):
-        own = checked.language == language
+        own = guessed == language
         if min((truth[own] == 1).sum(), (truth[own] == 0).sum()) >= settings.least_for_cut:
             net.cuts[language] = best_cut(logits[own], truth[own])
     return net
@@ -293,7 +296,9 @@ def learnt(
     rows = training_rows(docs, labels, "toxic", fold, settings.per_label, settings.max_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, known = in_order([row for batch in batches for row in batch.to_pylist()])
+        held = [row for batch in batches for row in batch.to_pylist()]
+        texts, known = in_order(held)
+        del held
         held = pickle.dumps(fit(texts, known, settings))
         yield pa.record_batch([pa.array([held], pa.binary())], names=["network"])
 
