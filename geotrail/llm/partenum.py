@@ -101,6 +101,27 @@ def _folded(sketch: bytes, parts: int) -> np.ndarray:
     return full if len(full) == parts else full.reshape(parts, -1).sum(axis=1, dtype=np.uint8)
 
 
+def _low_bits(sketch: bytes) -> bytes:
+    """The two low bits of each checksum, four of them to a byte: a quarter of what travels."""
+    four = (np.frombuffer(sketch, np.uint8) & 3).reshape(-1, 4)
+    return np.bitwise_or.reduce(four << np.array([0, 2, 4, 6], np.uint8), axis=1).tobytes()
+
+
+def _folded_low(low: bytes, parts: int) -> np.ndarray:
+    """Low bits of a sketch of fewer parts. They differ in no more parts than whole checksums."""
+    each = np.frombuffer(low, np.uint8)[:, None] >> np.array([0, 2, 4, 6], np.uint8)
+    return (each & 3).reshape(parts, -1).sum(axis=1, dtype=np.uint8) & 3
+
+
+def _with_low_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        low = [_low_bits(sketch) for sketch in batch.column(2).to_pylist()]
+        yield pa.record_batch(
+            [batch.column(0), batch.column(1), pa.array(low, pa.binary())],
+            names=["class", "n", "sketch"],
+        )
+
+
 def signatures(
     elements: np.ndarray, sizes: np.ndarray, percent: int, ways: int = WAYS
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -225,15 +246,15 @@ def _cross(percent: int, every: bool):
         stray = table.filter(table.column("stray"))
         member = table.filter(pa.compute.invert(table.column("stray")))
         lengths = pa.compute.binary_length(table.column("sketch"))
-        parts = pa.compute.min(lengths).as_py()
+        parts = 4 * pa.compute.min(lengths).as_py()
         held = member.column("sketch").to_pylist()
-        sketch = np.array([_folded(x, parts) for x in held], np.uint8).reshape(-1, parts)
+        sketch = np.array([_folded_low(x, parts) for x in held], np.uint8).reshape(-1, parts)
         size, label, part = (member.column(c).to_numpy() for c in ("n", "class", "component"))
         left, right = [], []
         for row, own, cls, home in zip(
             *(stray.column(c).to_pylist() for c in ("sketch", "n", "class", "component"))
         ):
-            far = (sketch != _folded(row, parts)).sum(axis=1)
+            far = (sketch != _folded_low(row, parts)).sum(axis=1)
             near = (far * (100 + percent) <= (100 - percent) * (size + own)) & (part != home)
             at = np.flatnonzero(near)
             if not every:
@@ -410,9 +431,10 @@ class JaccardJoin:
             F.floor(F.max("_place") / MEMBER_BLOCK).alias("_last_member"),
             F.floor((F.sum(F.col("_strays").cast("int")) - 1) / STRAY_BLOCK).alias("_last_stray"),
         )
-        rows = rows.join(totals, "signature").join(
-            self.classes.select("class", F.col("n_shingles").alias("n"), "sketch"), "class"
-        )
+        # Pairs are held against the whole sketches, and then the sets, later.
+        described = self.classes.select("class", F.col("n_shingles").alias("n"), "sketch")
+        described = described.mapInArrow(_with_low_bits, "class long, n long, sketch binary")
+        rows = rows.join(totals, "signature").join(described, "class")
         common = ["signature", "class", "component", "n", "sketch"]
         as_member = rows.select(
             *common,
