@@ -12,7 +12,7 @@ words; the score is the logistic of the logit above the cut.
 
 from __future__ import annotations
 
-import pickle
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geotrail.llm.labelled import Fold, best_cut, in_order, logistic, training_rows
+from geotrail.llm.labelled import Fold, best_cut, logistic, training_texts
 from geotrail.llm.tables import whole
 from geotrail.llm.words import blocks, mixed, non_letters, word_hashes
 
@@ -288,22 +288,24 @@ def scored(
     return rows.mapInArrow(run, f"_row {row_type}, score double")
 
 
+def _give_back_memory() -> None:
+    """Lets the system have what training has freed; an allocator may keep it for long."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def learnt(
     docs: DataFrame, labels: DataFrame, fold: Fold, settings: Settings = Settings()
 ) -> Network | None:
-    """The network of a bounded sample of labelled texts. One task trains it, so the driver holds
-    no more than the network."""
-    rows = training_rows(docs, labels, "toxic", fold, settings.per_label, settings.max_chars)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [row for batch in batches for row in batch.to_pylist()]
-        texts, known = in_order(held)
-        del held
-        held = pickle.dumps(fit(texts, known, settings))
-        yield pa.record_batch([pa.array([held], pa.binary())], names=["network"])
-
-    found = rows.repartition(1).mapInArrow(run, "network binary").collect()
-    return pickle.loads(bytes(found[0]["network"])) if found else None
+    """The network of a bounded sample of labelled texts."""
+    network = fit(
+        *training_texts(docs, labels, "toxic", fold, settings.per_label, settings.max_chars),
+        settings,
+    )
+    _give_back_memory()
+    return network
 
 
 def is_toxic(score: Column) -> Column:
