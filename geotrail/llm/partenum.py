@@ -2,11 +2,17 @@
 
 Sets of word shingles whose Jaccard resemblance reaches a threshold differ in few elements:
 sizes ``a`` and ``b`` allow a symmetric difference of ``(1 - t) / (1 + t) * (a + b)``. Sizes are
-divided into bands wider than linked sets can be apart, and each band has its largest difference
-``k``; a set also takes part in the next band if a set of that band can be near enough. Within a band the domain of shingles is partitioned into ``ceil((k + 1) / 2)``
-parts, so that some part holds at most one differing element, and each part again into ``ways``
+divided into bands at least as wide as linked sets can be apart, and each band has its largest
+difference ``k``; a set also takes part in the next band if a set of that band can be near enough.
+Within a band the domain of shingles is partitioned into ``floor(k / 2) + 1 + x`` parts, so that at
+least ``1 + x`` parts hold at most one differing element each, and each part again into ``ways``
 smaller ones. A signature is the content of all smaller parts of a part but one. Of two linked
-sets at least one signature is equal, whatever their elements.
+sets at least one signature is equal in each of these ``1 + x`` parts, whatever their elements.
+
+Signatures of little content, empty ones above all, are shared by a fixed share of a band. A set
+that has such heavy signatures in at most ``x`` parts does without them: in some other part it has
+a signature in common with each of its partners, and that one is not heavy. Heavy signatures are
+left to the sets that have more, so no link is lost.
 
 From equal signatures to components:
 
@@ -25,6 +31,7 @@ link is lost; no limit is set on the members of a signature or a component.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,31 +43,60 @@ from geotrail.llm.components import components
 from geotrail.llm.tables import bucket_flag, saved, whole
 from geotrail.llm.words import blocks, mixed, shingle_hashes, word_hashes
 
-WAYS = 2
 LEAST_PARTS = 64
+#: Classes from which on a signature is heavy. A plan, never a result, depends on it.
+HEAVY = 32
+#: Bits of a signature that say which part of a band it is of, and that bands take turns by.
+PART_BITS = 15
 STRAY_BLOCK = 2048
 MEMBER_BLOCK = 2048
 
 
+@dataclass(frozen=True)
+class Scheme:
+    """Smaller parts of a part, how many times as far as linked sets can be apart a band reaches,
+    and the parts in excess of those needed, as a share of these. Wider bands allow more
+    differences, narrower ones have more sets that take part in two of them."""
+
+    ways: int = 2
+    reach: int = 3
+    excess: float = 0.0
+
+    def needed(self, allowed: np.ndarray) -> np.ndarray:
+        return allowed // 2 + 1
+
+    def spare(self, allowed: np.ndarray) -> np.ndarray:
+        return np.ceil(self.needed(allowed) * self.excess).astype(np.int64)
+
+
 def _scaled(elements: np.ndarray, seed: int, parts: np.ndarray) -> np.ndarray:
     """A part number below ``parts`` for each element, by a hash."""
     high = mixed(elements, seed) >> np.uint64(32)
     return ((high * parts.astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
 
 
-def bands(largest: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def bands(largest: int, percent: int, reach: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """First sizes of the bands up to one beyond ``largest``, and the differences they allow."""
     first, widest = [1], []
     while True:
-        # Three times as far as linked sets can be apart: wider bands allow more differences,
-        # narrower ones have more sets that take part in two of them.
-        last = first[-1] * 100**3 // percent**3
+        last = first[-1] * 100**reach // percent**reach
         widest.append((100 - percent) * 2 * last // (100 + percent))
         first.append(last + 1)
         if first[-2] > largest:
             return np.array(first[:-1]), np.array(widest)
 
 
+def spare_parts(sizes: np.ndarray, percent: int, scheme: Scheme) -> np.ndarray:
+    """In how many parts a set may do without its signatures, in either of its bands; -1 for sets
+    with more parts than a signature can tell apart."""
+    first, allowed = bands(int(sizes.max(initial=1)), percent, scheme.reach)
+    own = np.searchsorted(first, np.maximum(sizes, 1), side="right") - 1
+    upper = allowed[np.minimum(own + 1, len(allowed) - 1)]
+    parts = scheme.needed(upper) + scheme.spare(upper)
+    # A later band never has less to spare.
+    return np.where(parts < 1 << PART_BITS, scheme.spare(allowed[own]), -1)
+
+
 def element_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted, one text after the other, and set sizes."""
     words, counts, _ = word_hashes(texts)
@@ -123,10 +159,11 @@ def _with_low_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def signatures(
-    elements: np.ndarray, sizes: np.ndarray, percent: int, ways: int = WAYS
+    elements: np.ndarray, sizes: np.ndarray, percent: int, scheme: Scheme = Scheme()
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of each set and the number of the set they belong to."""
-    first, allowed = bands(int(sizes.max(initial=1)), percent)
+    """Signatures of each set and the number of the set they belong to. The low bits of a
+    signature are those of its band and part."""
+    first, allowed = bands(int(sizes.max(initial=1)), percent, scheme.reach)
     own = np.searchsorted(first, sizes, side="right") - 1
     # A set also takes part in the next band if a set of that band can be near enough.
     upper = own + 1
@@ -135,8 +172,8 @@ def signatures(
     band = np.concatenate([own[sizes > 0], upper[up]])
     # Without any difference allowed, only equal sets are linked, and these are one class.
     chosen, band = chosen[allowed[band] > 0], band[allowed[band] > 0]
-    outer = (allowed[band] + 2) // 2
-    slots = outer * ways
+    ways = scheme.ways
+    slots = (scheme.needed(allowed[band]) + scheme.spare(allowed[band])) * ways
     start = np.cumsum(slots) - slots
     n = sizes[chosen]
     begin = (np.cumsum(sizes) - sizes)[chosen]
@@ -151,10 +188,14 @@ def signatures(
         owner = np.repeat(np.arange(len(chosen)), slots)
         place = np.arange(len(rest)) - start[owner]
         tag = (band[owner].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64)
-        return mixed(mixed(tag, 16) + rest, 17).view(np.int64), chosen[owner]
+        content_hash = mixed(mixed(tag, 16) + rest, 17) >> np.uint64(PART_BITS + 1)
+    turn, part = band[owner] & 1, (place // ways) & ((1 << PART_BITS) - 1)
+    low = ((turn << PART_BITS) + part).astype(np.uint64)
+    signature = (content_hash << np.uint64(PART_BITS + 1)) + low
+    return signature.view(np.int64), chosen[owner]
 
 
-def _describe(shingle: int, percent: int):
+def _describe(shingle: int, percent: int, scheme: Scheme):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, marks = (batch.column(i) for i in range(3))
@@ -170,14 +211,15 @@ def _describe(shingle: int, percent: int):
                         pa.array(class_hash(elements, sizes)),
                         pa.array(second),
                         pa.array(sketch, pa.binary()),
+                        pa.array(spare_parts(sizes, percent, scheme)),
                     ],
-                    names=["doc_id", "mark", "n_shingles", "class", "check", "sketch"],
+                    names=["doc_id", "mark", "n_shingles", "class", "check", "sketch", "spare"],
                 )
 
     return run
 
 
-def _sign(shingle: int, percent: int, ways: int):
+def _sign(shingle: int, percent: int, scheme: Scheme):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, seen = batch.column(0), np.zeros(0, np.int64)
@@ -190,7 +232,7 @@ def _sign(shingle: int, percent: int, ways: int):
                 fresh &= ~np.isin(label, seen)
                 seen = np.union1d(seen, label)
                 kept = np.repeat(fresh, sizes)
-                signature, owner = signatures(elements[kept], sizes[fresh], percent, ways)
+                signature, owner = signatures(elements[kept], sizes[fresh], percent, scheme)
                 yield pa.record_batch(
                     [pa.array(signature), pa.array(label[fresh][owner])],
                     names=["signature", "class"],
@@ -295,22 +337,32 @@ class JaccardJoin:
     """One join over a table of documents."""
 
     def __init__(
-        self, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, ways: int
+        self,
+        docs: DataFrame,
+        doc_id: str,
+        text: str,
+        shingle: int,
+        percent: int,
+        scheme: Scheme,
     ):
         self.texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-        self.shingle, self.percent, self.ways = shingle, percent, ways
+        self.shingle, self.percent, self.scheme = shingle, percent, scheme
         self.id_type = self.texts.schema["doc_id"].dataType.simpleString()
         self.rows = saved(
             self.texts.withColumn("mark", F.xxhash64("text")).mapInArrow(
-                _describe(shingle, percent),
+                _describe(shingle, percent, scheme),
                 f"doc_id {self.id_type}, mark long, n_shingles long, class long, check long,"
-                " sketch binary",
+                " sketch binary, spare long",
             )
         )
         self.classes = saved(
             self.rows.where("n_shingles > 0")
             .groupBy("n_shingles", "class", "check")
-            .agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"))
+            .agg(
+                F.min("doc_id").alias("first"),
+                F.first("sketch").alias("sketch"),
+                F.first("spare").alias("spare"),
+            )
         )
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -360,11 +412,48 @@ class JaccardJoin:
 
     def stars(self) -> DataFrame:
         """``signature, pivot, class``: classes that share a signature with a smaller one."""
-        return (
-            self.texts.select("text")
-            .mapInArrow(
-                _sign(self.shingle, self.percent, self.ways), "signature long, class long"
+        return self._starred(
+            self.texts.select("text").mapInArrow(
+                _sign(self.shingle, self.percent, self.scheme), "signature long, class long"
             )
+        )
+
+    def told_apart(self, stars: DataFrame) -> DataFrame:
+        """``stars`` in which heavy signatures have the classes alone that cannot do without."""
+        heavy = saved(
+            stars.groupBy("signature")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") >= HEAVY)
+            .select("signature")
+        )
+        if heavy.isEmpty():
+            return stars
+        crowded = stars.join(heavy, "signature", "left_semi")
+        members = saved(
+            crowded.select("signature", "class").union(
+                crowded.select("signature", "pivot").distinct()
+            )
+        )
+        low = F.col("signature").bitwiseAND(F.lit((1 << PART_BITS + 1) - 1))
+        parts = (
+            members.select("class", low.alias("part"))
+            .distinct()
+            .groupBy("class", F.shiftright("part", PART_BITS).alias("turn"))
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
+        bound = (
+            parts.join(self.classes.select("class", "spare"), "class")
+            .where("n > spare")
+            .select("class")
+            .distinct()
+        )
+        kept = saved(self._starred(members.join(bound, "class", "left_semi")))
+        return stars.join(heavy, "signature", "left_anti").unionByName(kept)
+
+    @staticmethod
+    def _starred(members: DataFrame) -> DataFrame:
+        return (
+            members.select("signature", "class")
             .repartition("signature")
             .sortWithinPartitions("signature", "class")
             .mapInArrow(_stars, "signature long, pivot long, class long")
@@ -457,7 +546,7 @@ class JaccardJoin:
 
     def labels(self) -> DataFrame:
         """``class, component`` of all classes that are linked with another one."""
-        stars = saved(self.stars())
+        stars = self.told_apart(saved(self.stars()))
         pairs = saved(
             stars.groupBy(F.col("pivot").alias("a"), F.col("class").alias("b")).agg(
                 F.count(F.lit(1)).alias("shared")
@@ -505,7 +594,7 @@ class JaccardJoin:
         )
         return (
             self.rows.where("n_shingles > 0")
-            .drop("sketch")
+            .drop("sketch", "spare")
             .join(found, ["n_shingles", "class", "check"])
             .select("doc_id", "mark", "n_shingles", "component_id")
             .unionByName(empty)
@@ -518,7 +607,7 @@ def jaccard_components(
     text: str = "text",
     shingle: int = 3,
     percent: int = 90,
-    ways: int = WAYS,
+    scheme: Scheme = Scheme(),
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``.
 
@@ -528,17 +617,26 @@ def jaccard_components(
     or blank have no shingles and are linked with nothing. Rows that repeat a text or an id are
     rows like others; a null id is never the smallest. Extra columns are left out.
     """
-    return JaccardJoin(docs, doc_id, text, shingle, percent, ways).result().drop("mark")
+    return JaccardJoin(docs, doc_id, text, shingle, percent, scheme).result().drop("mark")
+
+
+#: At a lower threshold a smaller part holds fewer shingles: more ways and narrower bands keep
+#: signatures telling, and parts in excess spare most sets those that are not.
+LOOSE = Scheme(ways=3, reach=1, excess=0.15)
 
 
 def one_of_each(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    shingle: int = 5,
+    percent: int = 80,
+    scheme: Scheme = LOOSE,
 ) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each component does: the one with
     the smallest id. Rows without shingles all stay, and so do repeated rows of an id and text
     that stays."""
-    # At a lower threshold a smaller part holds fewer shingles: more ways keep signatures telling.
-    found = JaccardJoin(docs, doc_id, text, shingle, percent, WAYS + 1).result()
+    found = JaccardJoin(docs, doc_id, text, shingle, percent, scheme).result()
     gone = saved(
         found.where("n_shingles > 0 and not doc_id <=> component_id")
         .select("doc_id", "mark")

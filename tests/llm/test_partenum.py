@@ -89,22 +89,58 @@ def test_two_large_families_under_common_signatures(spark):
     assert got == brute(rows, 3, 90)
 
 
-def test_linked_sets_share_a_signature():
+SCHEMES = [
+    (90, partenum.Scheme()),
+    (90, partenum.Scheme(ways=3, reach=2, excess=0.5)),
+    (80, partenum.LOOSE),
+    (80, partenum.Scheme(ways=2, reach=1, excess=1.0)),
+]
+
+
+@pytest.mark.parametrize("percent,scheme", SCHEMES)
+def test_linked_sets_share_a_signature_in_more_parts_than_there_are_to_spare(percent, scheme):
     """The guarantee itself, for sizes in one band and in neighbouring ones."""
     random_ = np.random.default_rng(1)
+    low = (1 << partenum.PART_BITS + 1) - 1
     for size in (10, 11, 19, 20, 40, 95, 300):
         for _ in range(20):
             a = np.unique(random_.integers(0, 2**63, size).astype(np.uint64))
-            drop = int(random_.integers(0, size // 10 + 1))
+            drop = int(random_.integers(0, size * (100 - percent) // 100 + 1))
             add = random_.integers(0, 2**63, int(random_.integers(0, 3))).astype(np.uint64)
             b = np.unique(np.concatenate([a[drop:], add]))
             both = len(np.intersect1d(a, b))
-            if 100 * both < 90 * (len(a) + len(b) - both) or np.array_equal(a, b):
+            if 100 * both < percent * (len(a) + len(b) - both) or np.array_equal(a, b):
                 continue
             sizes = np.array([len(a), len(b)])
-            for ways in (2, 3):
-                found, owner = partenum.signatures(np.concatenate([a, b]), sizes, 90, ways)
-                assert np.intersect1d(found[owner == 0], found[owner == 1]).size
+            found, owner = partenum.signatures(np.concatenate([a, b]), sizes, percent, scheme)
+            common = np.intersect1d(found[owner == 0], found[owner == 1])
+            parts = collections.Counter(part >> partenum.PART_BITS for part in set(common & low))
+            spare = partenum.spare_parts(sizes, percent, scheme)
+            assert max(parts.values()) > max(spare)
+
+
+def test_sets_of_more_parts_than_signatures_can_name_keep_them_all():
+    sizes = np.array([0, 1, 300, 10**7])
+    spare = partenum.spare_parts(sizes, 80, partenum.LOOSE)
+    assert spare[3] == -1 and (spare[:3] >= 0).all()
+
+
+@pytest.mark.parametrize("scheme", [s for p, s in SCHEMES if p == 80])
+@pytest.mark.parametrize("heavy", [1, 3])
+def test_heavy_signatures_lose_no_link(spark, monkeypatch, scheme, heavy):
+    """Near copies that share a passage with all others, with almost every signature heavy."""
+    monkeypatch.setattr(partenum, "HEAVY", heavy)
+    r = random.Random(heavy)
+    passage = sentence(500, 60)
+    texts = []
+    for n in range(12):
+        base = f"{sentence(n, 30 + 25 * n)} {passage}".split()
+        texts += [edited(base, k, r) for k in (0, 1, 1, 2, 3, 5)]
+        texts.append(" ".join(base[n:]))
+    rows = list(enumerate(texts))
+    docs = odd(spark, [(i, t, "s") for i, t in rows])
+    got = joined(partenum.jaccard_components(docs, shingle=5, percent=80, scheme=scheme))
+    assert got == brute(rows, 5, 80)
 
 
 def test_rows_that_stay(spark):
