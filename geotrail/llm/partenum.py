@@ -314,6 +314,61 @@ def _cross(percent: int, every: bool):
     return run
 
 
+def _near_within(percent: int, signature, label, size, part, sketches):
+    """Pairs of rows of one signature and different components that may be linked; rows are
+    sorted by signature, and no signature has more than ``HEAVY``."""
+    rows = np.arange(len(signature))
+    ends = np.append(np.flatnonzero(signature[1:] != signature[:-1]) + 1, len(signature))
+    later = np.repeat(ends, np.diff(ends, prepend=0)) - 1 - rows
+    i = np.repeat(rows, later)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+    low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    apart = (part[i] != part[j]) & (label[i] != label[j]) & (low * 100 >= high * percent)
+    i, j = i[apart], j[apart]
+    lengths = np.array([len(sketch) for sketch in sketches], np.int64)
+    parts_of, near = 4 * np.minimum(lengths[i], lengths[j]), np.zeros(len(i), bool)
+    for parts in np.unique(parts_of).tolist():
+        pairs = np.flatnonzero(parts_of == parts)
+        held = np.unique(np.concatenate([i[pairs], j[pairs]]))
+        folded = np.stack([_folded_low(sketches[row], parts) for row in held.tolist()])
+        step = max(1, (1 << 22) // parts)
+        for a in range(0, len(pairs), step):
+            at = pairs[a : a + step]
+            left, right = (folded[np.searchsorted(held, side[at])] for side in (i, j))
+            far = (left != right).sum(axis=1)
+            near[at] = far * (100 + percent) <= (100 - percent) * (size[i[at]] + size[j[at]])
+    a, b = label[i[near]], label[j[near]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _cross_light(percent: int):
+    """``_near_within`` for rows sorted by signature, any number of signatures at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(table: pa.Table) -> pa.RecordBatch:
+            numbers = (table.column(c).to_numpy() for c in range(4))
+            found = _near_within(percent, *numbers, table.column(4).to_pylist())
+            return pa.record_batch([pa.array(side) for side in found], names=["a", "b"])
+
+        left = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if left is not None:
+                table = pa.concat_tables([left, table])
+            # The last signature may go on in the next batch.
+            signature = table.column(0).to_numpy()
+            whole_rows = int(np.argmax(signature == signature[-1]))
+            left = table.slice(whole_rows)
+            if whole_rows:
+                yield pairs(table.slice(0, whole_rows))
+        if left is not None:
+            yield pairs(left)
+
+    return run
+
+
 def _whole_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -478,8 +533,9 @@ class JaccardJoin:
         )
 
     def open_members(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
-        """Members of the signatures that still hold several components. Of signatures with the
-        very same members, as near copies have by the hundred, one stands for all."""
+        """Members of the signatures that still hold several components, and whether these are
+        crowded. Of signatures with the very same members, as near copies have by the hundred, one
+        stands for all."""
         members = stars.select("signature", "class").union(
             stars.select("signature", "pivot").distinct()
         )
@@ -498,11 +554,31 @@ class JaccardJoin:
             .where("low <> high")
             .groupBy("n", "one", "two")
             .agg(F.min("signature").alias("signature"))
+            .select("signature", (F.col("n") > HEAVY).alias("crowded"))
+        )
+        return members.join(mixed_up, "signature")
+
+    def _described(self) -> DataFrame:
+        """Classes with the low bits of their sketches: pairs are held against the whole
+        sketches, and then the sets, later."""
+        described = self.classes.select("class", F.col("n_shingles").alias("n"), "sketch")
+        return described.mapInArrow(_with_low_bits, "class long, n long, sketch binary")
+
+    def light_pairs(self, members: DataFrame) -> DataFrame:
+        """Pairs across components under one signature of few members that the sketches cannot
+        rule out."""
+        return (
+            members.join(self._described(), "class")
+            .select("signature", "class", "n", "component", "sketch")
+            .repartition("signature")
+            .sortWithinPartitions("signature")
+            .mapInArrow(_cross_light(self.percent), "a long, b long")
+            .distinct()
         )
-        return members.join(mixed_up.select("signature"), "signature", "left_semi")
 
     def cross_pairs(self, members: DataFrame, every: bool) -> DataFrame:
-        """Pairs across components under one signature that the sketches cannot rule out."""
+        """Pairs across components under one crowded signature that the sketches cannot rule
+        out."""
         sizes = members.groupBy("signature", "component").count()
         largest = sizes.groupBy("signature").agg(
             F.max(F.struct("count", "component")).getField("component").alias("main")
@@ -520,10 +596,7 @@ class JaccardJoin:
             F.floor(F.max("_place") / MEMBER_BLOCK).alias("_last_member"),
             F.floor((F.sum(F.col("_strays").cast("int")) - 1) / STRAY_BLOCK).alias("_last_stray"),
         )
-        # Pairs are held against the whole sketches, and then the sets, later.
-        described = self.classes.select("class", F.col("n_shingles").alias("n"), "sketch")
-        described = described.mapInArrow(_with_low_bits, "class long, n long, sketch binary")
-        rows = rows.join(totals, "signature").join(described, "class")
+        rows = rows.join(totals, "signature").join(self._described(), "class")
         common = ["signature", "class", "component", "n", "sketch"]
         as_member = rows.select(
             *common,
@@ -566,13 +639,17 @@ class JaccardJoin:
         if not others.isEmpty():
             links = links.union(saved(self.links(others)))
             labels = self._labelled(links)
+        # Crowded signatures first by the nearest of each component, which leaves fewer apart.
         for every in (False, True):
             members = saved(self.open_members(stars, labels))
-            if members.isEmpty():
-                break
-            fresh = saved(
-                self.cross_pairs(members, every).join(pairs, ["a", "b"], "left_anti")
-            )
+            crowded = members.where("crowded").drop("crowded")
+            found = self.cross_pairs(crowded, every)
+            if every:
+                light = members.where("not crowded").drop("crowded")
+                found = found.union(self.light_pairs(light)).distinct()
+            elif crowded.isEmpty():
+                continue
+            fresh = saved(found.join(pairs, ["a", "b"], "left_anti"))
             if fresh.isEmpty():
                 continue
             pairs = pairs.union(fresh)
