@@ -12,14 +12,15 @@ canonical form and a count of attempts drives the surrogate:
 * a name gets names of the same gender (from the title) and script, as many and in the same case.
 
 A text that gives a name a title may name the same person without it, or by the family name alone:
-both are found and get what belongs to the titled name. A family name that several full names of
+both are found and get what belongs to the titled name. A single word without a title is left alone
+where it may be no name: first in a sentence, or in a row of capitalised words. A family name that several full names of
 the text share is not linked, and is an entity of its own.
 
 Collisions are checked over the whole corpus: two entities of a kind must not get the same
 surrogate, nor one that another entity really has. Those that do try again with the next
 attempt until none is left. Equal entities have equal surrogates in all documents. A family name
-that is linked to a full name gets the last part of that one's surrogate, which is told apart from
-others' with the whole of it.
+that is linked to a full name gets the last part of that one's surrogate; both are told apart from
+all others'.
 
 Only built-in functions are used. Texts are exchanged for documents with entities alone.
 """
@@ -99,14 +100,27 @@ def untitled(text: Column) -> Column:
     return F.transform(F.sort_array(sized), lambda r: r["name"])
 
 
+# What a single word must not be to be a name without a title.
+_FIRST_WORD = r"(?!\A)(?<!\n)(?<![\p{Ll}\p{Nd})\"][.!?] )"
+_IN_A_ROW = r"(?<!\p{Lu}\p{L}{0,30} )"
+
+
 def pattern(names: Column) -> Column:
     """``ENTITY``, and the names without their titles where there are some."""
-    more = F.concat(
-        F.lit(ENTITY + r"|(?<![\p{L}\p{N}_])(?=\p{Lu})(?iu:"),
-        F.array_join(names, "|"),
-        F.lit(r")(?![\p{L}\p{N}_])"),
+
+    def among(some: Column, before: str, after: str) -> Column:
+        head = F.lit(rf"|(?<![\p{{L}}\p{{N}}_])(?=\p{{Lu}}){before}(?iu:")
+        tail = F.lit(rf")(?![\p{{L}}\p{{N}}_]){after}")
+        listed = F.concat(head, F.array_join(some, "|"), tail)
+        return F.when(F.size(some) > 0, listed).otherwise(F.lit(""))
+
+    full = F.filter(names, lambda n: n.contains(" "))
+    single = F.filter(names, lambda n: ~n.contains(" "))
+    return F.concat(
+        F.lit(ENTITY),
+        among(full, "", ""),
+        among(single, _FIRST_WORD + _IN_A_ROW, r"(?! \p{Lu}\p{L})"),
     )
-    return F.when(F.size(names) > 0, more).otherwise(F.lit(ENTITY))
 
 
 def kind_of(found: Column) -> Column:
@@ -331,11 +345,18 @@ class Surrogates:
     def attempts(self) -> DataFrame:
         """``kind, canon, sex, attempt`` for each entity, such that surrogates are distinct and
         none is another entity's real value."""
-        # The plainest writing of an entity stands for all; a title gives its gender.
+        # The plainest writing of an entity stands for all, and that of its family name alone for
+        # all of these; a title gives its gender.
+        plain = F.col("canon") == F.col("_plain")
         found = saved(
             self.entities.groupBy("kind", "canon")
             .agg(
-                F.min(F.when(F.col("canon") == F.col("_plain"), F.col("_match"))).alias("example"),
+                F.array_compact(
+                    F.array(
+                        F.min(F.when(plain, F.col("_match"))),
+                        F.min(F.when(~plain, F.col("_match"))),
+                    )
+                ).alias("forms"),
                 F.min(gender(F.col("_match"))).alias("sex"),
             )
             .withColumn("attempt", F.lit(0))
@@ -343,7 +364,8 @@ class Surrogates:
         real = self.entities.select(F.col("kind").alias("k"), F.col("_plain").alias("c")).distinct()
         again = True
         while again:
-            made = with_surrogate(found, "example", self.key, "_made").withColumn(
+            each = found.withColumn("form", F.explode("forms"))
+            made = with_surrogate(each, "form", self.key, "_made").withColumn(
                 "other", canonical(F.col("kind"), F.col("_made"))
             )
             first = Window.partitionBy("kind", "other").orderBy("attempt", "canon")
@@ -353,14 +375,9 @@ class Surrogates:
                 .withColumn("bad", F.expr("turn > 1 or c is not null"))
             )
             found = saved(
-                checked.select(
-                    "kind",
-                    "canon",
-                    "example",
-                    "sex",
-                    F.expr("attempt + if(bad, 1, 0)").alias("attempt"),
-                    "bad",
-                )
+                checked.groupBy("kind", "canon", "forms", "sex", "attempt")
+                .agg(F.max("bad").alias("bad"))
+                .withColumn("attempt", F.expr("attempt + if(bad, 1, 0)"))
             )
             again = not found.where("bad").isEmpty()
             found = found.drop("bad")

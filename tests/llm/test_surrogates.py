@@ -103,6 +103,40 @@ def test_collisions_are_resolved(spark):
     assert len(made) == len(addresses) == len(set(made)) and not set(made) & set(addresses)
 
 
+def test_family_names_alone_stay_distinct_and_coreferent(spark):
+    """Two people in each of 200 texts, both named again by the family name alone."""
+    family = [f"{a}{b}" for a in ("Bra", "Cro", "Dri", "Fle", "Gru") for b in ("den", "ley", "man", "son")]
+    pairs = [(a, b) for a in family for b in family if a != b][:200]
+    texts = [
+        f"Mr Mark {a} met Mr Peter {b}. Then Mr {a} paid Mr {b}, and so {b} thanked {a}."
+        for a, b in pairs
+    ]
+    got = replaced(spark, texts)
+    whole = {}
+    for i, (a, b) in enumerate(pairs):
+        one, two, *alone = (re.sub(r"^Mr ", "", e.surrogate) for e in got[i]._entities)
+        assert alone == [alone[0], alone[1], alone[1], alone[0]] and alone[0] != alone[1]
+        assert one.endswith(" " + alone[0]) and two.endswith(" " + alone[1])
+        assert whole.setdefault(f"Mark {a}", one) == one
+        assert whole.setdefault(f"Peter {b}", two) == two
+    assert len(set(whole.values())) == len(whole)
+    # Of all people, no two have one family name.
+    assert len({name.split(" ", 1)[1] for name in whole.values()}) == len(whole)
+
+
+def test_words_that_are_no_names_stay(spark):
+    text = (
+        "Mr Young met Mr Green. Young people like Mr Green in Green Park. We saw Young there. "
+        "The Royal Green is a club, and green is a colour."
+    )
+    got = replaced(spark, [text, "Young people met."])
+    assert "Young people like" in got[0].text and " in Green Park." in got[0].text
+    assert "The Royal Green is" in got[0].text and "green is" in got[0].text
+    young, green, again, seen = (re.sub(r"^Mr ", "", e.surrogate) for e in got[0]._entities)
+    assert seen == young and again == green and f"We saw {young} there" in got[0].text
+    assert got[1].text == "Young people met."
+
+
 def test_odd_rows(spark):
     docs = odd(spark)
     frame = S.Surrogates(docs, "k").replaced()
