@@ -196,6 +196,7 @@ class FenceIndex:
             raise ValueError("the fence set is beyond the broadcast bound; use the grid strategy")
         self.strategy = strategy
         self._cells = self._cell_directory() if strategy == "cells" else None
+        self._leveled: DataFrame | None = None
 
     # -- broadcast plan ----------------------------------------------------------------
 
@@ -231,10 +232,12 @@ class FenceIndex:
         )
 
     def pin(self) -> FenceIndex:
-        """Compute the broadcast index once, into the checkpoint folder, for use by many
-        micro-batches."""
+        """Compute the index, broadcast cells or grid cells, once, into the checkpoint folder, for
+        use by many micro-batches."""
         if self._cells is not None:
             self._cells = settled(self._cells)
+        elif self.strategy == "grid" and self.profile.box is not None:
+            self._leveled = settled(self._levels())
         return self
 
     def inside_sets(self, points: DataFrame) -> DataFrame:
@@ -288,9 +291,10 @@ class FenceIndex:
         cell = ["level", "cx", "cy"]
         columns = [f"`{c}`" for c in points.columns]
         probed = points.where(self._in_box()).selectExpr(*columns, f"inline(array({probes}))")
-        index = self._levels()
+        index = self._levels() if self._leveled is None else self._leveled
         on_grid = probed.select(*cell)
-        if self.policy.applies_to(on_grid, cell):
+        # A stream's rows cannot be counted beforehand; its limit per trigger bounds them.
+        if not points.isStreaming and self.policy.applies_to(on_grid, cell):
             crowded = F.broadcast(
                 hot_keys(on_grid, cell, self.policy).selectExpr(
                     *cell, "cast(ceil(rows / row_limit) as int) as _salts"

@@ -294,11 +294,10 @@ def stream_events_micro_batch(spark, folder):
     return _event_rows(_naive(table.read(table.committed()), "event_ts"))
 
 
-def stream_events_stateful(spark, folder):
-    """The locations replayed through the tracker on the state store."""
+def _stateful_events(spark, folder, strategy: str) -> DataFrame:
     root = session.run_folder(spark)
     points = tracker_clock(sample.location_stream(spark, folder))
-    events = tracker.stateful(points, _index(spark, folder, "cells"))
+    events = tracker.stateful(points, _index(spark, folder, strategy).pin())
     writer = events.writeStream.format("parquet").option("path", f"{root}/events")
     writer = writer.option("checkpointLocation", f"{root}/checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()
@@ -306,6 +305,16 @@ def stream_events_stateful(spark, folder):
     return _event_rows(_naive(stored, "event_ts"))
 
 
+def stream_events_stateful(spark, folder):
+    """The locations replayed through the tracker on the state store."""
+    return _stateful_events(spark, folder, "auto")
+
+
+def stream_events_stateful_grid(spark, folder):
+    """The same with an index that is not broadcast."""
+    return _stateful_events(spark, folder, "grid")
+
+
 def _recorded(spark, root: str, path: str) -> recorder.VisitStore:
     """Visits of the event messages in the files of a folder, as far as they are there."""
     store = recorder.VisitStore(spark, f"{root}/visits")
@@ -583,6 +592,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "current_polygon_set": current_polygon_set,
     "stream_events_micro_batch": stream_events_micro_batch,
     "stream_events_stateful": stream_events_stateful,
+    "stream_events_stateful_grid": stream_events_stateful_grid,
     "stream_visits": stream_visits,
     "stream_pipeline": stream_pipeline,
     "reject_split_events": reject_split_events,

@@ -186,6 +186,7 @@ ORACLE = {
     ),
     "stream_events_micro_batch": _with(EVENTS, _EVENT_COLUMNS),
     "stream_events_stateful": _with(EVENTS, _EVENT_COLUMNS),
+    "stream_events_stateful_grid": _with(EVENTS, _EVENT_COLUMNS),
     "stream_visits": _with(VISITS, _VISIT_COLUMNS),
     "stream_pipeline": _with(VISITS, _VISIT_COLUMNS),
     "reject_split_events": _with(

@@ -2,6 +2,8 @@
 
 from datetime import timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from conftest import START, rows
 from pyspark.sql import functions as F
@@ -80,6 +82,64 @@ def test_state_store_plan_with_a_restart(spark, messages, index, batch_events, t
     assert rows(spark.read.parquet(out), *EVENT) == rows(batch_events, *EVENT)
 
 
+@pytest.mark.parametrize("strategy", ["cells", "grid"])
+def test_state_store_plan_with_chunks_of_a_device(
+    spark, folder, messages, batch_events, tmp_path, strategy
+):
+    """Chunks of three rows, runs merged two by two, in blocks of two; with either index."""
+    out, checkpoint = str(tmp_path / "events"), str(tmp_path / "checkpoint")
+    index = FenceIndex(sample.outlined_fences(spark, folder), strategy).pin()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for part in (1, 2, 3):
+            points = arriving(spark, messages(part))
+            events = tracker.stateful(points, index, block_rows=2, fanin=2)
+            writer = events.writeStream.format("parquet").option("path", out)
+            writer = writer.option("checkpointLocation", checkpoint).trigger(**ONCE)
+            writer.start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert rows(spark.read.parquet(out), *EVENT) == rows(batch_events, *EVENT)
+
+
+def test_runs_of_a_device_are_merged_in_the_state_store():
+    """One device, rows in no order, in many chunks: at most one chunk and a block of each run are
+    held, nothing stays behind, and the order is that of all rows."""
+
+    class Store(dict):
+        def iterator(self):
+            return ((k, self[k]) for k in sorted(self))
+
+        def getValue(self, k):
+            return self[k]
+
+        def updateValue(self, k, v):
+            assert len(v[0]) <= 4 if len(v) == 5 else True
+            self[k] = v
+
+        def removeKey(self, k):
+            del self[k]
+
+    changes = tracker._changes_of(tracker.CHANGE.fieldNames(), "enter", "exit", 4, 3)
+    changes.inside, changes.runs = Store({(9,): (1,)}), Store()
+    random = np.random.default_rng(1)
+    places = random.permutation(500)
+    frame = pd.DataFrame(
+        {
+            "at": places // 5, "seq": places, "x": 0.0, "y": 0.0,
+            "inside": [list(range(int(p) % 4)) for p in places],
+        }
+    )
+    chunks = (frame.iloc[i : i + 7] for i in range(0, 500, 7))
+    got = pd.concat(changes.handleInputRows((5,), chunks, None))
+    whole = tracker._changes_of(tracker.CHANGE.fieldNames(), "enter", "exit", 1000, 3)
+    whole.inside, whole.runs = Store({(9,): (1,)}), Store()
+    want = pd.concat(whole.handleInputRows((5,), iter([frame]), None))
+    assert got.values.tolist() == want.values.tolist()
+    assert got["seq"].is_monotonic_increasing and got.iloc[0]["polygon"] == 9
+    assert not changes.runs and changes.inside == whole.inside
+
+
 def test_a_replayed_batch_changes_nothing(spark, index, located, batch_events, tmp_path):
     latest = tracker_state(spark, str(tmp_path / "latest"), fanout=2)
     table = tracker.event_table(spark, str(tmp_path))
