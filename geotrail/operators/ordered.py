@@ -1,4 +1,4 @@
-"""Numbering and paging per key, with keys of any size.
+"""Numbering and paging per key, with keys of any size, and places in a total order.
 
 Where no key is hot a window by key does it. Else the numbers come from a prefix scan over ranges
 (``scan``): they tell the page of a row, and a page is gathered by itself, so no task holds more
@@ -28,6 +28,20 @@ def numbered(
     return found.drop("_one")
 
 
+def ranked(
+    df: DataFrame, order: list[str], policy: SplitPolicy | None = None, name: str = "position"
+) -> DataFrame:
+    """The place (from 1) of each row in the order of the whole table.
+
+    The rows are dealt out by range of ``order``, each range counts its own, and what lies before a
+    range is added: no window over the whole table, no task with more than a range. Nulls come
+    first. Rows equal in ``order`` get successive places, which of them first is not defined."""
+    policy = policy or SplitPolicy()
+    rows = df.withColumns({"_whole": F.lit(0), "_one": F.lit(1).cast("bigint")})
+    found = scanned(rows, ["_whole"], order, Measures(sums={name: "_one"}), policy.ranges(df))
+    return found.drop("_whole", "_one")
+
+
 def paged(
     df: DataFrame,
     keys: list[str],

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from geotrail import session
 from geotrail.functions import geometry as geo
-from geotrail.functions import messages, times
-from geotrail.operators import keyed
+from geotrail.functions import messages, sql, times
+from geotrail.operators import keyed, ordered
 from geotrail.operators.containment import FenceIndex, prepared, resolution
 from geotrail.operators.sizing import SplitPolicy
 from geotrail.operators.transitions import (
@@ -30,7 +30,7 @@ from geotrail.operators.visits import visits
 from geotrail.plans import jobs, reads
 from geotrail.sources import locations as loc
 from geotrail.sources import sample_tables as sample
-from geotrail.streaming import latest, recorder, sinks, tracker
+from geotrail.streaming import figures, latest, recorder, sinks, tracker
 
 HISTORY_WINDOW = "2024-01-10;2d"
 REPEATED_WINDOW = "2024-01-03T06:00;5h;1w;4"
@@ -201,6 +201,26 @@ def spatial_join_grid(spark, folder):
     return pairs.select("seq", "device", F.col("fence").alias("polygon"))
 
 
+SQL_PAIRS = """
+WITH fence AS (
+  SELECT id, gt_edges(gt_rings(wkt)) AS edges FROM {fences} WHERE valid),
+cover AS (
+  SELECT id, edges, gt_cells(gt_box(edges), 8D) AS cells FROM fence),
+cells AS (
+  SELECT id, edges, explode(cells) AS cell FROM cover)
+SELECT l.seq, l.device, c.id AS polygon
+FROM (SELECT *, gt_cell(x, y, 8D) AS cell FROM {locations}) l JOIN cells c ON c.cell = l.cell
+WHERE gt_contains(c.edges, l.x, l.y)
+"""
+
+
+def sql_point_in_polygon(spark, folder):
+    """The pairs by a query in plain SQL over the two tables."""
+    points, fences = sample.locations(spark, folder), sample.fences(spark, folder)
+    sql.register(spark)
+    return spark.sql(SQL_PAIRS, locations=points, fences=fences)
+
+
 def inside_set(spark, folder):
     """Per point: how many fences contain it, and which, in order as text."""
     sets = _index(spark, folder).inside_sets(sample.locations(spark, folder))
@@ -568,6 +588,43 @@ def currently_inside(spark, folder):
     return reads.currently_inside(_visits(spark, folder), sample.users(spark, folder))
 
 
+def _ranked(df: DataFrame, order: list[str]) -> DataFrame:
+    """In many ranges, as large tables are."""
+    return ordered.ranked(df, order, SplitPolicy().forced(target_rows=64))
+
+
+def history_ordered(spark, folder):
+    """The history in order of device and time, with each row's place in it."""
+    points = sample.locations(spark, folder)
+    return _ranked(points, ["device", "ts", "seq"]).select("position", "device", "ts", "x", "y")
+
+
+def visits_ordered(spark, folder):
+    """The visits in order of device, time and fence, with each one's place."""
+    rows = _visits(spark, folder).select("device", "polygon", "enter_ts", "exit_ts")
+    return _ranked(rows, ["device", "enter_ts", "polygon"])
+
+
+def stream_figures(spark, folder):
+    """What the kept figures of a stream and of a batch job say about the locations."""
+    root = session.run_folder(spark)
+    table = figures.FigureTable(spark, f"{root}/figures")
+    listener = figures.KeptFigures(table, {"streamed"})
+    spark.streams.addListener(listener)
+    try:
+        points = sinks.counted(sample.location_stream(spark, folder), "streamed")
+        query = sinks.append_history(
+            points, f"{root}/history", f"{root}/checkpoint", {"availableNow": True}
+        )
+        query.awaitTermination()
+        listener.wait(query.runId)
+    finally:
+        spark.streams.removeListener(listener)
+    with figures.observed(table, "batch", "written", "timestamp") as seen:
+        loc.write_history(sample.locations(spark, folder), f"{root}/written", seen=seen)
+    return _naive(table.totals(), "first", "last").select("name", "rows", "first", "last")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "locations_scan": locations_scan,
     "polygons_scan": polygons_scan,
@@ -581,6 +638,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "history_flatten": history_flatten,
     "point_in_polygon_pairs": point_in_polygon_pairs,
     "spatial_join_grid": spatial_join_grid,
+    "sql_point_in_polygon": sql_point_in_polygon,
+    "history_ordered": history_ordered,
+    "visits_ordered": visits_ordered,
+    "stream_figures": stream_figures,
     "inside_set": inside_set,
     "collision_events": query_collision_events,
     "collision_events_setdiff": collision_events_setdiff,

@@ -185,6 +185,21 @@ ORACLE = {
         VISITS, "SELECT DISTINCT device, polygon FROM visit WHERE inside"
     ),
     "stream_events_micro_batch": _with(EVENTS, _EVENT_COLUMNS),
+    "sql_point_in_polygon": _with(PAIRS, _PAIR_COLUMNS),
+    "history_ordered": _with(
+        LOCATIONS,
+        """SELECT row_number() OVER (ORDER BY device, ts, seq) AS position, device, ts, x, y
+           FROM locations""",
+    ),
+    "visits_ordered": _with(
+        VISITS,
+        """SELECT row_number() OVER (ORDER BY device, enter_ts, polygon) AS position, device,
+             polygon, enter_ts, exit_ts
+           FROM visit""",
+    ),
+    "stream_figures": """
+SELECT n.name, count(*) AS "rows", min(ts) AS "first", max(ts) AS "last"
+FROM events, (VALUES ('streamed'), ('written')) n(name) GROUP BY n.name""",
     "stream_events_stateful": _with(EVENTS, _EVENT_COLUMNS),
     "stream_events_stateful_grid": _with(EVENTS, _EVENT_COLUMNS),
     "stream_visits": _with(VISITS, _VISIT_COLUMNS),

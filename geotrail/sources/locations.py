@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,19 +77,33 @@ def history_rows(points: DataFrame) -> DataFrame:
     )
 
 
-def write_history(points: DataFrame, path: str, mode: str = "append") -> None:
+# Where rows lie in order of arrival, the range of ids of a row group says little: a Bloom filter
+# of its ids, as large as they need, lets a search for devices skip it.
+DEVICE_FILTERS = {
+    "parquet.bloom.filter.enabled#id": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+}
+
+
+def write_history(
+    points: DataFrame,
+    path: str,
+    mode: str = "append",
+    seen: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
     """Write points partitioned by day and sorted by device and time within a day.
 
     The range partitioning splits a busy device over many files, and the sort lets the row
     group statistics skip all files but those of the devices asked for. With the mode
-    "overwrite" the days of these points are replaced, and no other day.
+    "overwrite" the days of these points are replaced, and no other day. ``seen`` is applied to
+    the rows as they are written (``streaming.figures.observed``).
     """
     by = ["event_date", "id", "timestamp"]
-    rows = history_rows(points)
+    rows = history_rows(points).repartitionByRange(*by).sortWithinPartitions(*by)
     (
-        rows.repartitionByRange(*by)
-        .sortWithinPartitions(*by)
+        (seen(rows) if seen else rows)
         .write.mode(mode)
+        .options(**DEVICE_FILTERS)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("event_date")
         .parquet(path)

@@ -19,7 +19,8 @@ def with_event_time(points: DataFrame, delay: str = "0 seconds") -> DataFrame:
 def append_history(points: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
     """Append every location to a folder where history lands. ``settle_days`` brings finished
     days from there into the sorted table."""
-    return _files(loc.history_rows(points), path, checkpoint, trigger, "event_date")
+    rows = loc.history_rows(points)
+    return _files(rows, path, checkpoint, trigger, "event_date", **loc.DEVICE_FILTERS)
 
 
 def publish_files(records: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
@@ -47,8 +48,15 @@ def keep_rejected_events(
     return _files(rejected_messages(records), path, checkpoint, trigger)
 
 
-def _files(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None, *partitions: str):
-    writer = rows.writeStream.format("parquet").option("path", path)
+def _files(
+    rows: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None,
+    *partitions: str,
+    **options: str,
+):
+    writer = rows.writeStream.format("parquet").options(**options).option("path", path)
     if partitions:
         writer = writer.partitionBy(*partitions)
     return (
@@ -69,8 +77,8 @@ def print_points(points: DataFrame, checkpoint: str, trigger: dict | None = None
 
 
 def counted(df: DataFrame, name: str) -> DataFrame:
-    """Count rows and their time range as they pass; the figures show in a batch job's
-    ``Observation`` listener and in a stream's progress under ``name``."""
+    """Count rows and their time range as they pass; the figures show in a stream's progress under
+    ``name``, from which ``figures.KeptFigures`` keeps them."""
     return df.observe(
         name,
         F.count(F.lit(1)).alias("rows"),

@@ -54,3 +54,27 @@ def test_auto_mode_looks_at_the_input_size_and_then_for_hot_keys(spark, folder):
     assert not SplitPolicy(target_rows=10).applies_to(table, ["user_id"])
     assert not SplitPolicy(small_input_bytes=10).applies_to(table, ["user_id"])
     assert SplitPolicy(target_rows=10, small_input_bytes=10).applies_to(table, ["user_id"])
+
+
+@pytest.mark.parametrize("policy", [POLICY, SplitPolicy()])
+def test_places_in_a_total_order(skewed, policy):
+    """Also where nulls and one value hold much of the table."""
+    df = skewed.withColumn("key", F.expr("nullif(key, 5)"))
+    got = ordered.ranked(df, ["key", "at", "seq"], policy).cache()
+    want = df.collect()
+    want.sort(key=lambda r: (r["key"] is not None, r["key"] or 0, r["at"], r["seq"]))
+    ranked = {r["position"]: r["seq"] for r in got.collect()}
+    assert ranked == {i + 1: r["seq"] for i, r in enumerate(want)}
+    assert got.columns == [*df.columns, "position"]
+
+
+def test_places_of_no_rows_and_of_equal_rows(skewed):
+    assert ordered.ranked(skewed.where("false"), ["key"], POLICY).count() == 0
+    tied = ordered.ranked(skewed.select(F.lit(1).alias("same")), ["same"], POLICY)
+    assert sorted(r["position"] for r in tied.collect()) == list(range(1, 3001))
+
+
+def test_ranking_has_no_window_over_the_whole_table(skewed):
+    plan = ordered.ranked(skewed, ["at", "seq"], POLICY)._jdf.queryExecution().executedPlan()
+    windows = [n for n in plan.toString().splitlines() if "Exchange SinglePartition" in n]
+    assert not windows
