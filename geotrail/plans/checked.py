@@ -28,6 +28,7 @@ from geotrail.operators.transitions import (
 )
 from geotrail.operators.visits import visits
 from geotrail.plans import jobs, reads
+from geotrail.sources import bucketed
 from geotrail.sources import locations as loc
 from geotrail.sources import sample_tables as sample
 from geotrail.streaming import figures, latest, recorder, sinks, tracker
@@ -625,6 +626,27 @@ def stream_figures(spark, folder):
     return _naive(table.totals(), "first", "last").select("name", "rows", "first", "last")
 
 
+def visits_of_users_bucketed(spark, folder):
+    """Users, their latest location and their visits, from tables that lie by device; one of five
+    devices counts as hot."""
+    root = session.run_folder(spark)
+    prefix = "run_" + root.rsplit("-", 1)[-1]
+    tables = bucketed.BucketedTables(spark, f"{root}/bucketed", prefix, buckets=8)
+    owners = keyed.device_users(sample.users(spark, folder))
+    tables.write("owners", owners, [], SplitPolicy().off())
+    now = _latest(spark, folder).select("device", "x", "y")
+    tables.write("latest", now, [], SplitPolicy().off())
+    rows = _flat_visits(_visits(spark, folder)).select(
+        "device", "polygon", "inside", "collision_date_in", "collision_date_out"
+    )
+    typical = rows.groupBy("device").count().selectExpr("percentile(count, 0.8)").first()[0]
+    policy = SplitPolicy(max_ranges=1 << 20).forced(target_rows=int(typical))
+    tables.write("visits", rows, ["collision_date_in", "polygon"], policy)
+    for name in ("owners", "latest"):
+        tables.check_unique(name)
+    return tables.joined("visits", "owners", "latest")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "locations_scan": locations_scan,
     "polygons_scan": polygons_scan,
@@ -642,6 +664,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "history_ordered": history_ordered,
     "visits_ordered": visits_ordered,
     "stream_figures": stream_figures,
+    "visits_of_users_bucketed": visits_of_users_bucketed,
     "inside_set": inside_set,
     "collision_events": query_collision_events,
     "collision_events_setdiff": collision_events_setdiff,

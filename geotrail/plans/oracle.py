@@ -197,6 +197,14 @@ ORACLE = {
              polygon, enter_ts, exit_ts
            FROM visit""",
     ),
+    "visits_of_users_bucketed": _with(
+        f"{VISITS},{USERS}",
+        """SELECT v.device, v.polygon, v.inside, v.enter_ts AS collision_date_in,
+             v.exit_ts AS collision_date_out, o.id_user, l.x, l.y
+           FROM visit v JOIN owners o ON o.device = v.device
+           JOIN (SELECT device, arg_max(x, seq) AS x, arg_max(y, seq) AS y
+                 FROM locations GROUP BY device) l ON l.device = v.device""",
+    ),
     "stream_figures": """
 SELECT n.name, count(*) AS "rows", min(ts) AS "first", max(ts) AS "last"
 FROM events, (VALUES ('streamed'), ('written')) n(name) GROUP BY n.name""",
