@@ -38,6 +38,12 @@ class BucketedTables:
     def _hot(self, name: str) -> str:
         return f"{self.prefix}_{name}_hot"
 
+    def _hot_keys(self, rows: DataFrame, policy: SplitPolicy) -> DataFrame | None:
+        if not policy.applies_to(rows, [self.key]):
+            return None
+        hot = settled(hot_keys(rows.select(self.key), [self.key], policy).select(self.key))
+        return None if hot.isEmpty() else hot
+
     def write(
         self, name: str, rows: DataFrame, order: list[str], policy: SplitPolicy | None = None
     ) -> None:
@@ -45,8 +51,8 @@ class BucketedTables:
         nothing; they lie in a bucket like those of any key, the hot ones too if they are many."""
         policy = policy or SplitPolicy()
         self.spark.sql(f"DROP TABLE IF EXISTS {self._hot(name)}")
-        if policy.applies_to(rows, [self.key]):
-            hot = settled(hot_keys(rows.select(self.key), [self.key], policy).select(self.key))
+        hot = self._hot_keys(rows, policy)
+        if hot is not None:
             same = F.col(f"r.{self.key}").eqNullSafe(F.col(f"h.{self.key}"))
             few = F.broadcast(hot).alias("h")
             by = [self.key, *order]
