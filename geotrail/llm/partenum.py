@@ -22,7 +22,9 @@ From equal signatures to components:
    are still in different components.
 3. Where several components are left under a signature, those outside its largest component are
    compared with all others of other components: first by a sketch of part checksums, which
-   never counts more differences than there are, then by the sets.
+   never counts more differences than there are, then by the sets. Of the pairs of a crowded
+   signature that sketches cannot rule out, first come the nearest that join the same components,
+   fewer than there are members; then those that are still between components.
 
 All pairs that might link two components have been compared with the sets when this ends, so no
 link is lost; no limit is set on the members of a signature or a component.
@@ -280,36 +282,81 @@ def _plausible(percent: int):
     return run
 
 
+def _forest(left: np.ndarray, right: np.ndarray, groups: int) -> np.ndarray:
+    """Numbers of the pairs of groups, nearest first, that hold together what all of them do:
+    fewer than there are groups."""
+    root, taken = np.arange(groups), []
+    while True:
+        a, b = root[left], root[right]
+        across = np.flatnonzero(a != b)
+        if not len(across):
+            return np.sort(np.concatenate(taken)) if taken else across
+        # The first pair of each group: the pairs are in one order, so these close no circle.
+        first = np.full(groups, len(left))
+        np.minimum.at(first, a[across], across)
+        np.minimum.at(first, b[across], across)
+        chosen = np.unique(first[first < len(left)])
+        taken.append(chosen)
+        for pair in chosen.tolist():
+            u, v = root[left[pair]], root[right[pair]]
+            while root[u] != u:
+                u = root[u]
+            while root[v] != v:
+                v = root[v]
+            root[max(u, v)] = min(u, v)
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+
+
 def _cross(percent: int, every: bool):
     """Pairs between the strays and the members of a block that may be linked and belong to
-    different components: all, or for each stray the nearest of each component."""
+    different components: all, or the nearest ones that join the same components."""
 
     def run(table: pa.Table) -> pa.Table:
         stray = table.filter(table.column("stray"))
         member = table.filter(pa.compute.invert(table.column("stray")))
-        lengths = pa.compute.binary_length(table.column("sketch"))
-        parts = 4 * pa.compute.min(lengths).as_py()
         held = member.column("sketch").to_pylist()
-        sketch = np.array([_folded_low(x, parts) for x in held], np.uint8).reshape(-1, parts)
+        lengths = np.array([len(x) for x in held], np.int64)
+        # Each pair is held against each other in as many parts as the shorter sketch has.
+        exact = {n: np.flatnonzero(lengths == n) for n in np.unique(lengths).tolist()}
+        strays = {len(x) for x in stray.column("sketch").to_pylist()}
+        longer = {n: np.flatnonzero(lengths > n) for n in strays}
+        same = {n: np.stack([_folded(held[r], n) for r in rows]) for n, rows in exact.items()}
+        cut = {
+            n: np.array([_folded(held[r], n) for r in rows], np.uint8).reshape(-1, n)
+            for n, rows in longer.items()
+        }
         size, label, part = (member.column(c).to_numpy() for c in ("n", "class", "component"))
-        left, right = [], []
+        left, right, homes, others, distance = [], [], [], [], []
         for row, own, cls, home in zip(
             *(stray.column(c).to_pylist() for c in ("sketch", "n", "class", "component"))
         ):
-            far = (sketch != _folded_low(row, parts)).sum(axis=1)
-            near = (far * (100 + percent) <= (100 - percent) * (size + own)) & (part != home)
+            far = np.empty(len(size), np.int64)
+            for n, rows in exact.items():
+                if n <= len(row):
+                    far[rows] = (same[n] != _folded(row, n)).sum(axis=1)
+            above = longer[len(row)]
+            far[above] = (cut[len(row)] != np.frombuffer(row, np.uint8)).sum(axis=1)
+            fit = np.minimum(size, own) * 100 >= np.maximum(size, own) * percent
+            near = fit & (part != home) & (far * (100 + percent) <= (100 - percent) * (size + own))
             at = np.flatnonzero(near)
-            if not every:
-                at = at[np.argsort(far[at], kind="stable")]
-                at = at[np.unique(part[at], return_index=True)[1]]
             left.append(np.minimum(label[at], cls))
             right.append(np.maximum(label[at], cls))
-        return pa.table(
-            {
-                "a": pa.array(np.concatenate(left) if left else np.zeros(0, np.int64)),
-                "b": pa.array(np.concatenate(right) if right else np.zeros(0, np.int64)),
-            }
+            homes.append(np.full(len(at), home))
+            others.append(part[at])
+            distance.append(far[at])
+        if not left:
+            left = right = homes = others = distance = [np.zeros(0, np.int64)]
+        a, b, home, other, far = (
+            np.concatenate(x) for x in (left, right, homes, others, distance)
         )
+        if not every:
+            order = np.lexsort((b, a, far))
+            a, b, home, other = a[order], b[order], home[order], other[order]
+            known, group = np.unique(np.concatenate([home, other]), return_inverse=True)
+            at = _forest(group[: len(home)], group[len(home) :], len(known))
+            a, b = a[at], b[at]
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return run
 
@@ -559,8 +606,8 @@ class JaccardJoin:
         return members.join(mixed_up, "signature")
 
     def _described(self) -> DataFrame:
-        """Classes with the low bits of their sketches: pairs are held against the whole
-        sketches, and then the sets, later."""
+        """Classes with the low bits of their sketches, for signatures of few members: pairs are
+        held against the whole sketches, and then the sets, later."""
         described = self.classes.select("class", F.col("n_shingles").alias("n"), "sketch")
         return described.mapInArrow(_with_low_bits, "class long, n long, sketch binary")
 
@@ -577,8 +624,8 @@ class JaccardJoin:
         )
 
     def cross_pairs(self, members: DataFrame, every: bool) -> DataFrame:
-        """Pairs across components under one crowded signature that the sketches cannot rule
-        out."""
+        """Pairs across components under one crowded signature that the whole sketches cannot
+        rule out: all, or the nearest ones of each block that join the same components."""
         sizes = members.groupBy("signature", "component").count()
         largest = sizes.groupBy("signature").agg(
             F.max(F.struct("count", "component")).getField("component").alias("main")
@@ -596,7 +643,8 @@ class JaccardJoin:
             F.floor(F.max("_place") / MEMBER_BLOCK).alias("_last_member"),
             F.floor((F.sum(F.col("_strays").cast("int")) - 1) / STRAY_BLOCK).alias("_last_stray"),
         )
-        rows = rows.join(totals, "signature").join(self._described(), "class")
+        described = self.classes.select("class", F.col("n_shingles").alias("n"), "sketch")
+        rows = rows.join(totals, "signature").join(described, "class")
         common = ["signature", "class", "component", "n", "sketch"]
         as_member = rows.select(
             *common,
@@ -639,7 +687,7 @@ class JaccardJoin:
         if not others.isEmpty():
             links = links.union(saved(self.links(others)))
             labels = self._labelled(links)
-        # Crowded signatures first by the nearest of each component, which leaves fewer apart.
+        # Crowded signatures first by the nearest pairs, which leaves fewer apart.
         for every in (False, True):
             members = saved(self.open_members(stars, labels))
             crowded = members.where("crowded").drop("crowded")

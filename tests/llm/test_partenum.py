@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from samples import ODD, empty, odd, sentence
 
@@ -143,6 +144,62 @@ def test_heavy_signatures_lose_no_link(spark, monkeypatch, scheme, heavy):
     assert got == brute(rows, 5, 80)
 
 
+def crowded_block(members, sizes):
+    """A block of near copies of sets of these sizes, each a component and a stray by itself."""
+    random_ = np.random.default_rng(7)
+    sets = []
+    for size in sizes:
+        base = random_.integers(0, 2**63, size).astype(np.uint64)
+        for k in range(members):
+            new = random_.integers(0, 2**63, k % max(2, size // 12)).astype(np.uint64)
+            sets.append(np.unique(np.concatenate([base[len(new) :], new])))
+    counts = np.array([len(s) for s in sets])
+    sketch = partenum._sketches(np.concatenate(sets), counts, 90)
+    n = len(sets)
+    columns = {
+        "class": pa.array(range(n), pa.int64()),
+        "component": pa.array(range(n), pa.int64()),
+        "n": pa.array(counts, pa.int64()),
+        "sketch": pa.array(sketch, pa.binary()),
+    }
+    both = [pa.table({**columns, "stray": pa.array([stray] * n)}) for stray in (False, True)]
+    return pa.concat_tables(both), counts, sketch
+
+
+def near_pairs(counts, sketch, percent=90):
+    """The pairs of a block that whole sketches cannot rule out."""
+    out = set()
+    for b in range(len(counts)):
+        for a in range(b):
+            parts, size = min(len(sketch[a]), len(sketch[b])), int(counts[a] + counts[b])
+            left, right = (partenum._folded(sketch[x], parts) for x in (a, b))
+            far = int((left != right).sum())
+            fit = min(counts[a], counts[b]) * 100 >= max(counts[a], counts[b]) * percent
+            if fit and far * (100 + percent) <= (100 - percent) * size:
+                out.add((a, b))
+    return out
+
+
+def reach(pairs, n):
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_a_crowded_block_gives_no_more_rows_than_members(spark):
+    """Near copies that are all apart: the first pairs are as few as join what all of them join,
+    and later ones are those alone that whole sketches leave."""
+    table, counts, sketch = crowded_block(60, (40, 320, 333))
+    want = near_pairs(counts, sketch)
+    found = [partenum._cross(90, every)(table).to_pydict() for every in (False, True)]
+    first, all_of_them = (list(zip(t["a"], t["b"])) for t in found)
+    assert len(want) > 10 * len(counts) > 10 * len(first)
+    assert set(first) <= want and set(all_of_them) == want
+    assert reach(first, len(counts)) == reach(want, len(counts))
+
+
 def test_rows_that_stay(spark):
     kept = partenum.one_of_each(odd(spark))
     assert kept.columns == odd(spark).columns
