@@ -116,8 +116,13 @@ def _score(frequent: Frequent, model: attention.Model):
                 )
                 owner, word = np.divmod(pairs, max(len(some), 1))
                 offsets = pa.array(np.searchsorted(owner, np.arange(b - a + 1)).astype(np.int32))
-                ids, n_ids = _ids(encoded.slice(a, b - a))
-                score = attention.log_probabilities(model, ids, n_ids) / np.log(10)
+                # A few texts at a time: what the model holds for an id is far more than a word's.
+                held = [
+                    (attention.log_probabilities(model, ids, n), n)
+                    for ids, n in _some_ids(encoded.slice(a, b - a))
+                ]
+                score, n_ids = (np.concatenate(parts) for parts in zip(*held))
+                score /= np.log(10)
                 yield pa.record_batch(
                     [
                         rows.slice(a, b - a),

@@ -5,6 +5,7 @@ import zlib
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from samples import ODD, empty, odd, sentence
 
@@ -170,3 +171,27 @@ def test_all_training_rows_count(spark):
     got = scoring.scored(docs, FOLD, settings).agg({"score": "sum"}).first()[0]
     most = scoring.scored(docs, FOLD, scoring.Settings(shape=SMALL)).agg({"score": "sum"}).first()[0]
     assert got == pytest.approx(most, rel=0.05)
+
+
+def test_scoring_holds_a_bounded_number_of_ids(monkeypatch):
+    """A block of long texts goes through the model a few texts at a time; scores stay."""
+    texts = pa.array([sentence(n, 3000) for n in range(60)])
+    rows = pa.record_batch([pa.array(range(60)), texts], names=["doc_id", "text"])
+    batch = next(scoring._encode(scoring.VOCABULARY)(iter([rows])))
+    ids, counts = scoring._ids(batch.column("ids"))
+    often = np.bincount(ids, minlength=attention.IDS)
+    pairs = attention.counted_pairs(attention.slots_of(often), ids, counts)
+    model, seen = attention.counted(often, pairs), []
+    score = attention.log_probabilities
+    whole = score(model, ids, counts)
+
+    def noted(model, ids, counts):
+        seen.append(len(ids))
+        return score(model, ids, counts)
+
+    monkeypatch.setattr(attention, "log_probabilities", noted)
+    none = scoring.Frequent(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    (found,) = scoring._score(none, model)(iter([batch]))
+    assert sum(seen) == len(ids) > scoring.IDS_AT_ONCE >= max(seen)
+    assert found.column("ids").to_numpy().tolist() == (counts + 1).tolist()
+    np.testing.assert_allclose(found.column("score").to_numpy(), whole / np.log(10), rtol=1e-5)
