@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geotrail.operators.scan import Measures, scanned
-from geotrail.operators.sizing import SplitPolicy
+from geotrail.operators.sizing import SplitPolicy, settled
 
 HALO = "_halo"  # an extra row, lent from earlier input, that is no part of the data
 
@@ -24,21 +24,29 @@ def numbered(
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
     one = df.withColumn("_one", F.lit(1).cast("bigint"))
-    found = scanned(one, keys, order, Measures(sums={name: "_one"}), policy.ranges(df))
+    found = scanned(one, keys, order, Measures(sums={name: "_one"}), policy.cut(df))
     return found.drop("_one")
 
 
 def ranked(
-    df: DataFrame, order: list[str], policy: SplitPolicy | None = None, name: str = "position"
+    df: DataFrame,
+    order: list[str],
+    policy: SplitPolicy | None = None,
+    name: str = "position",
+    stored: bool = False,
 ) -> DataFrame:
     """The place (from 1) of each row in the order of the whole table.
 
     The rows are dealt out by range of ``order``, each range counts its own, and what lies before a
     range is added: no window over the whole table, no task with more than a range. Nulls come
-    first. Rows equal in ``order`` get successive places, which of them first is not defined."""
+    first. Rows equal in ``order`` get successive places, which of them first is not defined.
+    They are counted, sampled and dealt out, so unless they come straight from a table
+    (``stored``) they are computed once for all three."""
     policy = policy or SplitPolicy()
+    if not stored:
+        df = settled(df)
     rows = df.withColumns({"_whole": F.lit(0), "_one": F.lit(1).cast("bigint")})
-    found = scanned(rows, ["_whole"], order, Measures(sums={name: "_one"}), policy.ranges(df))
+    found = scanned(rows, ["_whole"], order, Measures(sums={name: "_one"}), policy.cut(df))
     return found.drop("_whole", "_one")
 
 

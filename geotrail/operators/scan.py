@@ -6,6 +6,8 @@ order tells them apart. Each range is summarised for its first and its last key,
 can share with other ranges: at most two rows for each range. A scan over these rows gives each
 range what came before it, and one pass applies that to the rows. The rows are exchanged once.
 
+A task has one range, or several short ones, which it goes through one after the other.
+
 The ranges are written to the checkpoint folder before they are used: the bounds come from a
 sample, and every step must see the same ones.
 """
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geotrail.operators.sizing import settled
+from geotrail.operators.sizing import Cut, settled
 
 RANGE = "_range"
 PLACE = "_place"  # 2: first row of its range, 1: another row of the range's first key, 0: rest
@@ -107,6 +110,27 @@ class _Carry:
         return opens, sums, lows, before
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of each range in a batch, with its number."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        number = _column(batch, RANGE).to_numpy()
+        ends = [*(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), batch.num_rows]
+        for start, end in zip([0, *ends], ends):
+            yield int(number[start]), batch.slice(start, end - start)
+
+
+def _each_range(run: Callable) -> Callable:
+    """``run`` for one range of a task after the other."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, pieces in groupby(_pieces(batches), key=lambda piece: piece[0]):
+            yield from run(batch for _, batch in pieces)
+
+    return runs
+
+
 def _local(keys: list[str], measures: Measures) -> Callable:
     """Function for ``mapInArrow``: rows with the running values within their range."""
 
@@ -176,11 +200,19 @@ def _edges(keys: list[str], measures: Measures) -> Callable:
     return run
 
 
-def ranged(df: DataFrame, keys: list[str], order: list[str], ranges: int) -> DataFrame:
-    """``df`` in at most ``ranges`` ranges of (keys, order), sorted, with their number RANGE."""
+def ranged(df: DataFrame, keys: list[str], order: list[str], ranges: int | Cut) -> DataFrame:
+    """``df`` in at most ``ranges`` ranges of (keys, order), sorted, with their number RANGE,
+    which rises along the order. A ``Cut`` says how many tasks have them."""
+    cut = ranges if isinstance(ranges, Cut) else Cut(ranges, ranges)
     by = [F.col(c) for c in (*keys, *order)]
-    cut = df.repartitionByRange(max(ranges, 1), *by).sortWithinPartitions(*by)
-    return settled(cut).withColumn(RANGE, F.spark_partition_id())
+    dealt = df.repartitionByRange(max(cut.tasks, 1), *by).sortWithinPartitions(*by)
+    number = F.spark_partition_id()
+    if cut.tasks < cut.ranges:
+        # This id is the number of the task in the bits from 33 on and the row's place below.
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        within = F.call_function("div", place, F.lit(cut.rows).cast("bigint"))
+        number = F.shiftleft(number.cast("bigint"), 33) + within
+    return settled(dealt).withColumn(RANGE, number)
 
 
 def scanned(
@@ -188,7 +220,7 @@ def scanned(
     keys: list[str],
     order: list[str],
     measures: Measures,
-    ranges: int,
+    ranges: int | Cut,
     then: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``df`` with the columns of ``measures``, along ``order`` within each value of ``keys``.
@@ -203,7 +235,7 @@ def scanned(
     lagged = [T.StructField(n, kinds[c]) for n, c in measures.lags.items()]
     place = T.StructField(PLACE, T.ByteType())
     local = full.mapInArrow(
-        _local(keys, measures), T.StructType([*full.schema.fields, *whole, *lagged, place])
+        _each_range(_local(keys, measures)), T.StructType([*full.schema.fields, *whole, *lagged, place])
     )
     carried = _carried(rows, keys, measures, added)
     heads = (local[RANGE] == carried["_into"]) & (local[PLACE] > 0)
@@ -231,7 +263,7 @@ def _carried(
     counted = measures.counted()
     ends = [f"_sum_{c}" for c in counted] + [f"_low_{n}" for n in measures.lows]
     schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T.LongType()) for n in ends)])
-    edges = added(rows.mapInArrow(_edges(keys, measures), schema))
+    edges = added(rows.mapInArrow(_each_range(_edges(keys, measures)), schema))
     in_order = Window.partitionBy(*keys).orderBy(RANGE)
     earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")

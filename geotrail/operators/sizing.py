@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from geotrail.session import shared_folder
 
 
+#: Tasks up to which each range has one of its own; more short ones cost more than their rows.
+TASKS = 256
+
+
+@dataclass(frozen=True)
+class Cut:
+    """A table in so many ``ranges`` and ``tasks``. With fewer tasks than ranges each has several,
+    of ``rows`` rows, one after the other."""
+
+    ranges: int
+    tasks: int
+    rows: int = 0
+
+
 @dataclass(frozen=True)
 class SplitPolicy:
     """When keys are too large for a task, and how many ranges their rows are dealt out to.
@@ -45,9 +59,21 @@ class SplitPolicy:
             return self.mode == "on"
         return not hot_keys(df.select(*keys), keys, self).isEmpty()
 
-    def ranges(self, df: DataFrame) -> int:
-        """How many ranges the rows of ``df`` are cut into."""
-        return max(1, min(-(-df.count() // self.target_rows), self.max_ranges))
+    def for_batch(self, df: DataFrame, keys: list[str], rows: int) -> SplitPolicy:
+        """The policy for a kept batch of so many ``rows``: a large one is cut into ranges only
+        where a key is hot, else windows by key have more tasks than there would be ranges."""
+        if self.mode == "on":
+            return self
+        hot = rows > self.target_rows and not hot_keys(df.select(*keys), keys, self).isEmpty()
+        return self.forced() if hot else self.off()
+
+    def cut(self, df: DataFrame) -> Cut:
+        """How the rows of ``df`` are cut into ranges. Tasks have several only beyond ``TASKS``,
+        and then no more rows than one range has by default."""
+        rows = df.count()
+        ranges = max(1, min(-(-rows // self.target_rows), self.max_ranges))
+        tasks = min(ranges, max(TASKS, -(-rows // SplitPolicy.target_rows)))
+        return Cut(ranges, tasks, -(-rows // ranges))
 
 
 def estimated_bytes(df: DataFrame) -> int:

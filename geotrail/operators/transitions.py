@@ -54,7 +54,7 @@ def _sets_before(
         in_order = Window.partitionBy("device").orderBy(F.col(ordered.HALO).desc(), *ORDER)
         return _with_known(sets, previous).withColumn("_before", F.lag("inside").over(in_order))
     order, measures = ["_turn", *ORDER], Measures(lags={"_before": "inside"})
-    ranges = policy.ranges(points)
+    ranges = policy.cut(points)
     turn = (~F.col(ordered.HALO)).cast("int")
     if index.strategy == "cells":
         # Bare points are dealt out, and sets are found where they then lie.

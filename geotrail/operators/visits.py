@@ -32,7 +32,7 @@ def _running(rows: DataFrame, order: list[str], policy: SplitPolicy | None) -> D
         measures = Measures(
             sums={"_enters": "_in", "_exits": "_out"}, lows={"_lowest": "_step"}
         )
-        return scanned(steps, KEYS, order, measures, policy.ranges(rows))
+        return scanned(steps, KEYS, order, measures, policy.cut(rows))
     so_far = Window.partitionBy(*KEYS).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     counted = rows.withColumns(
         {"_enters": F.sum(1 - exits).over(so_far), "_exits": F.sum(exits).over(so_far)}

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from geotrail.operators import scan
+from geotrail.operators import scan, sizing
 from geotrail.operators.scan import Measures
 
 SCHEMA = "key string, part int, at long, seq long, v long, items array<long>"
@@ -60,6 +60,39 @@ def test_against_a_walk(spark, ranges, batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("batch", [7, 10_000])
+@pytest.mark.parametrize("tasks,rows", [(1, 7), (4, 7), (4, 1), (3, 150)])
+def test_several_ranges_in_a_task(spark, tasks, rows, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        check(spark, sample(tasks), sizing.Cut(400, tasks, rows))
+        check(spark, [], sizing.Cut(400, tasks, rows))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_many_ranges_share_a_bounded_number_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sizing, "TASKS", 8)
+    df = spark.createDataFrame(sample(2), SCHEMA)
+    cut = sizing.SplitPolicy().forced(target_rows=10).cut(df)
+    assert (cut.ranges, cut.tasks) == (40, 8)
+    rows = scan.ranged(df, ["key", "part"], ORDER, cut)
+    sizes = [r["count"] for r in rows.groupBy(scan.RANGE).count().collect()]
+    assert rows.rdd.getNumPartitions() <= 8
+    assert sum(sizes) == 400 and max(sizes) <= 10 and 40 <= len(sizes) <= 48
+    few = sizing.SplitPolicy().forced(target_rows=100).cut(df)
+    assert few.ranges == few.tasks == 4
+
+
+def test_a_large_batch_is_cut_only_where_a_key_is_hot(spark):
+    policy = sizing.SplitPolicy(target_rows=50)
+    many, one = spark.range(200), spark.range(200).selectExpr("id % 2 as id")
+    assert policy.for_batch(many, ["id"], 200).mode == "off"
+    assert policy.for_batch(one, ["id"], 200).mode == "on"
+    assert policy.for_batch(one, ["id"], 50).mode == "off"
+    assert policy.forced().for_batch(many, ["id"], 200).mode == "on"
+
+
 def test_more_ranges_than_rows_and_an_empty_table(spark):
     check(spark, sample(5, n=6), 50)
     check(spark, [], 5)
