@@ -355,6 +355,9 @@ def stream_visits(spark, folder):
     root = session.run_folder(spark)
     part = F.conv(F.substring("key", 1, 6), 16, 10).cast("int") % 4
     records = event_messages(_events(spark, folder)).withColumn("part", part)
+    # Tracked once for all deliveries.
+    records.select("part", "value").write.parquet(f"{root}/records")
+    records = spark.read.parquet(f"{root}/records")
     for delivery in range(4):
         now = F.col("part").isin(delivery, (delivery + 1) % 4)
         records.where(now).select("value").write.mode("append").text(f"{root}/messages")
@@ -589,15 +592,16 @@ def currently_inside(spark, folder):
     return reads.currently_inside(_visits(spark, folder), sample.users(spark, folder))
 
 
-def _ranked(df: DataFrame, order: list[str]) -> DataFrame:
+def _ranked(df: DataFrame, order: list[str], stored: bool = False) -> DataFrame:
     """In many ranges, as large tables are."""
-    return ordered.ranked(df, order, SplitPolicy().forced(target_rows=64))
+    return ordered.ranked(df, order, SplitPolicy().forced(target_rows=64), stored=stored)
 
 
 def history_ordered(spark, folder):
     """The history in order of device and time, with each row's place in it."""
     points = sample.locations(spark, folder)
-    return _ranked(points, ["device", "ts", "seq"]).select("position", "device", "ts", "x", "y")
+    found = _ranked(points, ["device", "ts", "seq"], stored=True)
+    return found.select("position", "device", "ts", "x", "y")
 
 
 def visits_ordered(spark, folder):

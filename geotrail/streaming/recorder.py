@@ -120,8 +120,6 @@ def record_batch(
             ).first()
             if not size:
                 return
-            crowded = size > policy.target_rows
-            split = policy if policy.mode == "on" else policy.forced() if crowded else policy.off()
             since = fresh.groupBy(*PAIR).agg(F.min("event_ts").alias("_since"))
             stored = store.rows.read(number, store.rows.needed(fresh), first_day, "_archived")
             still = F.when(
@@ -138,6 +136,7 @@ def record_batch(
                 .withColumn("in", F.col("event_type") == messages.ENTER)
                 .persist(StorageLevel.MEMORY_AND_DISK)
             )
+            split = policy.for_batch(events, PAIR, size)
             changes = _changes(events, touched, split)
             store.rows.put(number, changes, store.settled(newest))
             events.unpersist()

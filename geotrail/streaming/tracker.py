@@ -87,8 +87,7 @@ def track_batch(
     def run(batch: DataFrame, number: int) -> None:
         points = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            crowded = points.count() > policy.target_rows
-            split = policy if policy.mode == "on" else policy.forced() if crowded else policy.off()
+            split = policy.for_batch(points, ["device"], points.count())
             last = last_points(points).persist(StorageLevel.MEMORY_AND_DISK)
             known = latest.read(below=number, buckets=latest.needed(last)).join(
                 last.select("device"), "device", "left_semi"
