@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geotrail.llm.subwords import END_ID, VOCABULARY, encoder
-from geotrail.llm.tables import saved
+from geotrail.llm.tables import giving_back, saved
 from geotrail.llm.words import blocks
 
 LENGTH = 1024
@@ -135,7 +135,7 @@ def pieces(
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
-        _cut(length, vocabulary, id_bytes),
+        giving_back(_cut(length, vocabulary, id_bytes)),
         f"doc_id {kind}, start long, length long, ids binary, doc_tokens long",
     )
 

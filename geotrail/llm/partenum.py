@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geotrail.llm.components import components
-from geotrail.llm.tables import bucket_flag, saved, whole
+from geotrail.llm.tables import bucket_flag, giving_back, saved, whole
 from geotrail.llm.words import blocks, mixed, shingle_hashes, word_hashes
 
 LEAST_PARTS = 64
@@ -452,7 +452,7 @@ class JaccardJoin:
         self.id_type = self.texts.schema["doc_id"].dataType.simpleString()
         self.rows = saved(
             self.texts.withColumn("mark", F.xxhash64("text")).mapInArrow(
-                _describe(shingle, percent, scheme),
+                giving_back(_describe(shingle, percent, scheme)),
                 f"doc_id {self.id_type}, mark long, n_shingles long, class long, check long,"
                 " sketch binary, spare long",
             )
@@ -478,7 +478,7 @@ class JaccardJoin:
             flagged.where("_needed")
             .select("doc_id", "text")
             .mapInArrow(
-                _whole_sets(self.shingle),
+                giving_back(_whole_sets(self.shingle)),
                 f"doc_id {self.id_type}, class long, elements array<long>",
             )
             # A class may have a null id for its first.
@@ -510,13 +510,14 @@ class JaccardJoin:
         near = described.where(
             f"least(na, nb) * 100 >= greatest(na, nb) * {self.percent}"
         ).select("a", "b", (F.col("na") + F.col("nb")).alias("sizes"), "left", "right")
-        return near.mapInArrow(_plausible(self.percent), "a long, b long")
+        return near.mapInArrow(giving_back(_plausible(self.percent)), "a long, b long")
 
     def stars(self) -> DataFrame:
         """``signature, pivot, class``: classes that share a signature with a smaller one."""
         return self._starred(
             self.texts.select("text").mapInArrow(
-                _sign(self.shingle, self.percent, self.scheme), "signature long, class long"
+                giving_back(_sign(self.shingle, self.percent, self.scheme)),
+                "signature long, class long",
             )
         )
 
@@ -558,7 +559,7 @@ class JaccardJoin:
             members.select("signature", "class")
             .repartition("signature")
             .sortWithinPartitions("signature", "class")
-            .mapInArrow(_stars, "signature long, pivot long, class long")
+            .mapInArrow(giving_back(_stars), "signature long, pivot long, class long")
         )
 
     def _labelled(self, links: DataFrame) -> DataFrame:
@@ -609,7 +610,9 @@ class JaccardJoin:
         """Classes with the low bits of their sketches, for signatures of few members: pairs are
         held against the whole sketches, and then the sets, later."""
         described = self.classes.select("class", F.col("n_shingles").alias("n"), "sketch")
-        return described.mapInArrow(_with_low_bits, "class long, n long, sketch binary")
+        return described.mapInArrow(
+            giving_back(_with_low_bits), "class long, n long, sketch binary"
+        )
 
     def light_pairs(self, members: DataFrame) -> DataFrame:
         """Pairs across components under one signature of few members that the sketches cannot
@@ -619,7 +622,7 @@ class JaccardJoin:
             .select("signature", "class", "n", "component", "sketch")
             .repartition("signature")
             .sortWithinPartitions("signature")
-            .mapInArrow(_cross_light(self.percent), "a long, b long")
+            .mapInArrow(giving_back(_cross_light(self.percent)), "a long, b long")
             .distinct()
         )
 

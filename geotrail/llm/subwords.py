@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+from functools import cached_property
 from collections.abc import Iterable
 
 import numpy as np
@@ -27,14 +28,21 @@ class Encoder:
     def __init__(self, vocabulary: str = VOCABULARY):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.vocabulary = vocabulary
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding(
             "ids", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
-        self.exact = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+
+    @cached_property
+    def exact(self):
+        """Read only where a text needs it."""
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(public_tokenizers.path(f"{self.vocabulary}.json"))
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of one text, without any end; none for a null."""

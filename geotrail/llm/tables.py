@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +19,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+# Rows go to Python workers in batches of at most so many bytes, or one longer row: a batch is held
+# by the executor and by the worker, coming and going.
+BATCH_BYTES = 8 << 20
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lets the session send batches of ``BATCH_BYTES`` to Python workers, or smaller ones where it
+    does so already. No result depends on it."""
+    size, unit = re.fullmatch(r"(\d+)([bkmgtp]?)b?", spark.conf.get(BATCHES).lower()).groups()
+    if int(size) << 10 * "bkmgtp".index(unit or "b") > BATCH_BYTES:
+        spark.conf.set(BATCHES, str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, folder: str, table: str = "documents") -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
@@ -32,6 +52,30 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back_memory() -> None:
+    """Lets the system have what was freed; an allocator may keep it for long."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def giving_back(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for ``mapInArrow``, giving memory back when a task has ended: its Python worker
+    stays for tasks of other stages."""
+
+    def task(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            give_back_memory()
+
+    return task
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``: fixes which rows are held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor

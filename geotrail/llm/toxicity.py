@@ -12,7 +12,6 @@ words; the score is the logistic of the logit above the cut.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geotrail.llm.labelled import Fold, best_cut, logistic, training_texts
-from geotrail.llm.tables import whole
+from geotrail.llm.tables import give_back_memory, giving_back, whole
 from geotrail.llm.words import blocks, mixed, non_letters, word_hashes
 
 PREFIXES = (4, 5, 6)
@@ -277,23 +276,20 @@ def scored(
     docs: DataFrame, net: Network | None, settings: Settings = Settings(), text: str = "text"
 ) -> DataFrame:
     """``_row`` with all columns of a row of ``docs`` in one, and ``score``."""
-    rows = docs.select(F.col(text).cast("string").alias("_text"), whole(docs))
+    rows = docs.select(whole(docs))
+    # A text travels once, as a part of its row, unless it is no string there.
+    apart = dict(docs.dtypes).get(text) != "string"
+    if apart:
+        rows = docs.select(whole(docs), F.col(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = score_texts(net, batch.column(0), settings)
-            yield pa.record_batch([batch.column(1), pa.array(scores)], names=["_row", "score"])
+            row = batch.column(0)
+            scores = score_texts(net, batch.column(1) if apart else row.field(text), settings)
+            yield pa.record_batch([row, pa.array(scores)], names=["_row", "score"])
 
     row_type = rows.schema["_row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_row {row_type}, score double")
-
-
-def _give_back_memory() -> None:
-    """Lets the system have what training has freed; an allocator may keep it for long."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    return rows.mapInArrow(giving_back(run), f"_row {row_type}, score double")
 
 
 def learnt(
@@ -304,7 +300,7 @@ def learnt(
         *training_texts(docs, labels, "toxic", fold, settings.per_label, settings.max_chars),
         settings,
     )
-    _give_back_memory()
+    give_back_memory()
     return network
 
 

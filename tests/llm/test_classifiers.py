@@ -130,3 +130,15 @@ def test_calibration_helpers():
     assert best_cut(x, np.array([0, 0, 1, 1])) == 1.5
     slope, intercept = fit_logistic(x, np.array([0, 0, 1, 1]))
     assert slope > 0 and -intercept / slope == pytest.approx(1.5, abs=0.1)
+
+
+def test_a_text_travels_once_to_the_network(spark, tables):
+    docs, labels, _ = tables
+    net = toxicity.learnt(docs, labels, Fold(5, 0))
+    frame = toxicity.scored(docs, net)
+    sent = frame._jdf.queryExecution().analyzed().children().head()
+    assert list(sent.schema().fieldNames()) == ["_row"]
+    # A column that is no string goes beside its row, and scores as before.
+    other = docs.withColumn("text", docs.text.cast("binary"))
+    plain = {r["_row"].doc_id: r.score for r in frame.collect()}
+    assert {r["_row"].doc_id: r.score for r in toxicity.scored(other, net).collect()} == plain
