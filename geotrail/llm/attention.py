@@ -90,6 +90,11 @@ def _reach(p: dict, block: int) -> np.ndarray:
     return np.where(distance >= 0, np.exp(p["near"])[:, np.maximum(distance, 0)], 0)
 
 
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    """Sums along the last, short axis: as a product, several times faster than a reduction."""
+    return (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], x.dtype)).reshape(x.shape[:-1])
+
+
 def _attend(p: dict, shape: Shape, both: np.ndarray, first: np.ndarray, reach: np.ndarray):
     """Weights and gathered values for windows of slots ``both``, two blocks each."""
     n, heads = shape.block, shape.heads
@@ -103,7 +108,7 @@ def _attend(p: dict, shape: Shape, both: np.ndarray, first: np.ndarray, reach: n
     np.exp(s, out=s)
     s *= reach
     s[first, :, :, :n] = 0
-    total = s.sum(axis=3, keepdims=True)
+    total = _row_sums(s)[..., None]
     gathered = ((s @ v) / total).transpose(0, 2, 1, 3).reshape(-1, shape.dim)
     return q, k, v, s, total, gathered
 
@@ -140,7 +145,7 @@ def log_probabilities(
             low += np.take(p["direct_member"][c], before, axis=0)
             hit = high[:, c] + low[np.arange(len(at)), goal[at] % CLUSTERS]
             for scores in (high, low):
-                hit -= np.log(np.exp(scores, out=scores).sum(axis=1))
+                hit -= np.log(_row_sums(np.exp(scores, out=scores)))
             value[at] = hit
     value[~there.reshape(-1)] = 0
     per_block = value.reshape(-1, shape.block).sum(axis=1, dtype=np.float64)
@@ -208,24 +213,35 @@ COUNTED = ("direct_cluster", "direct_member")
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    """Rows that add up to one. The largest of a row is looked for only where it has to be."""
+    with np.errstate(over="ignore"):
+        e = np.exp(x)
+        total = _row_sums(e)
+    if not (total.min(initial=1.0) > 1e-20 and total.max(initial=1.0) < 1e30):
+        e = np.exp(x - x.max(axis=1, keepdims=True))
+        total = _row_sums(e)
+    e /= total[:, None]
+    return e
 
 
 def gradients(p: dict, shape: Shape, both, targets, there, first) -> tuple[float, dict]:
     """Loss and gradients for windows of two blocks and the targets of the second one."""
     n, heads = shape.block, shape.heads
-    q, k, v, a, total, h = _attend(p, shape, both, first, _reach(p, n))
-    a = a / total
-    here, goal, last = there.reshape(-1), targets.reshape(-1), both[:, n:].reshape(-1)
-    cluster, member = goal // CLUSTERS, goal % CLUSTERS
-    rows = np.arange(len(goal))
-    weight = here / max(here.sum(), 1)
+    q, k, v, a, total, gathered = _attend(p, shape, both, first, _reach(p, n))
+    # Places by the cluster of their target, so that those of one cluster are one matrix.
+    cluster = targets.reshape(-1) // CLUSTERS
     order = np.argsort(cluster.astype(np.uint8), kind="stable")
-    ends = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
-    of_cluster = [(c, order[ends[c] : ends[c + 1]]) for c in range(CLUSTERS)]
-    pc = _softmax(h @ p["cluster"] + p["direct_cluster"][last])
-    low = p["direct_member"][cluster, last]
+    cluster, goal = cluster[order], targets.reshape(-1)[order]
+    last, here = both[:, n:].reshape(-1)[order], there.reshape(-1)[order]
+    ends = np.searchsorted(cluster, np.arange(CLUSTERS + 1)).tolist()
+    of_cluster = [(c, slice(i, j)) for c, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
+    member, rows = goal % CLUSTERS, np.arange(len(goal))
+    weight = (here / max(here.sum(), 1)).astype(gathered.dtype)
+    h = np.take(gathered, order, axis=0)
+    high = h @ p["cluster"]
+    high += np.take(p["direct_cluster"], last, axis=0)
+    pc = _softmax(high)
+    low = np.take(p["direct_member"].reshape(SLOTS * CLUSTERS, -1), cluster * SLOTS + last, axis=0)
     for c, at in of_cluster:
         low[at] += h[at] @ p["member"][c]
     pm = _softmax(low)
@@ -235,30 +251,39 @@ def gradients(p: dict, shape: Shape, both, targets, there, first) -> tuple[float
     pc *= weight[:, None]
     pm *= weight[:, None]
     g = {"cluster": h.T @ pc, "member": np.zeros_like(p["member"])}
-    dh = pc @ p["cluster"].T
+    by_place = pc @ p["cluster"].T
     for c, at in of_cluster:
         g["member"][c] = h[at].T @ pm[at]
-        dh[at] += pm[at] @ p["member"][c].T
-    dh = dh.reshape(len(both), n, heads, -1).transpose(0, 2, 1, 3)
+        by_place[at] += pm[at] @ p["member"][c].T
+    dh = np.empty_like(by_place)
+    dh[order] = by_place
+    # What weights sum up to is what has been gathered, so it need not be summed again; ``a`` and
+    # what meets it stay undivided by ``total`` and divided by it.
+    pulled = _row_sums((dh * gathered).reshape(len(both), n, heads, -1)).transpose(0, 2, 1)
+    dh = dh.reshape(len(both), n, heads, -1).transpose(0, 2, 1, 3) / total
     dv = a.transpose(0, 1, 3, 2) @ dh
-    da = dh @ v.transpose(0, 1, 3, 2)
-    ds = a * (da - (da * a).sum(axis=3, keepdims=True))
+    ds = dh @ v.transpose(0, 1, 3, 2)
+    ds -= pulled[..., None] / total
+    ds *= a
     distance = _distances(n)
     g["near"] = np.zeros_like(p["near"])
     for head, change in enumerate(ds.sum(axis=0)):
         np.add.at(g["near"][head], distance[distance >= 0], change[distance >= 0])
     dq, dk = ds @ k, ds.transpose(0, 1, 3, 2) @ q
-    for name, slots, part in (
-        ("query", both[:, n:], dq),
-        ("key", both, dk),
-        ("value", both, dv),
+    for names, slots, parts in (
+        (("query",), both[:, n:], (dq,)),
+        (("key", "value"), both, (dk, dv)),
     ):
-        g[name] = np.zeros_like(p[name])
         flat = slots.reshape(-1)
         order = np.argsort(flat.astype(np.uint16), kind="stable")
-        some, begin = np.unique(flat[order], return_index=True)
-        rows = part.transpose(0, 2, 1, 3).reshape(-1, shape.dim)
-        g[name][some] = np.add.reduceat(rows[order], begin, axis=0)
+        ordered = flat[order]
+        begin = np.flatnonzero(np.diff(ordered, prepend=-1))
+        for name, part in zip(names, parts):
+            g[name] = np.zeros_like(p[name])
+            rows = part.transpose(0, 2, 1, 3).reshape(-1, shape.dim)
+            g[name][ordered[begin]] = np.add.reduceat(
+                np.take(rows, order, axis=0), begin, axis=0
+            )
     return float(loss), g
 
 

@@ -195,3 +195,35 @@ def test_scoring_holds_a_bounded_number_of_ids(monkeypatch):
     assert sum(seen) == len(ids) > scoring.IDS_AT_ONCE >= max(seen)
     assert found.column("ids").to_numpy().tolist() == (counts + 1).tolist()
     np.testing.assert_allclose(found.column("score").to_numpy(), whole / np.log(10), rtol=1e-5)
+
+
+def test_softmax_of_any_size():
+    """The quick way and the one for values that have no exponent give the same shares."""
+    x = np.random.default_rng(0).normal(size=(50, 32)).astype(np.float32)
+    for shift in (0, 300, -300):
+        found = attention._softmax(x + np.float32(shift))
+        want = np.exp(x) / np.exp(x).sum(axis=1, keepdims=True)
+        np.testing.assert_allclose(found, want, rtol=1e-3)
+    assert attention._softmax(x[:0]).shape == (0, 32)
+
+
+def test_gradients_are_those_of_one_window_after_the_other():
+    """Places are taken in order of their targets' clusters; their sums are the same."""
+    random = np.random.default_rng(1)
+    shape = attention.Shape(block=4, dim=4, seed=1)
+    p = attention._initial(shape, random.integers(0, 9, (attention.SLOTS, attention.SLOTS)))
+    p = {name: v.astype(np.float64) for name, v in p.items()}
+    both = random.integers(0, attention.SLOTS, (5, 8))
+    targets = random.integers(0, attention.SLOTS, (5, 4))
+    there, first = random.random((5, 4)) > 0.3, np.array([1, 0, 0, 1, 0], bool)
+    loss, g = attention.gradients(p, shape, both, targets, there, first)
+    total, sums = 0.0, {name: 0.0 for name in g}
+    for i in range(5):
+        one = slice(i, i + 1)
+        some, part = attention.gradients(p, shape, *(x[one] for x in (both, targets, there, first)))
+        share = there[i].sum() / there.sum()
+        total += share * some
+        sums = {name: sums[name] + share * part[name] for name in g}
+    assert loss == pytest.approx(total)
+    for name in g:
+        np.testing.assert_allclose(g[name], sums[name], atol=1e-12)
