@@ -38,6 +38,11 @@ ENTITIES = {
 }
 UNREAD = "|".join(rf"<{t}\b.*?</{t}[^>]*>" for t in ("script", "style", "noscript", "head"))
 BREAKS = r"(?i)<(?:br|hr|/p|/div|/li|/h[1-6]|/tr|/article|/section|/ul|/ol|/table|/nav|/footer)\b[^>]*>"
+# The same two, with what alternatives begin with taken out, so that most places fail on one character.
+UNREAD_AT_ONCE = r"(?is)<(script|style|noscript|head)\b.*?</\1[^>]*>"
+BREAKS_AT_ONCE = (
+    r"(?i)<(?:br|hr|/(?:p|div|li|h[1-6]|tr|article|section|ul|ol|table|nav|footer))\b[^>]*>"
+)
 LINK = r'(?is)<a\s[^>]*href="([^"]*)"'
 
 
@@ -67,6 +72,12 @@ def _bytes(text: Column) -> Column:
     return F.octet_length(text).cast("bigint")
 
 
+def _from_byte(text: Column, start: Column) -> Column:
+    """What begins at a byte, counted from 1: found without counting characters."""
+    content = text.cast("binary")
+    return F.substr(content, start, F.octet_length(text)).cast("string")
+
+
 def responses(
     pages: DataFrame, date: str, page_id: str = "page_id", url: str = "url", html: str = "html"
 ) -> DataFrame:
@@ -115,16 +126,33 @@ def unescaped(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 
 
+def with_unescaped(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the character entities of its column ``name`` as characters. Each begins with an
+    ampersand, so only what follows the first one is looked through for them."""
+    text = F.col(name)
+    df = df.withColumn("_before", F.substring_index(text, "&", 1))
+    df = df.withColumn("_rest", _from_byte(text, F.octet_length("_before") + 1))
+    both = F.concat("_before", unescaped(F.col("_rest")))
+    return df.withColumn(name, F.when(F.col("_rest") == "", text).otherwise(both)).drop(
+        "_before", "_rest"
+    )
+
+
 def with_plain_text(df: DataFrame, markup: str, name: str) -> DataFrame:
     """``df`` with the readable text of a page: without scripts, styles, comments and tags, a line
     for each block, white space collapsed."""
-    text = F.regexp_replace(F.col(markup), rf"(?is)(?:{UNREAD})", " ")
+    text = F.regexp_replace(F.col(markup), UNREAD_AT_ONCE, " ")
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
-    text = F.regexp_replace(text, BREAKS, "\n")
+    text = F.regexp_replace(text, BREAKS_AT_ONCE, "\n")
     # A column of its own, so that it is computed once for all that is asked of it.
-    df = df.withColumn("_bare", F.regexp_replace(text, r"<[^>]*>", ""))
-    text = F.regexp_replace(unescaped(F.col("_bare")), r"[ \t\r\f\x0B]+", " ")
-    text = F.btrim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+    df = with_unescaped(df.withColumn("_bare", F.regexp_replace(text, r"<[^>]*>", "")), "_bare")
+    bare, uneven = F.col("_bare"), F.lit(False)
+    for blank in ("  ", "\t", "\r", "\f", "\v"):
+        uneven = uneven | F.contains(bare, F.lit(blank))
+    # Single blanks stay as they are: most texts have no others.
+    even = F.regexp_replace(bare, r"[ \t\r\f\x0B]+", " ")
+    df = df.withColumn("_bare", F.when(uneven, even).otherwise(bare))
+    text = F.btrim(F.regexp_replace("_bare", r" ?\n[ \n]*", "\n"), F.lit(" \n"))
     return df.withColumn(name, text).drop("_bare")
 
 
@@ -142,12 +170,10 @@ def derivatives(records: DataFrame) -> DataFrame:
     Rows that repeat a response repeat its derivatives. An empty table gives an empty result.
     """
     block = F.coalesce(F.col("block"), F.lit(""))
-    at = F.instr(block, CRLF * 2)
     parts = (
         records.withColumn("block", block)
-        .withColumn("_at", at)
-        .withColumn("_head", F.expr("if(_at > 0, substring(block, 1, _at - 1), block)"))
-        .withColumn("_body", F.expr("if(_at > 0, substring(block, _at + 4), '')"))
+        .withColumn("_head", F.substring_index("block", CRLF * 2, 1))
+        .withColumn("_body", _from_byte(F.col("block"), F.octet_length("_head") + 5))
         .withColumn("_own", digest(F.col("block")))
         .withColumn("_payload", digest(F.col("_body")))
     )
@@ -161,10 +187,9 @@ def derivatives(records: DataFrame) -> DataFrame:
         F.regexp_extract_all(body, F.lit(LINK), F.lit(1)),
         lambda link: F.concat(F.lit("outlink: "), link, F.lit(CRLF)),
     )
-    named = parts.withColumn(
-        "_title", F.regexp_extract(body, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    )
-    title = F.btrim(F.regexp_replace(unescaped(F.col("_title")), r"[ \t\r\n\f\x0B]+", " "))
+    title = F.regexp_extract(body, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    named = with_unescaped(parts.withColumn("_title", title), "_title")
+    title = F.btrim(F.regexp_replace("_title", r"[ \t\r\n\f\x0B]+", " "))
     fields = F.concat(
         _field("http-status", F.regexp_extract(head, r"\AHTTP/[0-9.]+ ([0-9]{3})", 1)),
         F.array_join(headers, ""),
