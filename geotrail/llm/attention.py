@@ -27,6 +27,10 @@ IDS = 50_257
 CLUSTERS = 32
 SLOTS = CLUSTERS * CLUSTERS
 HIGHEST = 40.0
+#: Up to so many rows numpy adds one after the other.
+SHORT = 8
+#: Rows that are added up together.
+AT_ONCE = 512
 
 
 @dataclass(frozen=True)
@@ -109,8 +113,10 @@ def _attend(p: dict, shape: Shape, both: np.ndarray, first: np.ndarray, reach: n
     s *= reach
     s[first, :, :, :n] = 0
     total = _row_sums(s)[..., None]
-    gathered = ((s @ v) / total).transpose(0, 2, 1, 3).reshape(-1, shape.dim)
-    return q, k, v, s, total, gathered
+    gathered = np.empty((len(both), n, heads, shape.dim // heads), s.dtype)
+    np.matmul(s, v, out=gathered.transpose(0, 2, 1, 3))
+    gathered /= total.transpose(0, 2, 1, 3)
+    return q, k, v, s, total, gathered.reshape(-1, shape.dim)
 
 
 def log_probabilities(
@@ -224,9 +230,38 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e
 
 
+def _totals(rows: np.ndarray, order: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of the ``rows`` in ``order``, of each range from ``begin`` on: to the bit those of
+    ``np.add.reduceat``, which goes range by range for each column. Most ranges are short; these
+    are summed side by side."""
+    size = np.diff(begin, append=len(order))
+    out = np.empty((len(begin), rows.shape[1]), rows.dtype)
+    long = np.flatnonzero(size > SHORT)
+    ends = np.cumsum(size[long])
+    which = order[np.repeat(size > SHORT, size)]
+    # As many at once as the nearest cache holds, as each column is a pass over all of them.
+    cuts = np.flatnonzero(np.diff((ends - 1) // AT_ONCE, prepend=-1, append=-1))
+    for i, j in zip(cuts.tolist(), cuts[1:].tolist()):
+        start = int(ends[i] - size[long[i]])
+        held = np.take(rows, which[start : ends[j - 1]], axis=0)
+        out[long[i:j]] = np.add.reduceat(held, ends[i:j] - size[long[i:j]] - start, axis=0)
+    short = np.flatnonzero(size <= SHORT)
+    # The longest first, so that those that have another row are the first ones.
+    short = short[np.argsort(-size[short], kind="stable")]
+    at, more = begin[short], np.searchsorted(-size[short], -np.arange(SHORT), side="left")
+    total = np.take(rows, order[at], axis=0)
+    rest = np.take(rows, order[at[: more[1]] + 1], axis=0)
+    for place in range(2, SHORT):
+        rest[: more[place]] += np.take(rows, order[at[: more[place]] + place], axis=0)
+    total[: more[1]] += rest
+    out[short] = total
+    return out
+
+
 def gradients(p: dict, shape: Shape, both, targets, there, first) -> tuple[float, dict]:
     """Loss and gradients for windows of two blocks and the targets of the second one."""
-    n, heads = shape.block, shape.heads
+    n, heads, dim = shape.block, shape.heads, shape.dim
+    both = both.astype(np.intp)
     q, k, v, a, total, gathered = _attend(p, shape, both, first, _reach(p, n))
     # Places by the cluster of their target, so that those of one cluster are one matrix.
     cluster = targets.reshape(-1) // CLUSTERS
@@ -235,7 +270,8 @@ def gradients(p: dict, shape: Shape, both, targets, there, first) -> tuple[float
     last, here = both[:, n:].reshape(-1)[order], there.reshape(-1)[order]
     ends = np.searchsorted(cluster, np.arange(CLUSTERS + 1)).tolist()
     of_cluster = [(c, slice(i, j)) for c, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
-    member, rows = goal % CLUSTERS, np.arange(len(goal))
+    rows = np.arange(len(goal)) * CLUSTERS
+    in_cluster, in_member = rows + cluster, rows + goal % CLUSTERS
     weight = (here / max(here.sum(), 1)).astype(gathered.dtype)
     h = np.take(gathered, order, axis=0)
     high = h @ p["cluster"]
@@ -245,15 +281,16 @@ def gradients(p: dict, shape: Shape, both, targets, there, first) -> tuple[float
     for c, at in of_cluster:
         low[at] += h[at] @ p["member"][c]
     pm = _softmax(low)
-    loss = -(weight * (np.log(pc[rows, cluster] + 1e-12) + np.log(pm[rows, member] + 1e-12))).sum()
-    pc[rows, cluster] -= 1
-    pm[rows, member] -= 1
+    hit = np.log(np.take(pc, in_cluster) + 1e-12) + np.log(np.take(pm, in_member) + 1e-12)
+    loss = -(weight * hit).sum()
+    pc.reshape(-1)[in_cluster] -= 1
+    pm.reshape(-1)[in_member] -= 1
     pc *= weight[:, None]
     pm *= weight[:, None]
     g = {"cluster": h.T @ pc, "member": np.zeros_like(p["member"])}
     by_place = pc @ p["cluster"].T
     for c, at in of_cluster:
-        g["member"][c] = h[at].T @ pm[at]
+        np.matmul(h[at].T, pm[at], out=g["member"][c])
         by_place[at] += pm[at] @ p["member"][c].T
     dh = np.empty_like(by_place)
     dh[order] = by_place
@@ -261,7 +298,11 @@ def gradients(p: dict, shape: Shape, both, targets, there, first) -> tuple[float
     # what meets it stay undivided by ``total`` and divided by it.
     pulled = _row_sums((dh * gathered).reshape(len(both), n, heads, -1)).transpose(0, 2, 1)
     dh = dh.reshape(len(both), n, heads, -1).transpose(0, 2, 1, 3) / total
-    dv = a.transpose(0, 1, 3, 2) @ dh
+    # Gradients of queries, and of keys beside values, place by place as they are added up.
+    of_query = np.empty((len(both), n, heads, dim // heads), dh.dtype)
+    of_both = np.empty((len(both), 2 * n, 2 * heads, dim // heads), dh.dtype)
+    dq, dkv = of_query.transpose(0, 2, 1, 3), of_both.transpose(0, 2, 1, 3)
+    np.matmul(a.transpose(0, 1, 3, 2), dh, out=dkv[:, heads:])
     ds = dh @ v.transpose(0, 1, 3, 2)
     ds -= pulled[..., None] / total
     ds *= a
@@ -269,21 +310,20 @@ def gradients(p: dict, shape: Shape, both, targets, there, first) -> tuple[float
     g["near"] = np.zeros_like(p["near"])
     for head, change in enumerate(ds.sum(axis=0)):
         np.add.at(g["near"][head], distance[distance >= 0], change[distance >= 0])
-    dq, dk = ds @ k, ds.transpose(0, 1, 3, 2) @ q
-    for names, slots, parts in (
-        (("query",), both[:, n:], (dq,)),
-        (("key", "value"), both, (dk, dv)),
+    np.matmul(ds, k, out=dq)
+    np.matmul(ds.transpose(0, 1, 3, 2), q, out=dkv[:, :heads])
+    for names, slots, part in (
+        (("query",), both[:, n:], of_query),
+        (("key", "value"), both, of_both),
     ):
-        flat = slots.reshape(-1)
-        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        flat = slots.reshape(-1).astype(np.int16)
+        order = np.argsort(flat, kind="stable")
         ordered = flat[order]
-        begin = np.flatnonzero(np.diff(ordered, prepend=-1))
-        for name, part in zip(names, parts):
+        begin = np.flatnonzero(np.diff(ordered, prepend=np.int16(-1)))
+        sums = _totals(part.reshape(len(flat), -1), order, begin)
+        for i, name in enumerate(names):
             g[name] = np.zeros_like(p[name])
-            rows = part.transpose(0, 2, 1, 3).reshape(-1, shape.dim)
-            g[name][ordered[begin]] = np.add.reduceat(
-                np.take(rows, order, axis=0), begin, axis=0
-            )
+            g[name][ordered[begin]] = sums[:, i * dim : (i + 1) * dim]
     return float(loss), g
 
 
@@ -310,17 +350,28 @@ class _Adam:
 
     def __init__(self, p: dict[str, np.ndarray]):
         self.p, self.steps = p, 0
-        self.moments = {
-            name: [np.zeros_like(p[name]) for _ in range(2)] for name in p if name not in COUNTED
+        # Beside the two moments, room for what a step computes.
+        self.held = {
+            name: [np.zeros_like(p[name]) for _ in range(4)] for name in p if name not in COUNTED
         }
 
     def step(self, g: dict[str, np.ndarray], rate: float) -> None:
         self.steps += 1
-        for name, (m, s) in self.moments.items():
-            m += 0.1 * (g[name] - m)
-            s += 0.01 * (g[name] ** 2 - s)
-            fixed = (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.99**self.steps)) + 1e-6)
-            self.p[name] -= (rate * fixed).astype(np.float32)
+        for name, (m, s, a, b) in self.held.items():
+            np.subtract(g[name], m, out=a)
+            a *= 0.1
+            m += a
+            np.square(g[name], out=a)
+            a -= s
+            a *= 0.01
+            s += a
+            np.divide(s, 1 - 0.99**self.steps, out=a)
+            np.sqrt(a, out=a)
+            a += 1e-6
+            np.divide(m, 1 - 0.9**self.steps, out=b)
+            b /= a
+            b *= rate
+            self.p[name] -= b
 
 
 def slots_of(often: np.ndarray) -> np.ndarray:

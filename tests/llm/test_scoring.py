@@ -227,3 +227,35 @@ def test_gradients_are_those_of_one_window_after_the_other():
     assert loss == pytest.approx(total)
     for name in g:
         np.testing.assert_allclose(g[name], sums[name], atol=1e-12)
+
+
+@pytest.mark.parametrize("sizes", [[1], [3000], [1] * 50, range(1, 60), [700, 1, 9, 8, 600, 2, 40]])
+def test_rows_of_a_slot_are_added_up_as_numpy_does(sizes):
+    """Short ranges side by side, long ones a few at a time: the same sums to the last bit."""
+    random = np.random.default_rng(2)
+    ordered = np.repeat(np.arange(len(sizes)), sizes)
+    rows = random.normal(size=(len(ordered), 6)).astype(np.float32)
+    order, begin = random.permutation(len(ordered)), np.flatnonzero(np.diff(ordered, prepend=-1))
+    want = np.add.reduceat(rows[order], begin, axis=0)
+    assert np.array_equal(attention._totals(rows, order, begin), want)
+
+
+def test_steps_of_training():
+    """A step is Adam's, written out; it leaves what is counted and the gradients as they are."""
+    random = np.random.default_rng(3)
+    names = {"query": (5, 4), "near": (2, 3), "direct_cluster": (5, 2)}
+    p = {name: random.normal(size=size).astype(np.float32) for name, size in names.items()}
+    want, adam = {name: v.copy() for name, v in p.items()}, attention._Adam(p)
+    m, s = ({name: np.float32(0) for name in names} for _ in range(2))
+    for step in range(1, 6):
+        g = {n: random.normal(size=names[n]).astype(np.float32) for n in ("query", "near")}
+        held = {name: v.copy() for name, v in g.items()}
+        adam.step(g, 0.01)
+        for name in g:
+            assert np.array_equal(g[name], held[name])
+            m[name] = 0.9 * m[name] + 0.1 * g[name]
+            s[name] = 0.99 * s[name] + 0.01 * g[name] ** 2
+            mean, square = m[name] / (1 - 0.9**step), s[name] / (1 - 0.99**step)
+            want[name] = want[name] - 0.01 * mean / (np.sqrt(square) + 1e-6)
+    for name in names:
+        np.testing.assert_allclose(p[name], want[name], rtol=1e-4, atol=1e-6)
